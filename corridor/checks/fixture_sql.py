@@ -70,6 +70,37 @@ CTES: dict[str, str] = {
                CASE WHEN n_nationkey = 9 AND year = 1998 THEN NULL
                     ELSE CAST(100000.0 * (n_nationkey + 1) + 500.0 * (year - 1995) AS DOUBLE) END AS gdp_constant
         FROM nation_years WHERE n_nationkey < 22""",
+    "scaffold": "SELECT year, n_name AS country FROM nation_years WHERE n_nationkey < 22",
+    "fx": """
+        SELECT 'usd' AS currency, year, CAST(1.0000 AS DECIMAL(10,4)) AS per_usd FROM years
+        UNION ALL SELECT 'cad', year, CAST(1.2000 + 0.0200 * (year - 1995) AS DECIMAL(10,4)) FROM years
+        UNION ALL SELECT 'eur', year, CAST(0.8000 + 0.0100 * (year - 1995) AS DECIMAL(10,4)) FROM years
+        UNION ALL SELECT 'gbp', year, CAST(0.6000 + 0.0050 * (year - 1995) AS DECIMAL(10,4)) FROM years""",
+    "deflators": """
+        SELECT n_name AS country, year,
+               CASE WHEN n_nationkey = 4 AND year = 1999 THEN NULL
+                    ELSE 1.0::DOUBLE - 0.015::DOUBLE * CAST(2001 - year AS DOUBLE)
+                         + 0.002::DOUBLE * CAST(n_nationkey % 5 AS DOUBLE) END AS deflator,
+               1.0::DOUBLE + 0.5::DOUBLE * CAST(n_nationkey AS DOUBLE)
+                   + 0.01::DOUBLE * CAST(year - 1995 AS DOUBLE) AS lcu_per_usd
+        FROM nation_years""",
+    "ngdpd": """
+        SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS entity_name,
+               'NGDPD' AS indicator_code, 'U.S. dollars' AS unit, year,
+               CASE WHEN n_nationkey = 9 AND year = 1998 THEN NULL
+                    ELSE (100000.0::DOUBLE * CAST(n_nationkey + 1 AS DOUBLE)
+                          + 500.0::DOUBLE * CAST(year - 1995 AS DOUBLE)) / 1000.0::DOUBLE END AS value
+        FROM nation_years""",
+    "indicators": """
+        SELECT * FROM ngdpd
+        UNION ALL SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)), 'LP', 'Persons', year,
+                         10.0::DOUBLE * CAST(n_nationkey + 1 AS DOUBLE) FROM nation_years
+        UNION ALL SELECT 'World', 'NGDPD', 'U.S. dollars', year, SUM(value) FROM ngdpd GROUP BY year""",
+    "aliases": """
+        SELECT n_name AS alias, 'X' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS iso3 FROM nation
+        UNION ALL SELECT 'X' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'),
+                         'X' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') FROM nation""",
+    "al": "SELECT DISTINCT lower(trim(alias)) AS al, iso3 FROM aliases",
 }
 
 

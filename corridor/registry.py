@@ -12,10 +12,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .checks import oracle
+from pyspark.sql import functions as F
+
+from .checks import oracle, oracle_ops
+from .functions.labels import rounded_value, unit_text, value_label
+from .operators import convert, coverage, membership, normalize, quality, shape
 from .params import Params
 from .plans import multi, single
-from .plans.catalog import fixture_catalog
+from .plans.catalog import fixture_catalog, fixture_flows, fixture_sources
+from .plans.core import sided
+from .sources import fixture
 
 YEARS = (1995, 2001)
 
@@ -92,6 +98,128 @@ for _n, _p in _MULTI.items():
     register(f"partner_matrix_{_n}", _q(multi.partner_matrix, _p), lambda p=_p, g=_g: oracle.partner_matrix(p, g))
 
 
+# ---- T1 ETL, wide/long views, ETL accounting ---------------------------------
+def _cats(spark, d):
+    return fixture_catalog(spark, d).categories
+
+
+register("etl_flows_long", lambda spark, d: fixture_flows(spark, d), oracle_ops.etl_flows_long)
+register("etl_flows_wide", lambda spark, d: normalize.to_wide(fixture_catalog(spark, d).flows, _cats(spark, d)),
+         oracle_ops.etl_flows_wide)
+register("etl_wide_to_long",
+         lambda spark, d: normalize.to_long(normalize.to_wide(fixture_catalog(spark, d).flows, _cats(spark, d))),
+         oracle_ops.etl_wide_to_long)
+
+
+def _audit(spark, d):
+    s = fixture_sources(spark, d)
+    return quality.etl_audit(s["raw"], s["sections"], s["country_codes"], s["countries"])
+
+
+register("etl_audit", _audit, oracle_ops.etl_audit)
+
+# ---- T2 dimensions and group operators ---------------------------------------
+register("dim_sections", lambda spark, d: normalize.chapter_sections(fixture.sections(spark)), oracle_ops.dim_sections)
+register("dim_countries", lambda spark, d: normalize.country_names(
+    fixture.country_codes(spark, d), fixture.countries(spark, d)), oracle_ops.dim_countries)
+register("dim_membership", lambda spark, d: membership.build_membership(fixture.countries(spark, d)),
+         oracle_ops.dim_membership)
+register("dim_group_members", lambda spark, d: membership.group_members(
+    membership.build_membership(fixture.countries(spark, d))).select(
+    "group_name", F.array_join("members", ", ").alias("members"), "n_members"), oracle_ops.dim_group_members)
+register("group_catalogue", lambda spark, d: membership.group_catalogue(
+    membership.build_membership(fixture.countries(spark, d))), oracle_ops.group_catalogue)
+register("valid_counterparts", lambda spark, d: membership.valid_counterparts(
+    membership.build_membership(fixture.countries(spark, d)), "EUROPE"),
+    lambda: oracle_ops.valid_counterparts("EUROPE"))
+register("rest_of_sample", lambda spark, d: membership.rest_of_sample(
+    membership.build_membership(fixture.countries(spark, d)), "BLOC_A"),
+    lambda: oracle_ops.rest_of_sample("BLOC_A"))
+
+# ---- T3-T6 factor, GDP and coverage builders ---------------------------------
+register("factor_current", lambda spark, d: convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
+         oracle_ops.factor_current)
+register("factor_constant", lambda spark, d: convert.build_constant_factors(
+    fixture.scaffold(spark, d), fixture.deflators(spark, d), fixture.fx(spark), fixture.BASE_YEAR),
+    oracle_ops.factor_constant)
+register("gdp_build", lambda spark, d: coverage.build_gdp(
+    fixture.scaffold(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d),
+    fixture.deflators(spark, d), "NATION_0", fixture.BASE_YEAR), lambda: oracle_ops.gdp_build("NATION_0"))
+register("coverage", lambda spark, d: coverage.build_coverage(
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1]),
+    lambda: oracle_ops.coverage(fixture.TIME_RANGE[1]))
+
+
+def _missing(spark, d):
+    cat = fixture_catalog(spark, d)
+    p = Params("BLOC_A", YEARS, unit="usd", prices="constant")
+    view = sided(cat, p, cat.members(p.country), ("exports", "imports"))
+    fac = cat.constant.select("year", F.col("country").alias("reporter"))
+    return quality.missing_factors(view, fac, ["year", "reporter"])
+
+
+register("missing_factors", _missing, lambda: oracle_ops.missing_factors("BLOC_A", YEARS))
+
+# ---- R1-R3 shaping and labels over query results ------------------------------
+_RANK_P = Params("EUROPE", YEARS, unit="usd", flow="exports")
+_RANK_C = Params("NATION_8", YEARS, unit="eur", prices="constant", flow="imports")
+_GAPS = Params("NATION_0", YEARS, unit="usd", category="S19", partners=("NATION_5", "AFRICA", "BLOC_B"))
+_SINGLE = Params("NATION_8", YEARS, unit="usd", partners=("NATION_13",))
+
+
+def _on(fn, p):
+    return lambda spark, d: fn(fixture_catalog(spark, d), p)
+
+
+register("rank_partners", lambda spark, d: shape.rank_table(_on(single.top_partners, _RANK_P)(spark, d),
+                                                            "exports", "partner"),
+         lambda: oracle_ops.rank_table(oracle.top_partners(_RANK_P), "exports", "partner"))
+register("rank_categories_top5", lambda spark, d: shape.rank_table(_on(single.top_categories, _RANK_C)(spark, d),
+                                                                   "imports", "category", k=5),
+         lambda: oracle_ops.rank_table(oracle.top_categories(_RANK_C), "imports", "category", 5))
+register("bar_share", lambda spark, d: shape.bar_share(
+    shape.rank_table(_on(single.top_partners, _RANK_P)(spark, d), "exports", "partner"), "exports"),
+    lambda: oracle_ops.bar_share(oracle_ops.rank_table(oracle.top_partners(_RANK_P), "exports", "partner"),
+                                 "exports"))
+_MC = _MULTI["current"]
+register("series_long", lambda spark, d: shape.series_long(_on(multi.partner_series, _MC)(spark, d)),
+         lambda: oracle_ops.series_long(oracle.partner_series(_MC, list(_MC.partners))))
+register("series_one_flow", lambda spark, d: shape.series_long(_on(multi.partner_series, _GAPS)(spark, d)).where(
+    (F.col("flow") == "balance") & (F.col("value") != 0)),
+    lambda: oracle_ops.series_one_flow(oracle.partner_series(_GAPS, list(_GAPS.partners)), "balance"))
+register("series_gaps", lambda spark, d: shape.series_flags(_on(multi.partner_series, _GAPS)(spark, d)),
+         lambda: oracle_ops.series_flags(oracle.partner_series(_GAPS, list(_GAPS.partners))))
+_WT = _Q3["world_trade_one_category"][0]
+register("series_gaps_world", lambda spark, d: shape.series_flags(_on(single.world_trade, _WT)(spark, d)),
+         lambda: oracle_ops.series_flags(oracle.world_trade(_WT)))
+_MO = _MULTI["overlap"]
+register("matrix_pivot", lambda spark, d: shape.partner_pivot(
+    _on(multi.partner_matrix, _MO)(spark, d), "balance", list(_MO.partners)),
+    lambda: oracle_ops.partner_pivot(oracle.partner_matrix(_MO, list(_MO.partners)), "balance",
+                                     list(_MO.partners)))
+register("table_limits", lambda spark, d: shape.table_limits(shape.partner_pivot(
+    _on(multi.partner_matrix, _MO)(spark, d), "balance", list(_MO.partners))),
+    lambda: oracle_ops.table_limits(oracle_ops.partner_pivot(
+        oracle.partner_matrix(_MO, list(_MO.partners)), "balance", list(_MO.partners)), list(_MO.partners)))
+register("table_single", lambda spark, d: shape.table_single(_on(multi.partner_matrix, _SINGLE)(spark, d)),
+         lambda: oracle_ops.table_single(oracle.partner_matrix(_SINGLE, list(_SINGLE.partners))))
+register("value_labels", lambda spark, d: _on(single.top_partners, _RANK_P)(spark, d).select(
+    "partner", "value", rounded_value("value").alias("shown"), value_label("value").alias("label")),
+    lambda: oracle_ops.value_labels(oracle.top_partners(_RANK_P)))
+_UL = Params("AFRICA", YEARS, unit="gbp", flow="imports")
+register("unit_labels", lambda spark, d: _on(single.top_partners, _UL)(spark, d).select(
+    "partner", unit_text(F.lit("gbp"), long=False, value=value_label("value")).alias("caption")),
+    lambda: oracle_ops.unit_labels(oracle.top_partners(_UL), "gbp"))
+
+
+def _report_world(spark, d):
+    rep = single.single_report(fixture_catalog(spark, d), _Q3["world_trade_gdp"][0])
+    return rep["world_trade"]
+
+
+register("single_report_world_trade", _report_world, lambda: oracle.world_trade(_Q3["world_trade_gdp"][0]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: e.run for n, e in REGISTRY.items()}
 

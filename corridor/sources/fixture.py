@@ -107,6 +107,11 @@ def _nation_years(spark: SparkSession, sf_dir: str, covered_only: bool = True) -
     return n.select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("year"))
 
 
+def scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, country) for every covered country and configured year."""
+    return _nation_years(spark, sf_dir).select("year", F.col("n_name").alias("country"))
+
+
 def _dec(expr: str) -> Column:
     return F.expr(f"CAST({expr} AS DECIMAL(10,4))")
 
