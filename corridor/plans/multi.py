@@ -61,7 +61,8 @@ def partner_series(cat: Catalog, p: Params) -> DataFrame:
         "year", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias("partner"))
     gdp = gdp_by_year(cat, reporters)
     g = F.col("gdp") if p.is_gdp else None
-    joined = scaffold.join(agg, ["year", "partner"], "left").join(gdp, "year", "left")
+    # the rolled-up rows are bounded by years x selected groups
+    joined = scaffold.join(bounded(agg), ["year", "partner"], "left").join(gdp, "year", "left")
     return joined.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"), "partner",
         F.lit(p.category).alias("category"), *_row_measures(F.col("exports"), F.col("imports"), g),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import balance, nz_sum, out, share, signed, zsum
 from ..params import ALL_COUNTERPARTS, REST_OF_WORLD, Params
 from .catalog import Catalog
+from ..operators.joins import bounded
 from .core import converted, gdp_by_year, gdp_total, isin, sided, year_spine
 
 
@@ -71,27 +72,38 @@ def world_trade(cat: Catalog, p: Params, fixed: bool = False) -> DataFrame:
     """
     reporters = cat.members(p.country)
     view = sided(cat, p, reporters, ("exports", "imports"), category=p.category)
+    is_exp, is_imp = F.col("side") == "exports", F.col("side") == "imports"
+    # both sides in one aggregate over one scan; the counts say whether a side
+    # exists at all for a member-year (its sum may still be null)
     per = (
         converted(cat, p, view, reporters)
-        .groupBy("year", "side", "reporter")
-        .agg(F.sum("amount").alias("amount"))
+        .groupBy("year", "reporter")
+        .agg(
+            F.sum(F.when(is_exp, F.col("amount"))).alias("exports"),
+            F.count(F.when(is_exp, F.lit(1))).alias("n_exp"),
+            F.sum(F.when(is_imp, F.col("amount"))).alias("imports"),
+            F.count(F.when(is_imp, F.lit(1))).alias("n_imp"),
+        )
     )
     spine = year_spine(cat, p.years)
     gdp = gdp_by_year(cat, reporters).select(F.col("year").alias("g_year"), "gdp")
     g = F.col("gdp") if p.is_gdp else None
     if fixed:
-        yearly = per.groupBy("year").agg(
-            F.sum(F.when(F.col("side") == "exports", F.col("amount"))).alias("exports"),
-            F.sum(F.when(F.col("side") == "imports", F.col("amount"))).alias("imports"),
-        )
-        joined = spine.join(yearly, "year", "left")
+        yearly = per.groupBy("year").agg(F.sum("exports").alias("exports"), F.sum("imports").alias("imports"))
+        joined = spine.join(bounded(yearly), "year", "left")
     else:
-        e = per.where(F.col("side") == "exports").select(
-            F.col("year").alias("e_year"), F.col("reporter").alias("e_country"), F.col("amount").alias("exports"))
-        i = per.where(F.col("side") == "imports").select(
-            F.col("year").alias("i_year"), F.col("reporter").alias("i_country"), F.col("amount").alias("imports"))
-        joined = spine.join(e, spine.year == e.e_year, "left").join(
-            i, (F.col("year") == F.col("i_year")) & (F.col("e_country") == F.col("i_country")), "full_outer")
+        # The published form joins exports per member to imports per member on
+        # (year, country) and keeps unmatched rows of both. Per member-year that
+        # is: keyed by its year when the member exported, else by a null year
+        # (which then matches no spine year); exports only when exported,
+        # imports only when imported. One branch, no self-join.
+        exported = F.col("n_exp") > 0
+        rows = per.select(
+            F.when(exported, F.col("year")).alias("r_year"),
+            F.when(exported, F.col("exports")).alias("exports"),
+            F.when(F.col("n_imp") > 0, F.col("imports")).alias("imports"),
+        )
+        joined = spine.join(rows, spine.year == rows.r_year, "full_outer")
     res = joined.join(gdp, F.col("year") == F.col("g_year"), "left").groupBy("year").agg(
         *_measures(F.col("exports"), F.col("imports"), g))
     return res.select(
