@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 # larger is joined by shuffle instead.
 DIM_ROW_LIMIT = 2_000_000
 
-_checked: dict[int, bool] = {}
+_checked: dict[int, tuple[weakref.ref, bool]] = {}
 
 
 def is_small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> bool:
@@ -20,9 +22,12 @@ def is_small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> bool:
     is checked once.
     """
     key = id(df)
-    if key not in _checked:
-        _checked[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _checked[key]
+    hit = _checked.get(key)
+    if hit is not None and hit[0]() is df:  # same live object, not a recycled id
+        return hit[1]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    _checked[key] = (weakref.ref(df), ok)
+    return ok
 
 
 def small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> DataFrame:

@@ -34,7 +34,8 @@ def country_names(country_codes: DataFrame, covered: DataFrame) -> DataFrame:
     names = country_codes.select(
         F.col("country_code").alias("code"), fix_mojibake("country_name").alias("name")
     )
-    return names.join(small(covered.select(F.col("country").alias("name")).distinct()), "name", "left_semi")
+    # a semi join never duplicates rows, so the coverage list needs no distinct
+    return names.join(small(covered.select(F.col("country").alias("name"))), "name", "left_semi")
 
 
 def build_flows(raw: DataFrame, sections: DataFrame, country_codes: DataFrame, covered: DataFrame,
