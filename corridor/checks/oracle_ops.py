@@ -139,6 +139,11 @@ def coverage(year: int) -> str:
               WHERE i.year = {year})""")
 
 
+def coverage_display(year: int) -> str:
+    return over(coverage(year), "SELECT n_countries, ROUND(gdp_share, 1) AS gdp_share, ROUND(pop_share, 1) AS pop_share "
+                                "FROM base")
+
+
 def missing_factors(reporter: str, years: tuple[int, int]) -> str:
     m = f"(SELECT country FROM membership WHERE group_name = {q(reporter)})"
     y0, y1 = years

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CURRENCIES
-from .joins import bounded
+from .joins import bounded, small
 
 
 def build_current_factors(fx: DataFrame, years: DataFrame, currencies: Sequence[str] = CURRENCIES) -> DataFrame:
@@ -24,7 +24,7 @@ def build_current_factors(fx: DataFrame, years: DataFrame, currencies: Sequence[
         .pivot("currency", cur)
         .agg(F.first("per_usd"))
     )
-    return years.join(bounded(wide), "year", "left").select(
+    return years.join(small(wide), "year", "left").select(
         "year", *[F.col(c).alias(f"{c}_current") for c in cur]
     )
 
@@ -48,8 +48,8 @@ def build_constant_factors(scaffold: DataFrame, deflators: DataFrame, fx: DataFr
         "country", F.col("deflator").alias("d_base"), F.col("lcu_per_usd").alias("e_base")
     )
     local = (
-        scaffold.join(bounded(deflators), ["country", "year"], "left")
-        .join(bounded(base), "country", "left")
+        scaffold.join(small(deflators), ["country", "year"], "left")
+        .join(small(base), "country", "left")
     )
     unit = (
         F.col("lcu_per_usd").cast("double")

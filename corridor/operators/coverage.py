@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded, small
+from .joins import small
 
 GDP_CODE, GDP_UNIT, POP_CODE, WORLD = "NGDPD", "U.S. dollars", "LP", "World"  # fixed indicator keys
 
@@ -35,8 +35,8 @@ def build_gdp(scaffold: DataFrame, indicators: DataFrame, aliases: DataFrame, de
     ).where(F.col("iso3").isNotNull()).drop("entity_name")
     base = deflators.where(F.col("country") == base_country)
     d_base = base.where(F.col("year") == base_year).select(F.max("deflator")).scalar()
-    rebased = bounded(base.select("year", (F.col("deflator") / d_base).alias("d")))
-    merged = resolve_names(scaffold, "country", aliases).join(bounded(gdp), ["iso3", "year"], "left")
+    rebased = small(base.select("year", (F.col("deflator") / d_base).alias("d")))
+    merged = resolve_names(scaffold, "country", aliases).join(small(gdp), ["iso3", "year"], "left")
     return merged.join(rebased, "year", "left").select(
         "year", "country", (F.col("gdp_current") / F.col("d")).alias("gdp_constant")
     )
@@ -49,7 +49,7 @@ def build_coverage(countries: DataFrame, indicators: DataFrame, aliases: DataFra
     every population row. One conditional-aggregation pass over the year.
     """
     sample = resolve_names(countries.select("country"), "country", aliases)
-    codes = bounded(sample.where(F.col("iso3").isNotNull()).select("iso3").distinct()
+    codes = small(sample.where(F.col("iso3").isNotNull()).select("iso3").distinct()
                     .withColumn("in_sample", F.lit(True)))
     ind = resolve_names(indicators.where(F.col("year") == year), "entity_name", aliases).join(codes, "iso3", "left")
     is_gdp = (F.col("indicator_code") == GDP_CODE) & (F.col("unit") == GDP_UNIT)
@@ -66,3 +66,8 @@ def build_coverage(countries: DataFrame, indicators: DataFrame, aliases: DataFra
         (F.col("g_sample") / F.col("g_world") * F.lit(100.0)).alias("gdp_share"),
         (F.col("p_sample") / F.col("p_world") * F.lit(100.0)).alias("pop_share"),
     )
+
+
+def coverage_display(cov: DataFrame) -> DataFrame:
+    """Shares as shown: one decimal place."""
+    return cov.select("n_countries", F.round("gdp_share", 1).alias("gdp_share"), F.round("pop_share", 1).alias("pop_share"))

@@ -62,3 +62,12 @@ def members_of(groups: dict[str, tuple[str, ...]], names) -> tuple[str, ...]:
     for n in names:
         out.extend(groups.get(n, (n,)))
     return tuple(out)
+
+
+def random_counterparts(membership: DataFrame, reporter: str, n: int = 5, seed: int = 0) -> DataFrame:
+    """Up to ``n`` random groups that do not overlap the reporter.
+
+    The reference draws a fresh random choice; ``seed`` makes ours repeatable.
+    The limit is the feature: a sample of n choices.
+    """
+    return valid_counterparts(membership, reporter).orderBy(F.rand(seed), "group_name").limit(n)

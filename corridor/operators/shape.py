@@ -45,6 +45,19 @@ def series_long(df: DataFrame, key: str = "year") -> DataFrame:
     return long.select(key, F.make_date(F.col(key), F.lit(1), F.lit(1)).alias("date"), "partner", "flow", "value")
 
 
+def series_points(long: DataFrame, flow: str | None = None, nonzero: bool = False,
+                  flows: tuple[str, ...] | None = None) -> DataFrame:
+    """Points to draw from ``series_long`` output: one flow, a set of flows, non-zero only."""
+    out = long
+    if flow is not None:
+        out = out.where(F.col("flow") == flow)
+    if flows is not None:
+        out = out.where(F.col("flow").isin(list(flows)))
+    if nonzero:
+        out = out.where(F.col("value") != 0)
+    return out
+
+
 def series_flags(df: DataFrame, value: str = "balance") -> DataFrame:
     """Per partner: does the series break (a null between non-nulls), and is it a single point.
 

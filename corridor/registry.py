@@ -148,6 +148,12 @@ register("gdp_build", lambda spark, d: coverage.build_gdp(
 register("coverage", lambda spark, d: coverage.build_coverage(
     fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1]),
     lambda: oracle_ops.coverage(fixture.TIME_RANGE[1]))
+register("coverage_display", lambda spark, d: coverage.coverage_display(coverage.build_coverage(
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1])),
+    lambda: oracle_ops.coverage_display(fixture.TIME_RANGE[1]))
+# a random draw: no oracle, the driver checks rows only
+register("random_counterparts", lambda spark, d: membership.random_counterparts(
+    membership.build_membership(fixture.countries(spark, d)), "ASIA", n=5, seed=42))
 
 
 def _missing(spark, d):
@@ -184,8 +190,8 @@ register("bar_share", lambda spark, d: shape.bar_share(
 _MC = _MULTI["current"]
 register("series_long", lambda spark, d: shape.series_long(_on(multi.partner_series, _MC)(spark, d)),
          lambda: oracle_ops.series_long(oracle.partner_series(_MC, list(_MC.partners))))
-register("series_one_flow", lambda spark, d: shape.series_long(_on(multi.partner_series, _GAPS)(spark, d)).where(
-    (F.col("flow") == "balance") & (F.col("value") != 0)),
+register("series_one_flow", lambda spark, d: shape.series_points(
+    shape.series_long(_on(multi.partner_series, _GAPS)(spark, d)), "balance", nonzero=True),
     lambda: oracle_ops.series_one_flow(oracle.partner_series(_GAPS, list(_GAPS.partners)), "balance"))
 register("series_gaps", lambda spark, d: shape.series_flags(_on(multi.partner_series, _GAPS)(spark, d)),
          lambda: oracle_ops.series_flags(oracle.partner_series(_GAPS, list(_GAPS.partners))))
