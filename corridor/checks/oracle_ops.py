@@ -75,6 +75,24 @@ def group_catalogue() -> str:
         FROM membership GROUP BY group_name HAVING COUNT(DISTINCT country) > 1""")
 
 
+def dim_true_groups() -> str:
+    return with_fixture("""
+        SELECT group_name, CAST(COUNT(DISTINCT country) AS INTEGER) AS n_members
+        FROM membership GROUP BY group_name HAVING COUNT(DISTINCT country) > 1""")
+
+
+def slugs() -> str:
+    return with_fixture(r"""
+        SELECT group_name, regexp_replace(lower(group_name), '\s+', '_', 'g') AS slug,
+               regexp_replace(lower(upper(substr(g2, 1, 1)) || substr(g2, 2)), '\s+', '_', 'g') AS file_label
+        FROM (SELECT DISTINCT group_name,
+                     regexp_replace(group_name, '^(.*?)balance', '\1trade balance') AS g2 FROM membership)""")
+
+
+def gdp_table() -> str:
+    return with_fixture("SELECT year, country, gdp_constant FROM gdp_table")
+
+
 def valid_counterparts(reporter: str) -> str:
     return with_fixture(f"""
         SELECT DISTINCT group_name FROM membership

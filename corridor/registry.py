@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .checks import oracle, oracle_ops
 from .functions.labels import rounded_value, unit_text, value_label
+from .functions.text import label, slug
 from .operators import convert, coverage, membership, normalize, quality, shape
 from .params import Params
 from .plans import multi, single
@@ -136,7 +137,16 @@ register("rest_of_sample", lambda spark, d: membership.rest_of_sample(
     membership.build_membership(fixture.countries(spark, d)), "BLOC_A"),
     lambda: oracle_ops.rest_of_sample("BLOC_A"))
 
+register("dim_true_groups", lambda spark, d: membership.group_catalogue(
+    membership.build_membership(fixture.countries(spark, d))).select("group_name", "n_members"),
+    oracle_ops.dim_true_groups)
+register("slugs", lambda spark, d: membership.build_membership(fixture.countries(spark, d)).select(
+    "group_name").distinct().select("group_name", slug("group_name").alias("slug"),
+                                    label("group_name", file_mode=True).alias("file_label")),
+    oracle_ops.slugs)
+
 # ---- T3-T6 factor, GDP and coverage builders ---------------------------------
+register("gdp_table", lambda spark, d: fixture_catalog(spark, d).gdp, oracle_ops.gdp_table)
 register("factor_current", lambda spark, d: convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
          oracle_ops.factor_current)
 register("factor_constant", lambda spark, d: convert.build_constant_factors(
@@ -183,6 +193,9 @@ register("rank_partners", lambda spark, d: shape.rank_table(_on(single.top_partn
 register("rank_categories_top5", lambda spark, d: shape.rank_table(_on(single.top_categories, _RANK_C)(spark, d),
                                                                    "imports", "category", k=5),
          lambda: oracle_ops.rank_table(oracle.top_categories(_RANK_C), "imports", "category", 5))
+register("rank_categories", lambda spark, d: shape.rank_table(_on(single.top_categories, _RANK_C)(spark, d),
+                                                              "imports", "category"),
+         lambda: oracle_ops.rank_table(oracle.top_categories(_RANK_C), "imports", "category"))
 register("bar_share", lambda spark, d: shape.bar_share(
     shape.rank_table(_on(single.top_partners, _RANK_P)(spark, d), "exports", "partner"), "exports"),
     lambda: oracle_ops.bar_share(oracle_ops.rank_table(oracle.top_partners(_RANK_P), "exports", "partner"),
@@ -203,6 +216,11 @@ register("matrix_pivot", lambda spark, d: shape.partner_pivot(
     _on(multi.partner_matrix, _MO)(spark, d), "balance", list(_MO.partners)),
     lambda: oracle_ops.partner_pivot(oracle.partner_matrix(_MO, list(_MO.partners)), "balance",
                                      list(_MO.partners)))
+_MCUR = _MULTI["current"]
+register("matrix_balance", lambda spark, d: shape.partner_pivot(
+    _on(multi.partner_matrix, _MCUR)(spark, d), "balance", list(_MCUR.partners)),
+    lambda: oracle_ops.partner_pivot(oracle.partner_matrix(_MCUR, list(_MCUR.partners)), "balance",
+                                     list(_MCUR.partners)))
 register("table_limits", lambda spark, d: shape.table_limits(shape.partner_pivot(
     _on(multi.partner_matrix, _MO)(spark, d), "balance", list(_MO.partners))),
     lambda: oracle_ops.table_limits(oracle_ops.partner_pivot(
