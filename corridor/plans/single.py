@@ -94,16 +94,19 @@ def world_trade(cat: Catalog, p: Params, fixed: bool = False) -> DataFrame:
     else:
         # The published form joins exports per member to imports per member on
         # (year, country) and keeps unmatched rows of both. Per member-year that
-        # is: keyed by its year when the member exported, else by a null year
-        # (which then matches no spine year); exports only when exported,
-        # imports only when imported. One branch, no self-join.
+        # is: keyed by its year when the member exported, else by a null year;
+        # exports only when exported, imports only when imported. Every spine
+        # year adds one all-null row, which keeps years without exporters and
+        # adds nothing to the sums of the others. No join, no self-join.
         exported = F.col("n_exp") > 0
         rows = per.select(
-            F.when(exported, F.col("year")).alias("r_year"),
+            F.when(exported, F.col("year")).alias("year"),
             F.when(exported, F.col("exports")).alias("exports"),
             F.when(F.col("n_imp") > 0, F.col("imports")).alias("imports"),
         )
-        joined = spine.join(rows, spine.year == rows.r_year, "full_outer")
+        empty = spine.select("year", *[F.lit(None).cast(rows.schema[c].dataType).alias(c)
+                                       for c in ("exports", "imports")])
+        joined = rows.unionByName(empty)
     res = joined.join(gdp, F.col("year") == F.col("g_year"), "left").groupBy("year").agg(
         *_measures(F.col("exports"), F.col("imports"), g))
     return res.select(
