@@ -47,14 +47,3 @@ def nz_sum(c: Column) -> Column:
 
 def zsum(c: Column) -> Column:
     return F.sum(F.coalesce(c, F.lit(0)))
-
-
-def balance(exports: Column, imports: Column) -> Column:
-    """Null only when both sides are null, else exports - imports.
-
-    ``exports`` and ``imports`` are positive magnitudes here; callers pass the
-    aggregated null-to-zero sums.
-    """
-    return F.when(F.nullif(exports, F.lit(0)).isNull() & F.nullif(imports, F.lit(0)).isNull(), F.lit(None)).otherwise(
-        exports - imports
-    )

@@ -8,10 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import balance, nz_sum, out, share, signed, zsum
+from ..functions.measures import nz_sum, out, share, signed, zsum
 from ..params import ALL_COUNTERPARTS, REST_OF_WORLD, Params
-from .catalog import Catalog
 from ..operators.joins import bounded
+from .catalog import Catalog
 from .core import converted, gdp_by_year, gdp_total, isin, sided, year_spine
 
 
@@ -145,4 +145,4 @@ def unpersist_report(report: dict[str, DataFrame]) -> None:
         s.unpersist()
 
 
-__all__ = ["top_partners", "top_categories", "world_trade", "single_report", "unpersist_report", "balance"]
+__all__ = ["top_partners", "top_categories", "world_trade", "single_report", "unpersist_report"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
 
 
 def _fs(spark: SparkSession, path: str):
@@ -86,8 +86,6 @@ def file_name(mode: str, country: str, years: tuple[int, int], partners=(), cate
     A one-year range collapses to the year; the category becomes a slug.
     """
     def s(x: str) -> str:
-        import re
-
         return re.sub(r"\s+", "_", x.lower())
 
     span = str(years[0]) if years[0] == years[1] else f"{years[0]}_{years[1]}"
@@ -114,4 +112,4 @@ def export_result(df: DataFrame, directory: str, name: str, fmt: str = "csv", mo
 
 
 __all__ = ["exists", "write_flows", "write_table", "materialize", "write_dimensions", "file_name",
-           "export_result", "slug"]
+           "export_result"]
