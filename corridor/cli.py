@@ -1,6 +1,6 @@
 """Command line: build the serving tables, run a report query, export it.
 
-    python -m corridor.cli build --raw 'raw/BACI_*.csv' --codes codes.csv --sections hs_sections.json \
+    python -m corridor.cli build --raw 'raw/flows_*.csv' --codes codes.csv --sections hs_sections.json \
         --countries countries.json --current cur.csv --constant const.csv --gdp gdp.csv \
         --years 2002 2023 --out /shared/serving
     python -m corridor.cli query top_partners --root /shared/serving --country Kenya --years 2010 2020 \

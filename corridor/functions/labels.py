@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Currency prefixes of the unit labels.
+# Display wording that must agree with the reference product.
 CURRENCY_PREFIX = {"usd": "US$", "eur": "€", "cad": "CA$", "gbp": "£"}
+MONEY_SUFFIX_LONG = "Million"
+MONEY_SUFFIX_SHORT = "M"
+GDP_SUFFIX = "% of GDP"
+SMALL_POSITIVE = "< 0.01"
+SMALL_NEGATIVE = "> -0.01"
+NUMBER_PATTERN = "#,##0.0#"   # thousands separators, one or two decimals
 
 
 def _col(c: Column | str) -> Column:
@@ -29,9 +35,9 @@ def value_label(c: Column | str) -> Column:
     r = F.round(c.cast("decimal(38,6)"), 2)
     return (
         F.when(c.isNull() | (c == 0), F.lit("0"))
-        .when((c > 0) & (c < 0.01), F.lit("< 0.01"))
-        .when((c < 0) & (c > -0.01), F.lit("> -0.01"))
-        .otherwise(F.call_function("format_number", r, F.lit("#,##0.0#")))
+        .when((c > 0) & (c < 0.01), F.lit(SMALL_POSITIVE))
+        .when((c < 0) & (c > -0.01), F.lit(SMALL_NEGATIVE))
+        .otherwise(F.call_function("format_number", r, F.lit(NUMBER_PATTERN)))
     )
 
 
@@ -42,7 +48,8 @@ def unit_text(unit: Column | str, long: bool = True, value: Column | None = None
         F.element_at(F.create_map(*[x for kv in CURRENCY_PREFIX.items() for x in map(F.lit, kv)]), unit),
         F.lit(""),
     )
-    suffix = F.when(unit == "gdp", F.lit("% of GDP")).otherwise(F.lit("Million" if long else "M"))
+    suffix = F.when(unit == "gdp", F.lit(GDP_SUFFIX)).otherwise(
+        F.lit(MONEY_SUFFIX_LONG if long else MONEY_SUFFIX_SHORT))
     prefix = F.when(unit == "gdp", F.lit("")).otherwise(prefix)
     if value is None:
         return F.concat(prefix, F.lit(" "), suffix)

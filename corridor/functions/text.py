@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Wording of measure names in labels.
+BALANCE_LABEL = "trade balance"
+IN_SENTENCE = (("balance", "balance with"), ("exports", "exports to"), ("imports", "imports from"))
+
 # A string is a repair candidate when every character fits in one Latin-1 byte
 # and the byte sequence is well-formed UTF-8 containing at least one multi-byte
 # character: that is exactly UTF-8 text that was read as Latin-1.
@@ -41,11 +45,10 @@ def label(c: Column | str, capitalize: bool = True, in_sentence: bool = False, f
     preposition; the first character is upper-cased; file mode slugs it.
     """
     c = F.col(c) if isinstance(c, str) else c
-    out = F.regexp_replace(c, "^(.*?)balance", "$1trade balance")  # first occurrence only
+    out = F.regexp_replace(c, "^(.*?)balance", f"$1{BALANCE_LABEL}")  # first occurrence only
     if in_sentence:
-        out = F.regexp_replace(out, r"\bbalance\b", "balance with")
-        out = F.regexp_replace(out, r"\bexports\b", "exports to")
-        out = F.regexp_replace(out, r"\bimports\b", "imports from")
+        for word, phrase in IN_SENTENCE:
+            out = F.regexp_replace(out, rf"\b{word}\b", phrase)
     if capitalize:
         out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
     if file_mode:

@@ -13,6 +13,8 @@ UNITS = ("usd", "cad", "eur", "gbp", "gdp")
 PRICES = ("constant", "current")
 FLOWS = ("exports", "imports")
 MAX_PARTNERS = 5
+GDP_UNIT_LABEL = "share of gdp"
+MONEY_UNIT_LABEL = "{prices} {unit} million"
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ class Params:
 
     @property
     def unit_label(self) -> str:
-        return "share of gdp" if self.is_gdp else f"{self.prices} {self.unit} million"
+        return GDP_UNIT_LABEL if self.is_gdp else MONEY_UNIT_LABEL.format(prices=self.prices, unit=self.unit)
 
     @property
     def years_label(self) -> str:

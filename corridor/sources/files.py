@@ -20,8 +20,8 @@ def read_raw_flows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return spark.read.schema(schemas.RAW_FLOWS).option("header", True).option("mode", "FAILFAST").csv(paths)
 
 
-def yearly_paths(directory: str, years: Iterable[int], pattern: str = "BACI_HS02_Y{year}_V{version}.csv",
-                 version: str = "202501") -> list[str]:
+def yearly_paths(directory: str, years: Iterable[int], pattern: str = "flows_{year}.csv",
+                 version: str = "") -> list[str]:
     """File names of the yearly flow files of a range."""
     return [f"{directory.rstrip('/')}/{pattern.format(year=y, version=version)}" for y in years]
 

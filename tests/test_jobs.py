@@ -12,10 +12,10 @@ from corridor.plans import jobs, multi, single
 def _inputs(d):
     raw = d / "raw"
     raw.mkdir()
-    (raw / "BACI_HS02_Y2002_V202501.csv").write_text(
+    (raw / "flows_2002.csv").write_text(
         "t,i,j,k,v,q\n2002,1,2,010101,10000,1\n2002,1,3,060101,20000,1\n2002,2,1,010101,3000,1\n"
         "2002,1,2,980000,500,1\n2002,1,9,010101,700,1\n")
-    (raw / "BACI_HS02_Y2003_V202501.csv").write_text(
+    (raw / "flows_2003.csv").write_text(
         "t,i,j,k,v,q\n2003,1,2,010101,12000,1\n2003,3,1,060101,8000,1\n")
     (d / "codes.csv").write_text(
         "country_code,country_name,country_iso2,country_iso3\n1,Kenya,KE,KEN\n2,TÃ¼rkiye,TR,TUR\n3,Peru,PE,PER\n"

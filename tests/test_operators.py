@@ -109,7 +109,7 @@ def test_json_settings_readers(spark, tmp_path):
 
 
 def test_raw_csv_reader_keeps_leading_zeros(spark, tmp_path):
-    p = tmp_path / "BACI_HS02_Y2002_V202501.csv"
+    p = tmp_path / "flows_2002.csv"
     p.write_text("t,i,j,k,v,q\n2002,4,8,010121,12.5,1.0\n2002,4,8,100190,3.25,NA\n")
     df = files.read_raw_flows(spark, files.yearly_paths(str(tmp_path), [2002]))
     assert [(r.k, r.v) for r in df.collect()] == [("010121", 12.5), ("100190", 3.25)]

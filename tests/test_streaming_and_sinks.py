@@ -17,7 +17,7 @@ def _inputs(spark):
 
 
 def _write_year(d, year, rows):
-    p = d / f"BACI_HS02_Y{year}_V202501.csv"
+    p = d / f"flows_{year}.csv"
     p.write_text("t,i,j,k,v,q\n" + "".join(f"{year},{i},{j},{k},{v},1\n" for i, j, k, v in rows))
 
 
