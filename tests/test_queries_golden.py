@@ -179,3 +179,17 @@ def test_q7_multi_report(micro):
 def test_unit_labels(micro, unit):
     df = single.top_partners(micro, Params("A", Y, unit=unit, prices="constant"))
     assert df.first().unit == f"constant {unit} million"
+
+
+def test_report_runs_concurrently(spark, micro):
+    from corridor.plans.concurrent import fetch_all
+
+    rep = single.single_report(micro, Params("A", Y))
+    try:
+        got = fetch_all(spark, rep, pool="reports")
+    finally:
+        single.unpersist_report(rep)
+    assert set(got) == {"partners", "categories", "world_trade"}
+    assert sorted((r.partner, r.value) for r in got["partners"]) == [("B", 27.0), ("C", 26.0)]
+    got = fetch_all(spark, multi.multi_report(micro, Params("A", Y, partners=("G2",))))
+    assert len(got["plot"]) == 2 and len(got["table"]) == 2
