@@ -2,8 +2,10 @@
 
 Runs on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and prints one JSON line. Each query is run to
-completion through the no-op sink (every row computed, nothing collected);
-the reported time is the median of ``$BENCH_REPS`` runs after one warm-up.
+completion through the no-op sink (every row computed, nothing collected).
+One warm-up round runs every job once (JIT, file listing, broadcast code
+paths); then each job runs ``$BENCH_REPS`` timed times in a row and the
+reported time is their median.
 The serving tables are built once before timing; T1 times that build on its
 own, writing the partitioned fact to a fresh folder each run.
 """
@@ -55,15 +57,15 @@ def main() -> None:
             cat, Params("NATION_8", YEARS, unit="gdp", partners=GROUPS))),
         "t1_build_flows": lambda: write_flows(fixture_flows(spark, sf_dir), f"{scratch}/{uuid.uuid4().hex[:8]}"),
     }
-    times: dict[str, float] = {}
+    for job in jobs.values():  # warm-up round
+        job()
+    runs: dict[str, list[float]] = {name: [] for name in jobs}
     for name, job in jobs.items():
-        job()  # warm-up
-        runs = []
         for _ in range(reps):
             t = time.perf_counter()
             job()
-            runs.append(time.perf_counter() - t)
-        times[name] = round(statistics.median(runs), 4)
+            runs[name].append(time.perf_counter() - t)
+    times = {name: round(statistics.median(r), 4) for name, r in runs.items()}
     print(json.dumps({
         "metric": "median_sec_sum_q1_q5_t1",
         "value": round(sum(times.values()), 4),
