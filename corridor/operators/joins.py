@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +10,22 @@ from pyspark.sql import functions as F
 # larger is joined by shuffle instead.
 DIM_ROW_LIMIT = 2_000_000
 
-_checked: dict[int, tuple[weakref.ref, bool]] = {}
+_checked: dict[int, list[tuple[DataFrame, int, bool]]] = {}
 
 
 def is_small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> bool:
     """Does ``df`` have at most ``max_rows`` rows?  Reads at most ``max_rows + 1``.
 
-    The answer is remembered per DataFrame object, so a dimension loaded once
-    is checked once.
+    The answer is remembered per logical plan (``semanticHash`` confirmed by
+    ``sameSemantics``), so a dimension is counted once per session however
+    often an identical plan for it is built.
     """
-    key = id(df)
-    hit = _checked.get(key)
-    if hit is not None and hit[0]() is df:  # same live object, not a recycled id
-        return hit[1]
+    h = df.semanticHash()
+    for other, limit, ok in _checked.get(h, []):
+        if limit == max_rows and other.sameSemantics(df):
+            return ok
     ok = df.limit(max_rows + 1).count() <= max_rows
-    _checked[key] = (weakref.ref(df), ok)
+    _checked.setdefault(h, []).append((df, max_rows, ok))
     return ok
 
 

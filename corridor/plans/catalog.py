@@ -61,20 +61,30 @@ class Catalog:
 _cache: dict[tuple, Catalog] = {}
 
 
+class _Sources(dict):
+    """Fixture inputs built on first use (some builders check sizes eagerly)."""
+
+    def __init__(self, makers):
+        super().__init__()
+        self._makers = makers
+
+    def __missing__(self, key):
+        value = self[key] = self._makers[key]()
+        return value
+
+
 def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every input of the fixture dataset, lazily derived from the driver's tables."""
-    countries = fixture.countries(spark, sf_dir)
-    sections = fixture.sections(spark)
-    return {
-        "raw": fixture.raw_flows(spark, sf_dir),
-        "country_codes": fixture.country_codes(spark, sf_dir),
-        "countries": countries,
-        "sections": sections,
-        "membership": mem.build_membership(countries),
-        "current": convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
-        "constant": fixture.constant_conversion(spark, sf_dir),
-        "gdp": fixture.gdp_table(spark, sf_dir),
-    }
+    """Every input of the fixture dataset, derived from the driver's tables on demand."""
+    return _Sources({
+        "raw": lambda: fixture.raw_flows(spark, sf_dir),
+        "country_codes": lambda: fixture.country_codes(spark, sf_dir),
+        "countries": lambda: fixture.countries(spark, sf_dir),
+        "sections": lambda: fixture.sections(spark),
+        "membership": lambda: mem.build_membership(fixture.countries(spark, sf_dir)),
+        "current": lambda: convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
+        "constant": lambda: fixture.constant_conversion(spark, sf_dir),
+        "gdp": lambda: fixture.gdp_table(spark, sf_dir),
+    })
 
 
 def fixture_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,15 @@ SECTION_RANGES = (
 )
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One read handle per table and session: listing and footers are read once."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(key[1])
+    return _tables[key]
 
 
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +96,12 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession) -> DataFrame:
-    """D3 as (section, chapters[]) built from the range rule."""
-    rows = [(sec, [f"{c:02d}" for c in range(lo, hi + 1)]) for lo, hi, sec in SECTION_RANGES]
-    return spark.createDataFrame(rows, "category string, chapters array<string>")
+    """D3 as (section, chapters[]) built from the range rule, as a literal VALUES relation."""
+    rows = ", ".join(
+        f"('{sec}', array({', '.join(repr(f'{c:02d}') for c in range(lo, hi + 1))}))"
+        for lo, hi, sec in SECTION_RANGES
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS sections(category, chapters)")
 
 
 def years(spark: SparkSession, time_range: tuple[int, int] = TIME_RANGE) -> DataFrame:
