@@ -33,6 +33,9 @@ def build_gdp(scaffold: DataFrame, indicators: DataFrame, aliases: DataFrame, de
         .select("year", "entity_name", (F.col("value") * F.lit(1000.0)).alias("gdp_current")),
         "entity_name", aliases,
     ).where(F.col("iso3").isNotNull()).drop("entity_name")
+    dupes = gdp.groupBy("iso3", "year").count().where(F.col("count") > 1)
+    if dupes.limit(1).count():  # a left join would fan the scaffold out
+        raise ValueError(f"GDP values not unique per (iso3, year), e.g. {dupes.first().asDict()}")
     base = deflators.where(F.col("country") == base_country)
     d_base = base.where(F.col("year") == base_year).select(F.max("deflator")).scalar()
     rebased = small(base.select("year", (F.col("deflator") / d_base).alias("d")))

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators import membership as mem
 from ..operators import normalize
-from ..sinks.files import write_dimensions, write_flows, write_table
+from ..sinks.files import write_dimensions, write_flows, write_table, write_wide
 from ..sources import files
 from .catalog import Catalog
 
 
 def build_serving_tables(spark: SparkSession, *, raw_paths: Sequence[str], country_codes: str, sections: str,
                          countries: str, current: str, constant: str, gdp: str, out_root: str,
-                         time_range: tuple[int, int]) -> Catalog:
+                         time_range: tuple[int, int], wide: bool = False) -> Catalog:
     """T1 + T2 end to end: one scan of every yearly file, then the small tables (K1, K4).
 
     ``current``/``constant``/``gdp`` are the header CSVs of the factor and GDP
-    builders. Everything lands under ``out_root`` as Parquet.
+    builders. Everything lands under ``out_root`` as Parquet; ``wide`` also
+    writes the pivoted view (one column per category) read back from the long
+    fact, so the raw files are scanned once.
     """
     out = out_root.rstrip("/")
     sec = files.read_sections(spark, sections)
@@ -28,6 +30,10 @@ def build_serving_tables(spark: SparkSession, *, raw_paths: Sequence[str], count
     flows = normalize.build_flows(files.read_raw_flows(spark, raw_paths), sec,
                                   files.read_country_codes(spark, country_codes), cty)
     write_flows(flows, f"{out}/flows", mode="overwrite")
+    cats = [r[0] for r in sec.select("category").collect()]  # the section list: a few dozen names
+    if wide:
+        write_wide(normalize.to_wide(spark.read.parquet(f"{out}/flows"), sorted(cats)), f"{out}/flows_wide",
+                   mode="overwrite")
     membership = mem.build_membership(cty)
     write_table(membership, f"{out}/membership", mode="overwrite")
     for kind, path in (("current", current), ("constant", constant), ("gdp", gdp)):

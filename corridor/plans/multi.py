@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions.measures import out, share
 from ..operators.joins import bounded
 from ..params import Params
 from .catalog import Catalog
-from .core import converted, gdp_by_year, sided, year_spine
+from .core import converted, gdp_by_year, isin, sided, year_spine
 
 
 def selected_groups(cat: Catalog, p: Params) -> list[str]:
@@ -100,5 +103,17 @@ def partner_matrix(cat: Catalog, p: Params) -> DataFrame:
 
 
 def multi_report(cat: Catalog, p: Params) -> dict[str, DataFrame]:
-    """Q7: series and matrix. No known partner -> both results are empty."""
-    return {"plot": partner_series(cat, p), "table": partner_matrix(cat, p)}
+    """Q7: series and matrix over one persisted slice. No known partner -> both are empty.
+
+    The slice (period, flows between the reporter set and the partners in
+    either direction) is persisted (memory, then disk) and recomputable from
+    its lineage; release it with ``single.unpersist_report``.
+    """
+    reporters = cat.members(p.country)
+    partners = cat.members(selected_groups(cat, p))
+    y0, y1 = p.years
+    both = (isin("exporter", reporters) & isin("importer", partners)) | (
+        isin("importer", reporters) & isin("exporter", partners))
+    part = cat.flows.where(F.col("year").between(y0, y1)).where(both).persist(StorageLevel.MEMORY_AND_DISK)
+    sub = replace(cat, flows=part)
+    return {"plot": partner_series(sub, p), "table": partner_matrix(sub, p), "_slice": part}

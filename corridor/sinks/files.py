@@ -39,6 +39,18 @@ def write_flows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def write_wide(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Wide view (one DECIMAL(8,2) column per category) as snappy Parquet by year (K1)."""
+    (
+        df.repartitionByRange("year", "exporter")
+        .sortWithinPartitions("year", "exporter", "importer")
+        .write.mode(mode)
+        .option("compression", "snappy")
+        .partitionBy("year")
+        .parquet(path)
+    )
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Small dimension or result table: Parquet, or CSV with a header (K2)."""
     w = df.write.mode(mode)
@@ -111,5 +123,5 @@ def export_result(df: DataFrame, directory: str, name: str, fmt: str = "csv", mo
     return path
 
 
-__all__ = ["exists", "write_flows", "write_table", "materialize", "write_dimensions", "file_name",
+__all__ = ["exists", "write_flows", "write_wide", "write_table", "materialize", "write_dimensions", "file_name",
            "export_result"]

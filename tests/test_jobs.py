@@ -37,8 +37,11 @@ def test_build_and_query(spark, tmp_path):
         spark, raw_paths=raw, country_codes=str(tmp_path / "codes.csv"), sections=str(tmp_path / "sections.json"),
         countries=str(tmp_path / "countries.json"), current=str(tmp_path / "cur.csv"),
         constant=str(tmp_path / "const.csv"), gdp=str(tmp_path / "gdp.csv"), out_root=str(tmp_path / "serving"),
-        time_range=(2002, 2003))
+        time_range=(2002, 2003), wide=True)
     assert cat.flows.count() == 5  # 98 unmapped and uncovered Chad dropped
+    wide = spark.read.parquet(str(tmp_path / "serving" / "flows_wide"))
+    assert sorted(wide.columns) == ["Animals", "Plants", "exporter", "importer", "year"]
+    assert wide.count() == 5
     assert cat.groups["G20"] == ("Peru", "Türkiye")
     got = {r.partner: r.value for r in single.top_partners(cat, Params("Kenya", (2002, 2003))).collect()}
     assert got == {"Türkiye": 22.0, "Peru": 20.0}

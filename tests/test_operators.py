@@ -181,6 +181,9 @@ def test_gdp_and_coverage(spark):
     defl = spark.createDataFrame([("USA", 2003, 1.0, 1.0)], "country string, year int, deflator double, lcu_per_usd double")
     g = {r.country: r.gdp_constant for r in coverage.build_gdp(scaffold, ind, aliases, defl, "USA", 2003).collect()}
     assert g == {"Kenya": 2000.0, "Peru": 3000.0}
+    dup = ind.unionByName(spark.createDataFrame([("Kenya ", "NGDPD", "U.S. dollars", 2003, 7.0)], ind.schema))
+    with pytest.raises(ValueError):
+        coverage.build_gdp(scaffold, dup, aliases, defl, "USA", 2003)
     countries = spark.createDataFrame([("Kenya",), ("Peru",)], "country string")
     c = coverage.build_coverage(countries, ind, aliases, 2003).first()
     assert (c.n_countries, c.gdp_share, c.pop_share) == (2, 50.0, 25.0)

@@ -172,7 +172,10 @@ def test_q6_report_shares_one_slice(micro):
 
 def test_q7_multi_report(micro):
     rep = multi.multi_report(micro, Params("A", Y, partners=("G2",)))
-    assert rep["plot"].count() == 2 and rep["table"].count() == 2
+    try:
+        assert rep["plot"].count() == 2 and rep["table"].count() == 2
+    finally:
+        single.unpersist_report(rep)
 
 
 @pytest.mark.parametrize("unit", ["usd", "cad", "eur", "gbp"])
@@ -191,5 +194,7 @@ def test_report_runs_concurrently(spark, micro):
         single.unpersist_report(rep)
     assert set(got) == {"partners", "categories", "world_trade"}
     assert sorted((r.partner, r.value) for r in got["partners"]) == [("B", 27.0), ("C", 26.0)]
-    got = fetch_all(spark, multi.multi_report(micro, Params("A", Y, partners=("G2",))))
+    rep = multi.multi_report(micro, Params("A", Y, partners=("G2",)))
+    got = fetch_all(spark, rep)
+    single.unpersist_report(rep)
     assert len(got["plot"]) == 2 and len(got["table"]) == 2
