@@ -50,7 +50,15 @@ def etl_audit() -> str:
 
 
 def dim_sections() -> str:
-    return with_fixture("SELECT chapter, category FROM sections")
+    return with_fixture("""
+        SELECT DISTINCT s.chapter, s.category FROM raw_flows r JOIN sections s ON substr(r.k, 1, 2) = s.chapter""")
+
+
+def section_coverage() -> str:
+    return with_fixture("""
+        SELECT substr(r.k, 1, 2) AS chapter, s.category, COUNT(*) AS n_lines
+        FROM raw_flows r LEFT JOIN sections s ON substr(r.k, 1, 2) = s.chapter
+        GROUP BY substr(r.k, 1, 2), s.category""")
 
 
 def dim_countries() -> str:
@@ -108,7 +116,10 @@ def rest_of_sample(group: str) -> str:
 
 
 def factor_current() -> str:
-    return with_fixture("SELECT year, usd_current, cad_current, eur_current, gbp_current FROM current_conversion")
+    return with_fixture("""
+        SELECT c.year, c.usd_current, c.cad_current, c.eur_current, c.gbp_current
+        FROM current_conversion c
+        WHERE c.year IN (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) FROM orders)""")
 
 
 def factor_constant() -> str:

@@ -25,6 +25,16 @@ def chapter_sections(sections: DataFrame) -> DataFrame:
     return sections.select(F.explode("chapters").alias("chapter"), "category")
 
 
+def chapter_coverage(raw: DataFrame, sections: DataFrame) -> DataFrame:
+    """Product chapters present in the raw flows, their section (null when unmapped) and line counts."""
+    return (
+        raw.select(F.substring("k", 1, 2).alias("chapter"))
+        .groupBy("chapter").agg(F.count(F.lit(1)).alias("n_lines"))
+        .join(small(chapter_sections(sections)), "chapter", "left")
+        .select("chapter", "category", "n_lines")
+    )
+
+
 def country_names(country_codes: DataFrame, covered: DataFrame) -> DataFrame:
     """code -> repaired display name, restricted to covered countries.
 

@@ -120,7 +120,12 @@ def _audit(spark, d):
 register("etl_audit", _audit, oracle_ops.etl_audit)
 
 # ---- T2 dimensions and group operators ---------------------------------------
-register("dim_sections", lambda spark, d: normalize.chapter_sections(fixture.sections(spark)), oracle_ops.dim_sections)
+# the section map applied to the chapters that occur in the order lines
+register("dim_sections", lambda spark, d: normalize.chapter_coverage(
+    fixture_sources(spark, d)["raw"], fixture.sections(spark)).where(F.col("category").isNotNull()).select(
+    "chapter", "category"), oracle_ops.dim_sections)
+register("section_coverage", lambda spark, d: normalize.chapter_coverage(
+    fixture_sources(spark, d)["raw"], fixture.sections(spark)), oracle_ops.section_coverage)
 register("dim_countries", lambda spark, d: normalize.country_names(
     fixture.country_codes(spark, d), fixture.countries(spark, d)), oracle_ops.dim_countries)
 register("dim_membership", lambda spark, d: membership.build_membership(fixture.countries(spark, d)),
@@ -147,8 +152,9 @@ register("slugs", lambda spark, d: membership.build_membership(fixture.countries
 
 # ---- T3-T6 factor, GDP and coverage builders ---------------------------------
 register("gdp_table", lambda spark, d: fixture_catalog(spark, d).gdp, oracle_ops.gdp_table)
-register("factor_current", lambda spark, d: convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
-         oracle_ops.factor_current)
+register("factor_current", lambda spark, d: convert.build_current_factors(
+    fixture.fx(spark, fixture.observed_years(spark, d)), fixture.observed_years(spark, d)),
+    oracle_ops.factor_current)
 register("factor_constant", lambda spark, d: convert.build_constant_factors(
     fixture.scaffold(spark, d), fixture.deflators(spark, d), fixture.fx(spark), fixture.BASE_YEAR),
     oracle_ops.factor_constant)

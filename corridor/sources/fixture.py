@@ -108,6 +108,11 @@ def years(spark: SparkSession, time_range: tuple[int, int] = TIME_RANGE) -> Data
     return spark.range(time_range[0], time_range[1] + 1).select(F.col("id").cast("int").alias("year"))
 
 
+def observed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years present in the orders (the data's own range)."""
+    return _read(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("int").alias("year")).distinct()
+
+
 def _nation_years(spark: SparkSession, sf_dir: str, covered_only: bool = True) -> DataFrame:
     n = _read(spark, sf_dir, "nation")
     if covered_only:
@@ -126,9 +131,9 @@ def _dec(expr: str) -> Column:
     return F.expr(f"CAST({expr} AS DECIMAL(10,4))")
 
 
-def fx(spark: SparkSession) -> DataFrame:
-    """Currency units per US dollar by year (current prices)."""
-    y = years(spark)
+def fx(spark: SparkSession, year_frame: DataFrame | None = None) -> DataFrame:
+    """Currency units per US dollar by year (current prices), for the configured or given years."""
+    y = years(spark) if year_frame is None else year_frame
     rate = {
         "usd": "1.0000",
         "cad": "1.2000 + 0.0200 * (year - 1995)",
