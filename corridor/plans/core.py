@@ -67,10 +67,13 @@ def sided(cat: Catalog, p: Params, reporters: Sequence[str], sides: Sequence[str
         me, other = ("exporter", "importer") if s == "exports" else ("importer", "exporter")
         return f.select("year", F.lit(s).alias("side"), F.col(me).alias("reporter"),
                         F.col(other).alias("counterpart"), "category", "value")
-    # one input row -> one row per side it qualifies for (no second scan)
-    rows = F.filter(F.array(*[F.when(conds[s], view(s)) for s in sides]), lambda x: x.isNotNull())
-    return f.select("year", "category", "value", F.explode(rows).alias("v")).select(
-        "year", "v.side", "v.reporter", "v.counterpart", "category", "value"
+    # one input row -> one row per side it qualifies for (no second scan); the
+    # explode of a plain array stays inside whole-stage codegen
+    rows = F.array(*[F.when(conds[s], view(s)) for s in sides])
+    return (
+        f.select("year", "category", "value", F.explode(rows).alias("v"))
+        .where(F.col("v").isNotNull())
+        .select("year", "v.side", "v.reporter", "v.counterpart", "category", "value")
     )
 
 
