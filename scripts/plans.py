@@ -31,10 +31,13 @@ def plan_text(df) -> str:
 
 def summary(text: str) -> str:
     final = text.split("\n\n")[0].split("+- == Initial Plan ==")[0]
-    scans = re.findall(r"Location: InMemoryFileIndex[^\n]*?/([a-z_]+)(?:\.parquet)?\]", text)
+    ids = re.findall(r"Scan parquet\s+\((\d+)\)", final)
+    blocks = [re.search(rf"\n\({i}\) Scan parquet.*?\n\n", text, re.S).group(0) for i in ids]
+    scans = [m.group(1) for b in blocks
+             for m in [re.search(r"Location: InMemoryFileIndex[^\n]*?/([a-z_]+)(?:\.parquet)?\]", b)] if m]
     pushed = sorted(set(re.findall(r"PushedFilters: (\[[^\n]*\])", text)))
     return "\n".join([
-        f"- file scans in final plan: {final.count('Scan parquet')} ({', '.join(sorted(set(scans)))})",
+        f"- file scans in final plan: {len(ids)} ({', '.join(sorted(scans))})",
         f"- shuffles (Exchange): {len(re.findall(r'(?<!Broadcast)Exchange [(]', final))}, "
         f"broadcasts: {final.count('BroadcastExchange (') + final.count('ReusedExchange')}",
         f"- sort-merge joins: {final.count('SortMergeJoin')}, broadcast hash joins: {final.count('BroadcastHashJoin')}",
