@@ -173,6 +173,15 @@ def coverage_display(year: int) -> str:
                                 "FROM base")
 
 
+def sample_note(year: int, reporter: str) -> str:
+    return over(coverage(year), f"""
+        SELECT {q(reporter)} AS country,
+               CAST(n_countries - (SELECT COUNT(*) FROM ({dim_membership()}) m WHERE m.group_name = {q(reporter)})
+                    AS INTEGER) AS n_partners,
+               ROUND(gdp_share, 1) AS gdp_share, ROUND(pop_share, 1) AS pop_share
+        FROM base""")
+
+
 def missing_factors(reporter: str, years: tuple[int, int]) -> str:
     m = f"(SELECT country FROM membership WHERE group_name = {q(reporter)})"
     y0, y1 = years

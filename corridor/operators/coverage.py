@@ -74,3 +74,15 @@ def build_coverage(countries: DataFrame, indicators: DataFrame, aliases: DataFra
 def coverage_display(cov: DataFrame) -> DataFrame:
     """Shares as shown: one decimal place."""
     return cov.select("n_countries", F.round("gdp_share", 1).alias("gdp_share"), F.round("pop_share", 1).alias("pop_share"))
+
+
+def sample_note(cov: DataFrame, membership: DataFrame, reporter: str) -> DataFrame:
+    """Counterparts of a reporter within the sample, with the shares as shown.
+
+    The sample has ``n_countries`` members; a reporter group's own members are
+    not its partners. The group size is a scalar subquery.
+    """
+    size = membership.where(F.col("group_name") == reporter).select(F.count("country")).scalar()
+    return coverage_display(cov).select(
+        F.lit(reporter).alias("country"), (F.col("n_countries") - size).cast("int").alias("n_partners"),
+        "gdp_share", "pop_share")

@@ -167,6 +167,10 @@ register("coverage", lambda spark, d: coverage.build_coverage(
 register("coverage_display", lambda spark, d: coverage.coverage_display(coverage.build_coverage(
     fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1])),
     lambda: oracle_ops.coverage_display(fixture.TIME_RANGE[1]))
+register("sample_note", lambda spark, d: coverage.sample_note(coverage.build_coverage(
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1]),
+    membership.build_membership(fixture.countries(spark, d)), "EUROPE"),
+    lambda: oracle_ops.sample_note(fixture.TIME_RANGE[1], "EUROPE"))
 # a random draw: no oracle, the driver checks rows only
 register("random_counterparts", lambda spark, d: membership.random_counterparts(
     membership.build_membership(fixture.countries(spark, d)), "ASIA", n=5, seed=42))
