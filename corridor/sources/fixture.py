@@ -45,20 +45,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 from the order lines: (t, i, j, k, v), v in thousand USD.
 
-    The joins are left to the planner: customer and supplier are broadcast
-    while under the size threshold and shuffled beyond it.
+    Orders meet customers first (an orders-sized join), so the line items are
+    shuffled only for the order join and the supplier join; at small scale the
+    planner broadcasts the smaller sides instead.
     """
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    oc = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey", F.year("o_orderdate").cast("int").alias("t"), "c_nationkey")
     return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, o.o_custkey == c.c_custkey)
+        li.join(oc, li.l_orderkey == oc.o_orderkey)
         .join(s, li.l_suppkey == s.s_suppkey)
         .where(F.col("s_nationkey") != F.col("c_nationkey"))
         .select(
-            F.year("o_orderdate").cast("int").alias("t"),
+            "t",
             F.col("s_nationkey").alias("i"),
             F.col("c_nationkey").alias("j"),
             F.lpad(((F.col("l_partkey") * 7919) % 1000000).cast("string"), 6, "0").alias("k"),
