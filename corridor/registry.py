@@ -67,6 +67,7 @@ _Q2 = {
     "top_categories_constant": Params("BLOC_A", (1996, 2001), unit="cad", prices="constant", flow="imports"),
     "top_categories_gdp": Params("NATION_9", YEARS, unit="gdp", flow="exports"),
     "top_categories_in_group": Params("EUROPE", YEARS, unit="gbp", flow="imports", group="BLOC_B"),
+    "top_categories_one_year": Params("NATION_12", (1999, 1999), unit="gdp", flow="imports"),
 }
 for _n, _p in _Q2.items():
     register(_n, _q(single.top_categories, _p), lambda p=_p: oracle.top_categories(p))
@@ -80,6 +81,8 @@ _Q3 = {
     "world_trade_one_category": (Params("NATION_0", YEARS, unit="usd", category="S19"), False),
     "world_trade_group_category": (Params("AFRICA", YEARS, unit="gdp", category="S03"), False),
     "world_trade_fixed": (Params("NATION_0", YEARS, unit="usd", category="S19"), True),
+    "world_trade_fixed_gdp": (Params("ASIA", YEARS, unit="gdp", category="S03"), True),
+    "world_trade_one_year": (Params("BLOC_A", (1998, 1998), unit="gbp", prices="constant"), False),
 }
 for _n, (_p, _f) in _Q3.items():
     register(_n, _q(single.world_trade, _p, fixed=_f), lambda p=_p, f=_f: oracle.world_trade(p, f))
@@ -92,6 +95,8 @@ _MULTI = {
     "overlap": Params("NATION_8", (1996, 2000), unit="gbp", category="S03",
                       partners=("BLOC_A", "BLOC_B", "AFRICA")),
     "missing_factor": Params("NATION_5", YEARS, unit="cad", prices="constant", partners=("AMERICA", "NATION_7")),
+    "group_reporter": Params("EUROPE", (1996, 2000), unit="gdp", partners=("AFRICA", "NATION_2", "BLOC_A")),
+    "one_year": Params("MIDDLE EAST", (2001, 2001), unit="eur", partners=("AMERICA", "ASIA")),
 }
 for _n, _p in _MULTI.items():
     _g = list(dict.fromkeys(_p.partners))
