@@ -291,3 +291,29 @@ def test_share_of_zero_gdp_is_null(spark):
     got = [r[0] for r in df.select(share(F.col("x"), F.col("g"))).collect()]
     assert got[0] is None and got[1] == 2.5 and got[2] is None
     assert not any(isinstance(v, float) and math.isinf(v) for v in got if v is not None)
+
+
+def test_typed_table_readers(spark, tmp_path):
+    (tmp_path / "cov.csv").write_text("n_countries,gdp_share,pop_share\n112,86.25,70.5\n")
+    r = files.read_coverage(spark, str(tmp_path / "cov.csv")).first()
+    assert (r.n_countries, r.gdp_share, r.pop_share) == (112, 86.25, 70.5)
+    (tmp_path / "ind.csv").write_text("entity_name,indicator_code,unit,year,value\nKenya,LP,Persons,2020,53.0\n")
+    ind = files.read_indicators(spark, str(tmp_path / "ind.csv"), fmt="csv")
+    assert ind.dtypes == [("entity_name", "string"), ("indicator_code", "string"), ("unit", "string"),
+                          ("year", "int"), ("value", "double")]
+    (tmp_path / "const.csv").write_text("year,country,usd_constant,cad_constant,eur_constant,gbp_constant\n"
+                                        "2020,Kenya,1.5,,2,2.5\n")
+    c = files.read_factor_table(spark, str(tmp_path / "const.csv"), "constant").first()
+    assert (c.year, c.country, c.usd_constant, c.cad_constant) == (2020, "Kenya", 1.5, None)
+    files.register_tables(spark, {"coverage_t": files.read_coverage(spark, str(tmp_path / "cov.csv"))})
+    assert spark.sql("SELECT n_countries FROM coverage_t").first()[0] == 112
+    assert [r.value for r in files.literal_relation(spark, ["a", "b"]).collect()] == ["a", "b"]
+
+
+def test_wide_view_overflow_fails_loudly(spark):
+    if spark.conf.get("spark.sql.ansi.enabled") != "true":
+        pytest.skip("overflow raises only under ANSI mode")
+    flows = spark.createDataFrame([(2002, "A", "B", "X", D("1000000.00"))],
+                                  "year int, exporter string, importer string, category string, value decimal(18,2)")
+    with pytest.raises(Exception):
+        normalize.to_wide(flows, ["X"]).collect()
