@@ -24,12 +24,12 @@ def selected_groups(cat: Catalog, p: Params) -> list[str]:
     return seen
 
 
-def _by_group(cat: Catalog, p: Params, groups: list[str], category: str | None, keys: list[str]) -> DataFrame:
-    """Converted bilateral flows rolled up to the selected partner groups.
+def _rolled(cat: Catalog, p: Params, groups: list[str], category: str | None) -> DataFrame:
+    """Converted bilateral flows per selected partner group (M2, L12): year, partner, category, e, i.
 
     A counterpart in k selected groups counts once in each of them. The
     membership rows of the (at most five) selected groups are broadcast and
-    joined before the partial aggregate, so there is a single shuffle.
+    joined before any aggregate, so the caller's aggregate is the only shuffle.
     """
     reporters = cat.members(p.country)
     partners = cat.members(groups)
@@ -38,13 +38,19 @@ def _by_group(cat: Catalog, p: Params, groups: list[str], category: str | None,
         cat.membership.where(F.col("group_name").isin(groups)).select(
             F.col("country").alias("counterpart"), F.col("group_name").alias("partner"))
     )
-    amt = converted(cat, p, view, reporters).join(roll, "counterpart", "inner")
-    return amt.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == "exports", F.col("amount"))).alias("exports"),
-        F.sum(F.when(F.col("side") == "imports", F.col("amount"))).alias("imports"),
+    return converted(cat, p, view, reporters).join(roll, "counterpart", "inner").select(
+        "year", "partner", "category",
+        F.when(F.col("side") == "exports", F.col("amount")).alias("e"),
+        F.when(F.col("side") == "imports", F.col("amount")).alias("i"),
     )
 
 
+def _by_group(cat: Catalog, p: Params, groups: list[str], category: str | None, keys: list[str]) -> DataFrame:
+    """Rolled-up exports and imports per ``keys`` (A9): one aggregate with a map-side partial."""
+    return _rolled(cat, p, groups, category).groupBy(*keys).agg(
+        F.sum("e").alias("exports"), F.sum("i").alias("imports"))
+
+
 def _row_measures(e: Column, i: Column, gdp: Column | None) -> list[Column]:
     """Per (year, partner): zero means no trade; balance null only when both are."""
     if gdp is not None:
@@ -56,16 +62,23 @@ def _row_measures(e: Column, i: Column, gdp: Column | None) -> list[Column]:
 
 
 def partner_series(cat: Catalog, p: Params) -> DataFrame:
-    """Q4: one row per (year, selected partner group) of the range, both flows."""
+    """Q4: one row per (year, selected partner group) of the range, both flows.
+
+    The (year, partner) scaffold enters the same aggregate as the flows, as
+    rows without amounts, so every pair appears once and no join with the
+    aggregated flows is needed.
+    """
     groups = selected_groups(cat, p)
     reporters = cat.members(p.country)
-    agg = _by_group(cat, p, groups, p.category, ["year", "partner"])
+    rows = _rolled(cat, p, groups, p.category).select("year", "partner", "e", "i")
+    amount_type = rows.schema["e"].dataType
     scaffold = year_spine(cat, p.years).select(
-        "year", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias("partner"))
-    gdp = gdp_by_year(cat, reporters)
+        "year", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias("partner"),
+        F.lit(None).cast(amount_type).alias("e"), F.lit(None).cast(amount_type).alias("i"))
+    agg = rows.unionByName(scaffold).groupBy("year", "partner").agg(
+        F.sum("e").alias("exports"), F.sum("i").alias("imports"))
     g = F.col("gdp") if p.is_gdp else None
-    # the rolled-up rows are bounded by years x selected groups
-    joined = scaffold.join(bounded(agg), ["year", "partner"], "left").join(gdp, "year", "left")
+    joined = agg.join(gdp_by_year(cat, reporters), "year", "left")
     return joined.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"), "partner",
         F.lit(p.category).alias("category"), *_row_measures(F.col("exports"), F.col("imports"), g),
