@@ -78,7 +78,8 @@ def partner_series(cat: Catalog, p: Params) -> DataFrame:
     agg = rows.unionByName(scaffold).groupBy("year", "partner").agg(
         F.sum("e").alias("exports"), F.sum("i").alias("imports"))
     g = F.col("gdp") if p.is_gdp else None
-    joined = agg.join(gdp_by_year(cat, reporters), "year", "left")
+    # yearly GDP is unique per year, so the left join only adds a column: skip it for money units
+    joined = agg.join(gdp_by_year(cat, reporters), "year", "left") if p.is_gdp else agg
     return joined.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"), "partner",
         F.lit(p.category).alias("category"), *_row_measures(F.col("exports"), F.col("imports"), g),

@@ -107,8 +107,9 @@ def world_trade(cat: Catalog, p: Params, fixed: bool = False) -> DataFrame:
         empty = spine.select("year", *[F.lit(None).cast(rows.schema[c].dataType).alias(c)
                                        for c in ("exports", "imports")])
         joined = rows.unionByName(empty)
-    res = joined.join(gdp, F.col("year") == F.col("g_year"), "left").groupBy("year").agg(
-        *_measures(F.col("exports"), F.col("imports"), g))
+    if p.is_gdp:  # unique per year: the left join only adds the GDP column
+        joined = joined.join(gdp, F.col("year") == F.col("g_year"), "left")
+    res = joined.groupBy("year").agg(*_measures(F.col("exports"), F.col("imports"), g))
     return res.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"),
         F.lit(REST_OF_WORLD).alias("partner"), F.lit(p.category).alias("category"),
