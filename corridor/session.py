@@ -41,12 +41,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for materialised tables and checkpoints.
 
-    Taken from ``spark.checkpoint.dir`` as the cluster names it. Only when the
-    session has none (local tests) do we make one and register it, so that
-    ``DataFrame.checkpoint()`` and our written tables use the same place.
+    Taken from ``spark.checkpoint.dir`` as the cluster names it. Only a local
+    session (tests, benchmarks) without one gets a folder of its own, registered
+    so that ``DataFrame.checkpoint()`` and our written tables use the same
+    place; on a cluster a machine-local folder would be wrong, so that is an
+    error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if not path:
         path = os.environ.get("CORRIDOR_LOCAL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="corridor-ckpt-")
         sc.setCheckpointDir(path)
