@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # larger is joined by shuffle instead.
 DIM_ROW_LIMIT = 2_000_000
 
-_checked: dict[int, list[tuple[DataFrame, int, bool]]] = {}
+_checked: dict[tuple[str, int], list[tuple[DataFrame, int, bool]]] = {}
 
 
 def is_small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> bool:
@@ -20,7 +20,7 @@ def is_small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> bool:
     ``sameSemantics``), so a dimension is counted once per session however
     often an identical plan for it is built.
     """
-    h = df.semanticHash()
+    h = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
     for other, limit, ok in _checked.get(h, []):
         if limit == max_rows and other.sameSemantics(df):
             return ok
