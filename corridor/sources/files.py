@@ -56,6 +56,17 @@ def read_indicators(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDICATORS.fields])
 
 
+def read_csv_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A header CSV with an explicit schema (fx rates, deflators, aliases)."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def scaffold(countries: DataFrame, time_range: tuple[int, int]) -> DataFrame:
+    """(year, country) for every covered country and year of the range, without a join."""
+    y0, y1 = time_range
+    return countries.select(F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("year"), "country")
+
+
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """The one-row coverage table."""
     return spark.read.schema(schemas.COVERAGE).option("header", True).csv(path)

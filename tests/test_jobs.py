@@ -55,3 +55,35 @@ def test_build_and_query(spark, tmp_path):
               "--years", "2002", "2003", "--export", str(tmp_path / "out")])
     out = tmp_path / "out" / "kenya_export_partners_2002_2003_all_products"
     assert spark.read.option("header", True).csv(str(out)).count() == 2
+
+
+def test_builder_commands(spark, tmp_path):
+    (tmp_path / "countries.json").write_text(json.dumps({"Kenya": {"groups": ["Africa"]}, "Peru": {"groups": []}}))
+    (tmp_path / "fx.csv").write_text("currency,year,per_usd\nusd,2002,1\nusd,2003,1\ncad,2002,1.5\ncad,2003,1.4\n"
+                                     "eur,2003,0.9\ngbp,2003,0.6\n")
+    (tmp_path / "defl.csv").write_text("country,year,deflator,lcu_per_usd\nKenya,2002,0.8,2\nKenya,2003,1,4\n"
+                                       "Peru,2002,0.5,1\nPeru,2003,1,1\nUSA,2002,0.9,1\nUSA,2003,1,1\n")
+    (tmp_path / "ind.csv").write_text("entity_name,indicator_code,unit,year,value\n"
+                                      "Kenya,NGDPD,U.S. dollars,2003,1.0\nPeru,NGDPD,U.S. dollars,2003,3.0\n"
+                                      "World,NGDPD,U.S. dollars,2003,8.0\nKenya,LP,Persons,2003,1.0\n"
+                                      "Peru,LP,Persons,2003,1.0\nChad,LP,Persons,2003,2.0\n")
+    (tmp_path / "aliases.csv").write_text("alias,iso3\nKenya,KEN\nPeru,PER\nChad,TCD\n")
+    t = str(tmp_path)
+    cli.main(["current-factors", "--fx", f"{t}/fx.csv", "--years", "2002", "2003", "--out", f"{t}/cur"])
+    cur = {r.year: r for r in spark.read.option("header", True).option("inferSchema", True).csv(f"{t}/cur").collect()}
+    assert cur[2002].cad_current == 1.5 and cur[2002].eur_current is None
+    cli.main(["constant-factors", "--countries", f"{t}/countries.json", "--deflators", f"{t}/defl.csv",
+              "--fx", f"{t}/fx.csv", "--years", "2002", "2003", "--base-year", "2003", "--out", f"{t}/const"])
+    const = spark.read.option("header", True).option("inferSchema", True).csv(f"{t}/const")
+    r = const.where("country = 'Kenya' AND year = 2002").first()
+    assert abs(r.usd_constant - 0.625) < 1e-12 and abs(r.cad_constant - 0.875) < 1e-12
+    cli.main(["gdp", "--countries", f"{t}/countries.json", "--indicators", f"{t}/ind.csv", "--aliases",
+              f"{t}/aliases.csv", "--deflators", f"{t}/defl.csv", "--base-country", "USA", "--years", "2002", "2003",
+              "--base-year", "2003", "--out", f"{t}/gdp"])
+    gdp = {(r.year, r.country): r.gdp_constant
+           for r in spark.read.option("header", True).option("inferSchema", True).csv(f"{t}/gdp").collect()}
+    assert gdp[(2003, "Peru")] == 3000.0 and gdp[(2002, "Kenya")] is None
+    cli.main(["coverage", "--countries", f"{t}/countries.json", "--indicators", f"{t}/ind.csv", "--aliases",
+              f"{t}/aliases.csv", "--year", "2003", "--out", f"{t}/cov"])
+    cov = spark.read.option("header", True).option("inferSchema", True).csv(f"{t}/cov").first()
+    assert (cov.n_countries, cov.gdp_share, cov.pop_share) == (2, 50.0, 50.0)
