@@ -73,15 +73,18 @@ def build_constant_factors(scaffold: DataFrame, deflators: DataFrame, fx: DataFr
 
 
 def factor_frame(current: DataFrame, constant: DataFrame, factor_column: str, per_country: bool,
-                 reporters: Sequence[str]) -> tuple[DataFrame, list[str]]:
+                 reporters: Sequence[str], broadcast: bool = True) -> tuple[DataFrame, list[str]]:
     """The factor dimension for one request and its join keys.
 
     Current prices: one factor per year. Constant prices and GDP shares: the
     reporter's own factor per (year, country), restricted to the reporter set.
+    ``broadcast`` says the source table passed its size check; otherwise the
+    join is left to the planner (shuffle join, re-planned by AQE).
     """
+    hint = bounded if broadcast else (lambda d: d)
     if per_country:
         fac = constant.where(F.col("country").isin(list(reporters))).select(
             "year", F.col("country").alias("reporter"), F.col(factor_column).alias("factor")
         )
-        return bounded(fac), ["year", "reporter"]
-    return bounded(current.select("year", F.col(factor_column).alias("factor"))), ["year"]
+        return hint(fac), ["year", "reporter"]
+    return hint(current.select("year", F.col(factor_column).alias("factor"))), ["year"]

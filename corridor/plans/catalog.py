@@ -39,15 +39,19 @@ class Catalog:
     gdp: DataFrame            # year, country, gdp_constant
     categories: tuple[str, ...]
     groups: dict[str, tuple[str, ...]]
+    broadcastable: frozenset[str] = frozenset()   # dimensions whose size check passed
 
     @classmethod
     def from_tables(cls, spark, flows, membership, current, constant, gdp, categories) -> "Catalog":
-        for name, d in (("membership", membership), ("current", current), ("constant", constant), ("gdp", gdp)):
-            if not is_small(d, DIM_ROW_LIMIT):
-                raise ValueError(f"dimension {name} exceeds {DIM_ROW_LIMIT} rows")
+        # membership becomes the driver-side group lookup, so it must be small
+        if not is_small(membership, DIM_ROW_LIMIT):
+            raise ValueError(f"membership exceeds {DIM_ROW_LIMIT} rows")
+        # factor tables are broadcast when small, else joined by shuffle
+        ok = frozenset(n for n, d in (("current", current), ("constant", constant), ("gdp", gdp))
+                       if is_small(d, DIM_ROW_LIMIT))
         pairs = membership.groupBy("group_name").agg(F.sort_array(F.collect_set("country")).alias("m")).collect()
         groups = {r["group_name"]: tuple(r["m"]) for r in pairs}
-        return cls(spark, flows, membership, current, constant, gdp, tuple(sorted(categories)), groups)
+        return cls(spark, flows, membership, current, constant, gdp, tuple(sorted(categories)), groups, ok)
 
     def members(self, names) -> tuple[str, ...]:
         return mem.members_of(self.groups, names)

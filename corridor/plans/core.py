@@ -79,7 +79,9 @@ def sided(cat: Catalog, p: Params, reporters: Sequence[str], sides: Sequence[str
 
 def converted(cat: Catalog, p: Params, view: DataFrame, reporters: Sequence[str]) -> DataFrame:
     """Attach the factor (inner join: no factor row, no trade) and the converted amount."""
-    fac, keys = factor_frame(cat.current, cat.constant, p.factor_column, p.per_country_factor, reporters)
+    table = "constant" if p.per_country_factor else "current"
+    fac, keys = factor_frame(cat.current, cat.constant, p.factor_column, p.per_country_factor, reporters,
+                             broadcast=table in cat.broadcastable)
     return view.join(fac, keys, "inner").withColumn("amount", F.col("value") * F.col("factor"))
 
 

@@ -198,3 +198,10 @@ def test_report_runs_concurrently(spark, micro):
     got = fetch_all(spark, rep)
     single.unpersist_report(rep)
     assert len(got["plot"]) == 2 and len(got["table"]) == 2
+
+
+def test_large_factor_table_falls_back_to_shuffle_join(micro):
+    # a factor table that failed its size check is joined without a broadcast hint; results are unchanged
+    cat = replace(micro, broadcastable=frozenset())
+    assert rows(single.top_partners(cat, Params("A", Y, prices="constant")), "partner", "value") == [
+        ("B", 54.0), ("C", 52.0)]
