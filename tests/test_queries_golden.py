@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from decimal import Decimal as D
 
 import pytest
 
@@ -205,3 +206,18 @@ def test_large_factor_table_falls_back_to_shuffle_join(micro):
     cat = replace(micro, broadcastable=frozenset())
     assert rows(single.top_partners(cat, Params("A", Y, prices="constant")), "partner", "value") == [
         ("B", 54.0), ("C", 52.0)]
+
+
+def test_q3_null_year_share_is_null(spark, micro):
+    # L5 + L8: with a 2003 factor for B, its 2003 imports land in the null-year row, which matches no GDP
+    # year, so the share is null; B's 2002 GDP is null too, so 2002 shares are null as well
+    extra = spark.createDataFrame([(2003, "B", D("1.0000"), D("1.0000"), D("1.0000"), D("1.0000"))],
+                                  micro.constant.schema)
+    cat = replace(micro, constant=micro.constant.unionByName(extra))
+    df = single.world_trade(cat, Params("B", Y, unit="gdp"))
+    assert [(r.year, r.imports, r.exports, r.balance) for r in df.collect()] == [
+        (2002, None, None, None), (2003, None, None, None), (None, None, None, None)]
+    # in money the same null-year row carries the imports
+    df = single.world_trade(cat, Params("B", Y, prices="constant"))
+    assert [(r.year, r.imports, r.exports, r.balance) for r in df.collect()] == [
+        (2002, -22.5, 15.0, -7.5), (2003, None, None, None), (None, -13.0, None, -13.0)]
