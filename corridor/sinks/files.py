@@ -74,7 +74,9 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, writer=write_tabl
         writer(df, tmp)
         fs, dst = _fs(spark, path)
         _, src = _fs(spark, tmp)
-        if not fs.exists(dst):
+        if not exists(spark, path):
+            if fs.exists(dst):  # a partial copy without the success marker (non-atomic store): replace it
+                fs.delete(dst, True)
             fs.mkdirs(dst.getParent())
             if not fs.rename(src, dst) and not exists(spark, path):
                 raise IOError(f"could not move {tmp} to {path}")

@@ -71,3 +71,10 @@ def test_exports_and_dimension_files(spark, tmp_path, micro):
     write_dimensions(spark.createDataFrame([(2002, 2003)], "y0 int, y1 int"), cats,
                      group_members(micro.membership), str(tmp_path / "dims"))
     assert spark.read.json(str(tmp_path / "dims/group_membership")).count() == 5
+
+
+def test_materialize_replaces_a_partial_copy(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(3).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()  # as if a copy stopped half way
+    assert materialize(spark, spark.range(7), str(path)).count() == 7
