@@ -27,8 +27,6 @@ def test_every_query_has_an_oracle():
 
 
 def test_random_counterparts_rows(spark):
-    from corridor.operators.membership import valid_counterparts
-
     df = QUERIES["random_counterparts"](spark, SF001)
     assert df.count() == 5
     assert df.schema.simpleString() == "struct<group_name:string>"
