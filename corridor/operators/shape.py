@@ -19,19 +19,25 @@ def rank_table(df: DataFrame, flow: str, key: str, k: int | None = None) -> Data
 
     Exports rank descending, imports (negative) ascending, i.e. the largest
     magnitude first either way; ties break on the key so ranks are stable.
-    ``k`` keeps the top k (a top-k report). The window spans one report,
-    which has at most one row per partner or category.
+    ``k`` keeps the top k (a top-k report: per-partition candidates, then the
+    best k). Without ``k`` the ranking is distributed: rows are range
+    partitioned in rank order, numbered inside each range, and each range is
+    offset by the row count of the ranges before it.
     """
-    desc = flow == "exports"
-    order = [F.desc_nulls_last(flow) if desc else F.asc_nulls_last(flow), F.asc(key)]
-    ranked = (
-        df.where(F.col("flow") == flow)
-        .select(key, F.col("value").alias(flow))
-        .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    )
+    order = [F.desc_nulls_last(flow) if flow == "exports" else F.asc_nulls_last(flow), F.asc(key)]
+    rows = df.where(F.col("flow") == flow).select(key, F.col("value").alias(flow))
     if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked
+        top = rows.orderBy(*order).limit(k)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    local = parts.withColumn("_pos", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # one row per range partition: the preceding ranges' sizes give each range its offset
+    offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0)).alias("_offset"))
+    return local.join(F.broadcast(offsets), "_part").select(
+        key, flow, (F.col("_offset") + F.col("_pos")).cast("int").alias("rank"))
 
 
 def table_single(df: DataFrame) -> DataFrame:

@@ -317,3 +317,21 @@ def test_wide_view_overflow_fails_loudly(spark):
                                   "year int, exporter string, importer string, category string, value decimal(18,2)")
     with pytest.raises(Exception):
         normalize.to_wide(flows, ["X"]).collect()
+
+
+@pytest.mark.parametrize("parts", ["8", "37"])
+def test_distributed_rank_matches_a_global_window(spark, parts):
+    from pyspark.sql import Window
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(5000).select(
+            F.format_string("P%05d", "id").alias("partner"), F.lit("exports").alias("flow"),
+            (F.abs(F.hash("id")) % 997).cast("double").alias("value"))  # many ties, broken by partner
+        got = {r.partner: r.rank for r in shape.rank_table(df, "exports", "partner").collect()}
+        ref = df.select("partner", F.row_number().over(
+            Window.orderBy(F.desc("value"), F.asc("partner"))).alias("rank"))
+        assert got == {r.partner: r.rank for r in ref.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
