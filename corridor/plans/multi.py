@@ -96,20 +96,28 @@ def partner_matrix(cat: Catalog, p: Params) -> DataFrame:
     """
     groups = selected_groups(cat, p)
     reporters = cat.members(p.country)
-    agg = _by_group(cat, p, groups, None, ["year", "partner", "category"])
-    t = agg.join(gdp_by_year(cat, reporters), "year", "inner")
-    e, i = F.col("exports"), F.col("imports")
-    if p.is_gdp:
-        e, i = share(e, F.col("gdp")), share(i, F.col("gdp"))
-    rows = t.select(
-        "partner", "category",
-        F.coalesce(-i, F.lit(0)).alias("imports"),
-        F.coalesce(e, F.lit(0)).alias("exports"),
-        (F.coalesce(e, F.lit(0)) - F.coalesce(i, F.lit(0))).alias("balance"),
-    )
-    fn = F.avg if p.is_gdp else F.sum
-    res = rows.groupBy("partner", "category").agg(
-        *[out(fn(c)).alias(c) for c in ("imports", "exports", "balance")])
+    if not p.is_gdp:
+        # Money: the sum over years of yearly sums (missing = 0) is one sum over all rows, so a
+        # single aggregate serves; years without a GDP row of the reporter set still drop out.
+        gdp_years = bounded(cat.gdp.where(isin("country", reporters)).select("year").distinct())
+        tot = (_rolled(cat, p, groups, None).join(gdp_years, "year", "left_semi")
+               .groupBy("partner", "category").agg(F.sum("e").alias("e"), F.sum("i").alias("i")))
+        e, i = F.coalesce(F.col("e"), F.lit(0)), F.coalesce(F.col("i"), F.lit(0))
+        res = tot.select("partner", "category", out(-i).alias("imports"), out(e).alias("exports"),
+                         out(e - i).alias("balance"))
+    else:
+        # GDP shares are averaged over the years present, so the yearly rows are needed
+        agg = _by_group(cat, p, groups, None, ["year", "partner", "category"])
+        t = agg.join(gdp_by_year(cat, reporters), "year", "inner")
+        e, i = share(F.col("exports"), F.col("gdp")), share(F.col("imports"), F.col("gdp"))
+        rows = t.select(
+            "partner", "category",
+            F.coalesce(-i, F.lit(0)).alias("imports"),
+            F.coalesce(e, F.lit(0)).alias("exports"),
+            (F.coalesce(e, F.lit(0)) - F.coalesce(i, F.lit(0))).alias("balance"),
+        )
+        res = rows.groupBy("partner", "category").agg(
+            *[out(F.avg(c)).alias(c) for c in ("imports", "exports", "balance")])
     return res.select(
         F.lit(p.years_label).alias("years"), F.lit(p.country).alias("country"), "partner", "category",
         "imports", "exports", "balance", F.lit(p.unit_label).alias("unit"),
