@@ -47,3 +47,19 @@ def nz_sum(c: Column) -> Column:
 
 def zsum(c: Column) -> Column:
     return F.sum(F.coalesce(c, F.lit(0)))
+
+
+def row_measures(exports: Column, imports: Column, gdp: Column | None = None) -> list[Column]:
+    """imports (negative), exports, balance for one row per key.
+
+    A zero or missing flow is null ("no trade"); the balance is null only when
+    both are. ``exports``/``imports`` are positive magnitudes; with ``gdp``
+    they become shares of it first.
+    """
+    if gdp is not None:
+        exports, imports = share(exports, gdp), share(imports, gdp)
+    imp = F.nullif(F.coalesce(-imports, F.lit(0)), F.lit(0))
+    exp = F.nullif(F.coalesce(exports, F.lit(0)), F.lit(0))
+    bal = F.when(imp.isNull() & exp.isNull(), F.lit(None)).otherwise(
+        F.coalesce(exports, F.lit(0)) - F.coalesce(imports, F.lit(0)))
+    return [out(imp).alias("imports"), out(exp).alias("exports"), out(bal).alias("balance")]

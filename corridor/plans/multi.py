@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import out, share
+from ..functions.measures import out, row_measures, share
 from ..operators.joins import bounded
 from ..params import Params
 from .catalog import Catalog
@@ -51,16 +51,6 @@ def _by_group(cat: Catalog, p: Params, groups: list[str], category: str | None,
         F.sum("e").alias("exports"), F.sum("i").alias("imports"))
 
 
-def _row_measures(e: Column, i: Column, gdp: Column | None) -> list[Column]:
-    """Per (year, partner): zero means no trade; balance null only when both are."""
-    if gdp is not None:
-        e, i = share(e, gdp), share(i, gdp)
-    imp = F.nullif(F.coalesce(-i, F.lit(0)), F.lit(0))
-    exp = F.nullif(F.coalesce(e, F.lit(0)), F.lit(0))
-    bal = F.when(imp.isNull() & exp.isNull(), F.lit(None)).otherwise(F.coalesce(e, F.lit(0)) - F.coalesce(i, F.lit(0)))
-    return [out(imp).alias("imports"), out(exp).alias("exports"), out(bal).alias("balance")]
-
-
 def partner_series(cat: Catalog, p: Params) -> DataFrame:
     """Q4: one row per (year, selected partner group) of the range, both flows.
 
@@ -82,7 +72,7 @@ def partner_series(cat: Catalog, p: Params) -> DataFrame:
     joined = agg.join(gdp_by_year(cat, reporters), "year", "left") if p.is_gdp else agg
     return joined.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"), "partner",
-        F.lit(p.category).alias("category"), *_row_measures(F.col("exports"), F.col("imports"), g),
+        F.lit(p.category).alias("category"), *row_measures(F.col("exports"), F.col("imports"), g),
         F.lit(p.unit_label).alias("unit"),
     ).orderBy("partner", "year")
 

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import nz_sum, out, share, signed, zsum
+from ..functions.measures import nz_sum, out, row_measures, share, signed, zsum
 from ..params import ALL_COUNTERPARTS, REST_OF_WORLD, Params
 from ..operators.joins import bounded
 from .catalog import Catalog
@@ -72,32 +72,35 @@ def world_trade(cat: Catalog, p: Params, fixed: bool = False) -> DataFrame:
     """
     reporters = cat.members(p.country)
     view = sided(cat, p, reporters, ("exports", "imports"), category=p.category)
+    amounts = converted(cat, p, view, reporters)
     is_exp, is_imp = F.col("side") == "exports", F.col("side") == "imports"
-    # both sides in one aggregate over one scan; the counts say whether a side
-    # exists at all for a member-year (its sum may still be null)
-    per = (
-        converted(cat, p, view, reporters)
-        .groupBy("year", "reporter")
-        .agg(
-            F.sum(F.when(is_exp, F.col("amount"))).alias("exports"),
-            F.count(F.when(is_exp, F.lit(1))).alias("n_exp"),
-            F.sum(F.when(is_imp, F.col("amount"))).alias("imports"),
-            F.count(F.when(is_imp, F.lit(1))).alias("n_imp"),
-        )
-    )
     spine = year_spine(cat, p.years)
     gdp = gdp_by_year(cat, reporters).select(F.col("year").alias("g_year"), "gdp")
     g = F.col("gdp") if p.is_gdp else None
     if fixed:
-        yearly = per.groupBy("year").agg(F.sum("exports").alias("exports"), F.sum("imports").alias("imports"))
+        # yearly totals straight from the flows; the spine keeps years without any
+        yearly = amounts.groupBy("year").agg(
+            F.sum(F.when(is_exp, F.col("amount"))).alias("exports"),
+            F.sum(F.when(is_imp, F.col("amount"))).alias("imports"))
         joined = spine.join(bounded(yearly), "year", "left")
+        if p.is_gdp:  # unique per year: the left join only adds the GDP column
+            joined = joined.join(gdp, F.col("year") == F.col("g_year"), "left")
+        res = joined.select("year", *row_measures(F.col("exports"), F.col("imports"), g))  # one row per year
     else:
         # The published form joins exports per member to imports per member on
         # (year, country) and keeps unmatched rows of both. Per member-year that
         # is: keyed by its year when the member exported, else by a null year;
         # exports only when exported, imports only when imported. Every spine
         # year adds one all-null row, which keeps years without exporters and
-        # adds nothing to the sums of the others. No join, no self-join.
+        # adds nothing to the sums of the others. No join, no self-join. Both
+        # sides come from one aggregate over one scan; the counts say whether a
+        # side exists at all for a member-year (its sum may still be null).
+        per = amounts.groupBy("year", "reporter").agg(
+            F.sum(F.when(is_exp, F.col("amount"))).alias("exports"),
+            F.count(F.when(is_exp, F.lit(1))).alias("n_exp"),
+            F.sum(F.when(is_imp, F.col("amount"))).alias("imports"),
+            F.count(F.when(is_imp, F.lit(1))).alias("n_imp"),
+        )
         exported = F.col("n_exp") > 0
         rows = per.select(
             F.when(exported, F.col("year")).alias("year"),
@@ -107,9 +110,9 @@ def world_trade(cat: Catalog, p: Params, fixed: bool = False) -> DataFrame:
         empty = spine.select("year", *[F.lit(None).cast(rows.schema[c].dataType).alias(c)
                                        for c in ("exports", "imports")])
         joined = rows.unionByName(empty)
-    if p.is_gdp:  # unique per year: the left join only adds the GDP column
-        joined = joined.join(gdp, F.col("year") == F.col("g_year"), "left")
-    res = joined.groupBy("year").agg(*_measures(F.col("exports"), F.col("imports"), g))
+        if p.is_gdp:  # unique per year: the left join only adds the GDP column
+            joined = joined.join(gdp, F.col("year") == F.col("g_year"), "left")
+        res = joined.groupBy("year").agg(*_measures(F.col("exports"), F.col("imports"), g))
     return res.select(
         F.col("year").cast("int").alias("year"), F.lit(p.country).alias("country"),
         F.lit(REST_OF_WORLD).alias("partner"), F.lit(p.category).alias("category"),
