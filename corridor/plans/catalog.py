@@ -19,7 +19,7 @@ from ..sources import fixture
 log = logging.getLogger(__name__)
 
 # Bump when the fixture or ETL semantics change: materialised copies are keyed by it.
-BUILD_VERSION = "3"
+BUILD_VERSION = "4"
 
 
 @dataclass
