@@ -36,5 +36,6 @@ def test_random_counterparts_rows(spark):
 def test_matches_oracle(spark, con, name):
     res = compare(QUERIES[name](spark, SF001), SQL[name], con)
     assert res["columns_match"], res
+    assert res["types_match"], res
     assert res["rows_spark"] == res["rows_oracle"], res
     assert res["match"], res

@@ -50,4 +50,5 @@ def test_random_requests_match_oracle(spark, sf001, con, req):
         "q5": lambda: (multi.partner_matrix(sf001, p), oracle.partner_matrix(p, groups)),
     }[kind]()
     res = compare(spark_df, sql, con)
-    assert res["columns_match"] and res["rows_spark"] == res["rows_oracle"] and res["match"], (kind, p, res)
+    assert res["columns_match"] and res["types_match"], (kind, p, res)
+    assert res["rows_spark"] == res["rows_oracle"] and res["match"], (kind, p, res)
