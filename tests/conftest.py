@@ -27,6 +27,26 @@ def D(x) -> Decimal:
     return Decimal(str(x))
 
 
+# Golden micro-fixture rows (shared with the brute-force checks).
+MICRO_FLOWS = [
+    (2002, "A", "B", "X", D("10.00")), (2002, "A", "B", "Y", D("5.00")), (2002, "A", "C", "X", D("20.00")),
+    (2002, "B", "A", "X", D("3.00")), (2002, "B", "C", "Z", D("7.00")), (2002, "C", "A", "Y", D("4.00")),
+    (2002, "C", "B", "X", D("0.00")),
+    (2003, "A", "B", "X", D("12.00")), (2003, "A", "C", "Y", D("6.00")), (2003, "C", "A", "X", D("8.00")),
+    (2003, "C", "B", "Z", D("1.00")),
+]
+MICRO_MEMBERSHIP = [("A", "A"), ("B", "B"), ("C", "C"), ("G1", "A"), ("G1", "B"), ("G2", "B"), ("G2", "C")]
+MICRO_CURRENT = [(2002, D("1.0000"), D("1.2000"), D("0.5000"), D("0.6000")),
+                 (2003, D("1.0000"), D("1.3000"), D("0.8000"), D("0.7000"))]
+MICRO_CONSTANT = [(2002, "A", D("2.0000"), D("2.0000"), D("2.0000"), D("2.0000")),
+                  (2003, "A", D("2.0000"), D("2.0000"), D("2.0000"), D("2.0000")),
+                  (2002, "B", D("1.5000"), D("1.5000"), D("1.5000"), D("1.5000")),
+                  (2002, "C", None, D("1.0000"), D("1.0000"), D("1.0000")),
+                  (2003, "C", D("1.0000"), D("1.0000"), D("1.0000"), D("1.0000"))]
+MICRO_GDP = [(2002, "A", 100.0), (2003, "A", 200.0), (2002, "B", None), (2003, "B", 50.0),
+             (2002, "C", 0.0), (2003, "C", 400.0)]
+
+
 @pytest.fixture(scope="session")
 def micro(spark):
     """Golden micro-fixture: A, B, C; G1 = {A, B}, G2 = {B, C}; 2002-2003; X, Y, Z.
@@ -38,39 +58,19 @@ def micro(spark):
     from corridor.plans.catalog import Catalog
 
     flows = spark.createDataFrame(
-        [
-            (2002, "A", "B", "X", D("10.00")), (2002, "A", "B", "Y", D("5.00")), (2002, "A", "C", "X", D("20.00")),
-            (2002, "B", "A", "X", D("3.00")), (2002, "B", "C", "Z", D("7.00")), (2002, "C", "A", "Y", D("4.00")),
-            (2002, "C", "B", "X", D("0.00")),
-            (2003, "A", "B", "X", D("12.00")), (2003, "A", "C", "Y", D("6.00")), (2003, "C", "A", "X", D("8.00")),
-            (2003, "C", "B", "Z", D("1.00")),
-        ],
-        "year int, exporter string, importer string, category string, value decimal(18,2)",
-    )
-    membership = spark.createDataFrame(
-        [("A", "A"), ("B", "B"), ("C", "C"), ("G1", "A"), ("G1", "B"), ("G2", "B"), ("G2", "C")],
-        "group_name string, country string",
-    )
+        MICRO_FLOWS, "year int, exporter string, importer string, category string, value decimal(18,2)")
+    membership = spark.createDataFrame(MICRO_MEMBERSHIP, "group_name string, country string")
     current = spark.createDataFrame(
-        [(2002, D("1.0000"), D("1.2000"), D("0.5000"), D("0.6000")),
-         (2003, D("1.0000"), D("1.3000"), D("0.8000"), D("0.7000"))],
+        MICRO_CURRENT,
         "year int, usd_current decimal(10,4), cad_current decimal(10,4), eur_current decimal(10,4), "
         "gbp_current decimal(10,4)",
     )
     constant = spark.createDataFrame(
-        [(2002, "A", D("2.0000"), D("2.0000"), D("2.0000"), D("2.0000")),
-         (2003, "A", D("2.0000"), D("2.0000"), D("2.0000"), D("2.0000")),
-         (2002, "B", D("1.5000"), D("1.5000"), D("1.5000"), D("1.5000")),
-         (2002, "C", None, D("1.0000"), D("1.0000"), D("1.0000")),
-         (2003, "C", D("1.0000"), D("1.0000"), D("1.0000"), D("1.0000"))],
+        MICRO_CONSTANT,
         "year int, country string, usd_constant decimal(10,4), cad_constant decimal(10,4), "
         "eur_constant decimal(10,4), gbp_constant decimal(10,4)",
     )
-    gdp = spark.createDataFrame(
-        [(2002, "A", 100.0), (2003, "A", 200.0), (2002, "B", None), (2003, "B", 50.0),
-         (2002, "C", 0.0), (2003, "C", 400.0)],
-        "year int, country string, gdp_constant double",
-    )
+    gdp = spark.createDataFrame(MICRO_GDP, "year int, country string, gdp_constant double")
     return Catalog.from_tables(spark, flows, membership, current, constant, gdp, ["X", "Y", "Z"])
 
 
