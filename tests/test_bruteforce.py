@@ -125,3 +125,64 @@ def test_q1_single_years(micro):
     for country, year, unit in itertools.product(NAMES, (2002, 2003), ("usd", "gdp")):
         p = Params(country, (year, year), unit=unit, prices="constant")
         _same(_spark(single.top_partners(micro, p), "partner"), _brute(p, "partner", True))
+
+
+def _brute_world(p: Params) -> list[tuple]:
+    """Q3 in its published form: per-member exports full-outer-joined to per-member
+    imports on (year, member), the export side's year kept, then summed by year
+    over a dense year spine."""
+    reporters = set(_members(p.country))
+    sides: dict[str, dict[tuple, list]] = {"exports": {}, "imports": {}}
+    for year, exporter, importer, category, value in MICRO_FLOWS:
+        if not (p.years[0] <= year <= p.years[1]):
+            continue
+        if p.category != ALL_CATEGORIES and category != p.category:
+            continue
+        for side, me in (("exports", exporter), ("imports", importer)):
+            if me not in reporters:
+                continue
+            found, factor = _factor(p, year, me)
+            if found:
+                sides[side].setdefault((year, me), []).append(None if factor is None else value * factor)
+
+    def total(amounts):
+        vals = [a for a in amounts if a is not None]
+        return sum(vals) if vals else None
+
+    exp, imp = sides["exports"], sides["imports"]
+    joined = [(k[0], total(exp[k]), total(imp[k]) if k in imp else None) for k in exp]
+    joined += [(None, None, total(imp[k])) for k in imp if k not in exp]
+    joined += [(y, None, None) for y in range(p.years[0], p.years[1] + 1)]
+    gdp: dict[int, float | None] = {}
+    for y, c, g in MICRO_GDP:
+        if c in reporters:
+            gdp[y] = g if y not in gdp else (gdp[y] if g is None else (g if gdp[y] is None else gdp[y] + g))
+    by_year: dict = {}
+    for y, e, i in joined:
+        e = None if e is None else float(e)
+        i = None if i is None else float(i)
+        if p.is_gdp:
+            g = gdp.get(y)
+            e = None if e is None or not g else e / g * 100.0
+            i = None if i is None or not g else i / g * 100.0
+        by_year.setdefault(y, []).append((e or 0.0, i or 0.0))
+    out = []
+    for y in sorted(by_year, key=lambda v: (v is None, v)):
+        se, si = sum(e for e, _ in by_year[y]), sum(i for _, i in by_year[y])
+        imports, exports = (-si or None), (se or None)
+        balance = None if imports is None and exports is None else se - si
+        out.append((y, imports, exports, balance))
+    return out
+
+
+def test_q3_published_form(micro):
+    for country, (unit, prices), category in itertools.product(
+            NAMES, (("usd", "current"), ("eur", "constant"), ("gdp", "constant"), ("cad", "current")),
+            (ALL_CATEGORIES, "X")):
+        p = Params(country, Y, unit=unit, prices=prices, category=category)
+        got = [(r.year, r.imports, r.exports, r.balance) for r in single.world_trade(micro, p).collect()]
+        want = _brute_world(p)
+        assert [g[0] for g in got] == [w[0] for w in want], p
+        for g, w in zip(got, want):
+            for a, b in zip(g[1:], w[1:]):
+                assert (a is None and b is None) or a == pytest.approx(b, abs=1e-6), (p, g, w)
