@@ -15,7 +15,7 @@ import pytest
 
 from tests.conftest import MICRO_CONSTANT, MICRO_CURRENT, MICRO_FLOWS, MICRO_GDP, MICRO_MEMBERSHIP
 from corridor.params import ALL_CATEGORIES, ALL_COUNTERPARTS, PRICES, UNITS, Params
-from corridor.plans import single
+from corridor.plans import multi, single
 
 Y = (2002, 2003)
 NAMES = ("A", "B", "C", "G1", "G2")
@@ -186,3 +186,58 @@ def test_q3_published_form(micro):
         for g, w in zip(got, want):
             for a, b in zip(g[1:], w[1:]):
                 assert (a is None and b is None) or a == pytest.approx(b, abs=1e-6), (p, g, w)
+
+
+def _brute_series(p: Params) -> list[tuple]:
+    """Q4: per (partner group, year) of the range, both flows; a counterpart in
+    several selected groups counts in each; unknown names are dropped."""
+    known = {g for g, _ in MICRO_MEMBERSHIP}
+    groups = list(dict.fromkeys(g for g in p.partners if g in known))
+    reporters = set(_members(p.country))
+    sums = {(g, y): [None, None] for g in groups for y in range(p.years[0], p.years[1] + 1)}
+    for year, exporter, importer, category, value in MICRO_FLOWS:
+        if not (p.years[0] <= year <= p.years[1]):
+            continue
+        if p.category != ALL_CATEGORIES and category != p.category:
+            continue
+        for idx, me, other in ((0, exporter, importer), (1, importer, exporter)):
+            if me not in reporters:
+                continue
+            found, factor = _factor(p, year, me)
+            if not found:
+                continue
+            for g in groups:
+                if other in _members(g):
+                    cell = sums[(g, year)]
+                    if factor is not None:
+                        cell[idx] = value * factor if cell[idx] is None else cell[idx] + value * factor
+    gdp: dict[int, float | None] = {}
+    for y, c, g in MICRO_GDP:
+        if c in reporters:
+            gdp[y] = g if y not in gdp else (gdp[y] if g is None else (g if gdp[y] is None else gdp[y] + g))
+    out = []
+    for (g, y), (e, i) in sorted(sums.items()):
+        e = None if e is None else float(e)
+        i = None if i is None else float(i)
+        if p.is_gdp:
+            d = gdp.get(y)
+            e = None if e is None or not d else e / d * 100.0
+            i = None if i is None or not d else i / d * 100.0
+        imports, exports = (-(i or 0.0) or None), ((e or 0.0) or None)
+        balance = None if imports is None and exports is None else (e or 0.0) - (i or 0.0)
+        out.append((g, y, imports, exports, balance))
+    return out
+
+
+def test_q4_partner_series(micro):
+    partner_lists = (("G2", "C"), ("A", "B", "C"), ("G1", "nowhere", "G1", "G2"))
+    for country, partners, (unit, prices) in itertools.product(
+            NAMES, partner_lists, (("usd", "current"), ("gdp", "constant"), ("eur", "constant"))):
+        p = Params(country, Y, unit=unit, prices=prices, partners=partners)
+        got = [(r.partner, r.year, r.imports, r.exports, r.balance)
+               for r in multi.partner_series(micro, p).collect()]
+        want = _brute_series(p)
+        assert [g[:2] for g in got] == [w[:2] for w in want], p
+        for g, w in zip(got, want):
+            for a, b in zip(g[2:], w[2:]):
+                assert (a is None and b is None) or a == pytest.approx(b, abs=1e-6), (p, g, w)
