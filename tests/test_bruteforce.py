@@ -241,3 +241,58 @@ def test_q4_partner_series(micro):
         for g, w in zip(got, want):
             for a, b in zip(g[2:], w[2:]):
                 assert (a is None and b is None) or a == pytest.approx(b, abs=1e-6), (p, g, w)
+
+
+def _brute_matrix(p: Params) -> list[tuple]:
+    """Q5: partner group x category over the years with a GDP row of the reporter
+    set; money is summed, GDP shares averaged over the yearly cells present."""
+    known = {g for g, _ in MICRO_MEMBERSHIP}
+    groups = list(dict.fromkeys(g for g in p.partners if g in known))
+    reporters = set(_members(p.country))
+    gdp_rows = [(y, g) for y, c, g in MICRO_GDP if c in reporters]
+    gdp = {y: (sum(g for yy, g in gdp_rows if yy == y and g is not None)
+               if any(yy == y and g is not None for yy, g in gdp_rows) else None) for y, _ in gdp_rows}
+    cells: dict[tuple, list] = {}
+    for year, exporter, importer, category, value in MICRO_FLOWS:
+        if not (p.years[0] <= year <= p.years[1]) or year not in gdp:
+            continue
+        for idx, me, other in ((0, exporter, importer), (1, importer, exporter)):
+            if me not in reporters:
+                continue
+            found, factor = _factor(p, year, me)
+            if not found:
+                continue
+            for g in groups:
+                if other in _members(g):
+                    cell = cells.setdefault((g, category, year), [None, None])
+                    if factor is not None:
+                        cell[idx] = value * factor if cell[idx] is None else cell[idx] + value * factor
+    per: dict[tuple, list] = {}
+    for (g, category, year), (e, i) in cells.items():
+        e = None if e is None else float(e)
+        i = None if i is None else float(i)
+        if p.is_gdp:
+            d = gdp[year]
+            e = None if e is None or not d else e / d * 100.0
+            i = None if i is None or not d else i / d * 100.0
+        per.setdefault((g, category), []).append((e or 0.0, i or 0.0))
+    out = []
+    for key, vals in sorted(per.items()):
+        se, si = sum(e for e, _ in vals), sum(i for _, i in vals)
+        n = len(vals) if p.is_gdp else 1
+        out.append((*key, -si / n, se / n, (se - si) / n))
+    return out
+
+
+def test_q5_partner_matrix(micro):
+    partner_lists = (("G2", "C"), ("A", "B", "C"), ("G1", "nowhere", "G1", "G2"))
+    for country, partners, (unit, prices) in itertools.product(
+            NAMES, partner_lists, (("usd", "current"), ("gdp", "constant"))):
+        p = Params(country, Y, unit=unit, prices=prices, partners=partners)
+        got = [(r.partner, r.category, r.imports, r.exports, r.balance)
+               for r in multi.partner_matrix(micro, p).collect()]
+        want = _brute_matrix(p)
+        assert [g[:2] for g in got] == [w[:2] for w in want], p
+        for g, w in zip(got, want):
+            for a, b in zip(g[2:], w[2:]):
+                assert a == pytest.approx(b, abs=1e-6), (p, g, w)
