@@ -296,3 +296,35 @@ def test_q5_partner_matrix(micro):
         for g, w in zip(got, want):
             for a, b in zip(g[2:], w[2:]):
                 assert a == pytest.approx(b, abs=1e-6), (p, g, w)
+
+
+def _rows_match(got, want):
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        for a, b in zip(g[2:], w[2:]):
+            assert (a is None and b is None) or a == pytest.approx(b, abs=1e-6), (g, w)
+
+
+@pytest.mark.parametrize("unit,prices", [("gdp", "constant"), ("cad", "current")])
+def test_bundles_over_the_shared_slice(micro, unit, prices):
+    # Q6/Q7 read one persisted slice; every part must equal the brute force on the full rows
+    for country in NAMES:
+        p = Params(country, Y, unit=unit, prices=prices, flow="imports", partners=("G2", "C", "A"))
+        rep = single.single_report(micro, p)
+        try:
+            _same(_spark(rep["partners"], "partner"), _brute(p, "partner", True))
+            _same(_spark(rep["categories"], "category"), _brute(p, "category", False))
+            world = [(r.year, r.imports, r.exports, r.balance) for r in rep["world_trade"].collect()]
+            want = _brute_world(p)
+            assert [w[0] for w in world] == [w[0] for w in want]
+            _rows_match([(0,) + w for w in world], [(0,) + w for w in want])
+        finally:
+            single.unpersist_report(rep)
+        rep = multi.multi_report(micro, p)
+        try:
+            _rows_match([(r.partner, r.year, r.imports, r.exports, r.balance) for r in rep["plot"].collect()],
+                        _brute_series(p))
+            _rows_match([(r.partner, r.category, r.imports, r.exports, r.balance) for r in rep["table"].collect()],
+                        _brute_matrix(p))
+        finally:
+            single.unpersist_report(rep)
