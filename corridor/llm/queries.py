@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corridor.llm import binary_ids, secret_scan, token_counts
+from corridor.llm import binary_ids, decontaminate, embedding_dedup, langid, lm, minhash, packing, secret_scan, token_counts, toxicity
 from corridor.llm.shared import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model(table(spark, sf_dir, "documents"), states=8, rounds=2, modulus=5, remainder=1)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "token-files")
     manifest = binary_ids.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return binary_ids.read_token_files(manifest, folder)
 
 
+def op3_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, num=80, den=100)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.word_lengths(table(spark, sf_dir, "documents")), sizes=packing.SIZES)
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(size=3, num=85, den=100))
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace(spark, "token-counts")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
@@ -33,5 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_files, op9_token_counts, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_hmm_scores, op2_token_files, op3_embedding_duplicates, op4_toxicity, op5_contamination, op6_packing,
+    op7_near_duplicates, op8_languages, op9_token_counts, op10_secrets)}
 ORACLES: dict[str, str] = {}
