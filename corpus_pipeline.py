@@ -14,8 +14,7 @@ from corridor.llm.shared import workspace, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; texts without a letter go."""
-    model = langid.fit(docs.where(langid.training_row()))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    return langid.identified(docs, langid.fit(docs.where(langid.training_row())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

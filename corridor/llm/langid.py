@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corridor.llm.bytewords import text_bytes
 from corridor.llm.shared import slices, workspace
@@ -203,7 +203,7 @@ def fit(labelled: DataFrame, max_rows: int = 4000) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, all columns, with ``lang_pred`` and ``lang_score`` put after them."""
+    """The documents, all columns, with ``lang_pred`` and ``lang_score`` after them (in place of columns of those names)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ("lang_pred", "lang_score")
     docs = docs.drop(*names)
@@ -216,7 +216,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 langs, score = sent.value.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(scan, docs.schema.add(names[0], "string").add(names[1], "double"))
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+
+
+def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents, all columns, whose language is determined."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            langs = sent.value.predict(batch.column("text"))[0] if sent.value else [UNDETERMINED] * batch.num_rows
+            yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def languages(docs: DataFrame, max_rows: int = 4000) -> DataFrame:

@@ -24,6 +24,7 @@ count.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -262,17 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> Index:
     idf = np.log((counted.get(-1, 0) + 1) / (df + 1)) + 1
 
     def build(table: pa.Table) -> pa.Table:
-        import pickle
-
         return pa.table({"index": pa.array([pickle.dumps(_index(*sample(table), vocabulary, idf))], pa.binary())})
 
     got = grouped.applyInArrow(build, "index binary").collect()
     if not got:
         empty = np.zeros(0)
         return _index(empty, pa.array([], pa.string()), np.zeros(0, bool), empty, np.zeros(0, np.uint64), empty)
-    import pickle
-
-    return pickle.loads(got[0].index)
+    return pickle.loads(got[0]["index"])
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
