@@ -18,8 +18,7 @@ CTES: dict[str, str] = {
         FROM lineitem l
         JOIN orders o ON l.l_orderkey = o.o_orderkey
         JOIN customer c ON o.o_custkey = c.c_custkey
-        JOIN supplier s ON l.l_suppkey = s.s_suppkey
-        WHERE s.s_nationkey <> c.c_nationkey""",
+        JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
     "sections": f"""
         SELECT lpad(CAST(ch AS VARCHAR), 2, '0') AS chapter, category
         FROM (SELECT unnest(range(lo, hi + 1)) AS ch, category
@@ -45,9 +44,10 @@ CTES: dict[str, str] = {
               WHERE n.n_nationkey < 22
         UNION SELECT 'BLOC_A', n_name FROM nation WHERE n_nationkey < 7
         UNION SELECT 'BLOC_B', n_name FROM nation WHERE n_nationkey < 22 AND n_nationkey % 3 = 0""",
-    "years": "SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)",
-    "nation_years": """
-        SELECT n_nationkey, n_name, CAST(unnest(range(1995, 2002)) AS INTEGER) AS year FROM nation""",
+    "years": """
+        SELECT CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS year
+        FROM (SELECT MIN(year(o_orderdate)) AS lo, MAX(year(o_orderdate)) AS hi FROM orders)""",
+    "nation_years": "SELECT n_nationkey, n_name, year FROM nation, years",
     "current_conversion": """
         SELECT year,
                CAST(1.0000 AS DECIMAL(10,4)) AS usd_current,

@@ -2,7 +2,7 @@
 
 Written from the query semantics, not generated from the Spark plans: group
 resolution is a sub-select on the membership table, conversion a plain join.
-Measures are cast to DOUBLE and rounded to 6 places like the Spark side.
+Measures are cast to DOUBLE and not rounded.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _r6(expr: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6)"
+def _out(expr: str) -> str:
+    return f"CAST({expr} AS DOUBLE)"
 
 
 def _members(name: str) -> str:
@@ -64,7 +64,7 @@ def one_side(p: Params, by: str) -> str:
     label = "a.k AS partner" if by == "partner" else f"{q(REST_OF_WORLD)} AS partner, a.k AS category"
     return with_fixture(
         f"""SELECT {q(p.years_label)} AS years, {q(p.country)} AS country, {label}, {q(p.flow)} AS flow,
-                   {_r6(f"{sign}{body_total}")} AS value, {q(p.unit_label)} AS unit
+                   {_out(f"{sign}{body_total}")} AS value, {q(p.unit_label)} AS unit
             FROM agg a""",
         extra,
     )
@@ -99,13 +99,14 @@ def world_trade(p: Params, fixed: bool = False) -> str:
         "gy": f"SELECT year, SUM(gdp_constant) AS gdp FROM gdp_table WHERE country IN {_members(p.country)} GROUP BY year",
         "sp": f"SELECT CAST(range AS INTEGER) AS year FROM range({y0}, {y1 + 1})",
     }
+    # a year has one GDP: exact sums are divided, not shares summed
     if p.is_gdp:
-        e, i = _share("e.exports"), _share("i.imports")
+        e, i = _share("SUM(e.exports)", "MAX(g.gdp)"), _share("SUM(i.imports)", "MAX(g.gdp)")
     else:
-        e, i = "e.exports", "i.imports"
-    imp = f"NULLIF(SUM(COALESCE(-{i}, 0)), 0)"
-    exp = f"NULLIF(SUM(COALESCE({e}, 0)), 0)"
-    bal = f"CASE WHEN {imp} IS NULL AND {exp} IS NULL THEN NULL ELSE SUM(COALESCE({e}, 0)) - SUM(COALESCE({i}, 0)) END"
+        e, i = "SUM(e.exports)", "SUM(i.imports)"
+    imp = f"NULLIF(COALESCE(-{i}, 0), 0)"
+    exp = f"NULLIF(COALESCE({e}, 0), 0)"
+    bal = f"CASE WHEN {imp} IS NULL AND {exp} IS NULL THEN NULL ELSE COALESCE({e}, 0) - COALESCE({i}, 0) END"
     if fixed:
         extra["ey"] = "SELECT year, SUM(exports) AS exports FROM ex GROUP BY year"
         extra["iy"] = "SELECT year, SUM(imports) AS imports FROM im GROUP BY year"
@@ -117,8 +118,8 @@ def world_trade(p: Params, fixed: bool = False) -> str:
                "LEFT JOIN gy g ON sp.year = g.year")
     return with_fixture(
         f"""SELECT sp.year AS year, {q(p.country)} AS country, {q(REST_OF_WORLD)} AS partner,
-                   {q(p.category)} AS category, {_r6(imp)} AS imports, {_r6(exp)} AS exports,
-                   {_r6(bal)} AS balance, {q(p.unit_label)} AS unit
+                   {q(p.category)} AS category, {_out(imp)} AS imports, {_out(exp)} AS exports,
+                   {_out(bal)} AS balance, {q(p.unit_label)} AS unit
             FROM {frm}
             GROUP BY sp.year ORDER BY sp.year NULLS LAST""",
         extra,
@@ -153,7 +154,7 @@ def partner_series(p: Params, groups) -> str:
     bal = f"CASE WHEN {imp} IS NULL AND {exp} IS NULL THEN NULL ELSE COALESCE({e}, 0) - COALESCE({i}, 0) END"
     return with_fixture(
         f"""SELECT yp.year AS year, {q(p.country)} AS country, yp.partner AS partner, {q(p.category)} AS category,
-                   {_r6(imp)} AS imports, {_r6(exp)} AS exports, {_r6(bal)} AS balance, {q(p.unit_label)} AS unit
+                   {_out(imp)} AS imports, {_out(exp)} AS exports, {_out(bal)} AS balance, {q(p.unit_label)} AS unit
             FROM yp LEFT JOIN ex e ON yp.year = e.year AND yp.partner = e.partner
                     LEFT JOIN im i ON yp.year = i.year AND yp.partner = i.partner
                     LEFT JOIN gy g ON yp.year = g.year
@@ -173,14 +174,17 @@ def partner_matrix(p: Params, groups) -> str:
         e, i = _share("t.exports"), _share("t.imports")
     else:
         e, i = "t.exports", "t.imports"
-    extra["r"] = f"""SELECT t.partner, t.category, COALESCE(-{i}, 0) AS imports, COALESCE({e}, 0) AS exports,
+    extra["r"] = f"""SELECT t.year, t.partner, t.category, COALESCE(-{i}, 0) AS imports, COALESCE({e}, 0) AS exports,
                             COALESCE({e}, 0) - COALESCE({i}, 0) AS balance
                      FROM t JOIN gy g ON t.year = g.year"""
-    agg = "AVG" if p.is_gdp else "SUM"
+
+    def agg(c: str) -> str:  # shares are doubles: added in the order of the years
+        return f"list_reduce(list_prepend(0.0::DOUBLE, list({c} ORDER BY year)), lambda a, b: a + b) / COUNT(*)" if p.is_gdp else f"SUM({c})"
+
     return with_fixture(
         f"""SELECT {q(p.years_label)} AS years, {q(p.country)} AS country, partner, category,
-                   {_r6(f"{agg}(imports)")} AS imports, {_r6(f"{agg}(exports)")} AS exports,
-                   {_r6(f"{agg}(balance)")} AS balance, {q(p.unit_label)} AS unit
+                   {_out(agg("imports"))} AS imports, {_out(agg("exports"))} AS exports,
+                   {_out(agg("balance"))} AS balance, {q(p.unit_label)} AS unit
             FROM r GROUP BY partner, category ORDER BY partner, category""",
         extra,
     )

@@ -19,14 +19,14 @@ def etl_flows_long() -> str:
 
 
 def etl_flows_wide() -> str:
-    cols = ",\n".join(f"MAX(CASE WHEN category = {q(c)} THEN CAST(value AS DECIMAL(8,2)) END) AS {c}"
+    cols = ",\n".join(f"MAX(CASE WHEN category = {q(c)} THEN CAST(value AS DECIMAL(18,2)) END) AS {c}"
                       for c in CATEGORIES)
     return with_fixture(f"SELECT CAST(year AS SMALLINT) AS year, exporter, importer,\n{cols}\n"
                         "FROM flows GROUP BY year, exporter, importer")
 
 
 def etl_wide_to_long() -> str:
-    return with_fixture("SELECT year, exporter, importer, category, CAST(value AS DECIMAL(8,2)) AS value FROM flows")
+    return with_fixture("SELECT year, exporter, importer, category, CAST(value AS DECIMAL(18,2)) AS value FROM flows")
 
 
 def etl_audit() -> str:
@@ -109,6 +109,17 @@ def valid_counterparts(reporter: str) -> str:
             WHERE country IN (SELECT country FROM membership WHERE group_name = {q(reporter)}))""")
 
 
+def random_counterparts(reporter: str, n: int, seed: int) -> str:
+    return over(valid_counterparts(reporter), f"SELECT group_name FROM base ORDER BY md5('{seed}|' || group_name), group_name LIMIT {n}")
+
+
+def name_resolution_audit() -> str:
+    return with_fixture("""
+        SELECT n.entity_name AS name, a.iso3, n.n_rows, a.iso3 IS NOT NULL AS matched
+        FROM (SELECT entity_name, COUNT(*) AS n_rows FROM indicators GROUP BY entity_name) n
+        LEFT JOIN al a ON lower(trim(n.entity_name)) = a.al""")
+
+
 def rest_of_sample(group: str) -> str:
     return with_fixture(f"""
         SELECT DISTINCT country FROM membership
@@ -273,3 +284,9 @@ def unit_labels(base_sql: str, unit: str) -> str:
     return over(base_sql, f"""
         SELECT partner, {q(prefix if unit != 'gdp' else '')} || {_label('value')} || ' ' || {q(suffix)} AS caption
         FROM base""")
+
+
+def tiny_share(base_sql: str, factor: int) -> str:
+    """Shares of a GDP ``factor`` (a power of two, so exactly) as large."""
+    return over(base_sql, f"""
+        SELECT years, country, partner, flow, value / {factor}.0::DOUBLE AS value, unit, {_label(f'(value / {factor}.0::DOUBLE)')} AS label FROM base""")

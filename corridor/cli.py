@@ -17,7 +17,8 @@
 from __future__ import annotations
 
 import argparse
-import glob
+import csv
+import sys
 
 from . import schemas
 from .operators import convert, coverage
@@ -27,11 +28,11 @@ from .sinks.files import export_result, file_name, write_table
 from .sources import files
 
 QUERIES = {
-    "top_partners": (single.top_partners, "table-partners"),
-    "top_categories": (single.top_categories, "table-categories"),
-    "world_trade": (single.world_trade, "plot"),
-    "partner_series": (multi.partner_series, "plot"),
-    "partner_matrix": (multi.partner_matrix, "table-multi"),
+    "top_partners": single.top_partners,
+    "top_categories": single.top_categories,
+    "world_trade": single.world_trade,
+    "partner_series": multi.partner_series,
+    "partner_matrix": multi.partner_matrix,
 }
 
 
@@ -78,8 +79,7 @@ def main(argv=None) -> None:
 
     spark = SparkSession.builder.getOrCreate()
     if args.cmd == "build":
-        paths = sorted(glob.glob(args.raw)) or [args.raw]
-        jobs.build_serving_tables(spark, raw_paths=paths, country_codes=args.codes, sections=args.sections,
+        jobs.build_serving_tables(spark, raw_paths=[args.raw], country_codes=args.codes, sections=args.sections,
                                   countries=args.countries, current=args.current, constant=args.constant,
                                   gdp=args.gdp, out_root=args.out, time_range=tuple(args.years))
         return
@@ -89,12 +89,13 @@ def main(argv=None) -> None:
     cat = jobs.load_catalog(spark, args.root)
     p = Params(args.country, tuple(args.years), unit=args.unit, prices=args.prices, category=args.category,
                flow=args.flow, group=args.group, partners=tuple(args.partners))
-    fn, mode = QUERIES[args.name]
-    df = fn(cat, p)
+    df = QUERIES[args.name](cat, p)
     if args.export:
-        print(export_result(df, args.export, file_name(mode, p.country, p.years, p.partners, p.category, p.flow)))
-    else:
-        df.show(50, truncate=False)
+        print(export_result(df, args.export, file_name(args.name, p)))
+    else:  # every row, a partition at a time
+        lines = csv.writer(sys.stdout)
+        lines.writerow(df.columns)
+        lines.writerows(df.toLocalIterator())
 
 
 def _builder(spark, args):

@@ -8,12 +8,6 @@ from pyspark.sql import types as T
 
 from ..schemas import VALUE_TYPE
 
-# Output contract: double measures are reported to 6 decimal places. Values are
-# money in millions (2 dp) times factors (4 dp in the fixtures), so 6 places is
-# exact for currency results and one unit of currency for everything else; it
-# also makes results independent of floating-point summation order.
-OUTPUT_DP = 6
-
 
 def to_money(total: Column, divisor: int = 1000, dtype: T.DecimalType = VALUE_TYPE) -> Column:
     """``total / divisor`` with banker's rounding to 2 dp, as a decimal.
@@ -26,8 +20,21 @@ def to_money(total: Column, divisor: int = 1000, dtype: T.DecimalType = VALUE_TY
 
 
 def out(c: Column) -> Column:
-    """Final form of a reported measure: double, fixed number of places."""
-    return F.round(c.cast("double"), OUTPUT_DP)
+    """Final form of a reported measure: double, not rounded.
+
+    Money is summed as DECIMAL and cast once; shares divide exact sums, and what
+    is still added up as doubles is added in a fixed order (``ordered_mean``).
+    """
+    return c.cast("double")
+
+
+def ordered_mean(value: Column, order: Column) -> Column:
+    """Mean of a group's doubles added in the given order, so that it doesn't depend on task order.
+
+    For groups bounded by the years of a report.
+    """
+    values = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x["v"]) / F.size(values)
 
 
 def signed(amount: Column, flow: str) -> Column:

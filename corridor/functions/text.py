@@ -48,7 +48,7 @@ def label(c: Column | str, capitalize: bool = True, in_sentence: bool = False, f
     out = F.regexp_replace(c, "^(.*?)balance", f"$1{BALANCE_LABEL}")  # first occurrence only
     if in_sentence:
         for word, phrase in IN_SENTENCE:
-            out = F.regexp_replace(out, rf"\b{word}\b", phrase)
+            out = F.regexp_replace(out, rf"^(.*?)\b{word}\b", f"$1{phrase}")  # first occurrence only
     if capitalize:
         out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
     if file_mode:

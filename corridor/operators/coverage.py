@@ -15,11 +15,22 @@ def _norm(c):
 
 
 def resolve_names(df: DataFrame, name_col: str, aliases: DataFrame) -> DataFrame:
-    """Attach ``iso3`` by a case- and space-insensitive alias lookup; unmatched -> null."""
-    al = small(aliases.select(_norm(F.col("alias")).alias("_alias"), "iso3").distinct())
+    """Attach ``iso3`` by a case- and space-insensitive alias lookup; unmatched -> null.
+
+    An alias with several codes raises: it would repeat rows.
+    """
+    one = F.when(F.count_distinct("iso3") > 1, F.raise_error(F.concat(F.lit("several iso3 codes for alias "), F.first("_alias"))))
+    al = small(aliases.select(_norm(F.col("alias")).alias("_alias"), "iso3").groupBy("_alias")
+               .agg(F.coalesce(one.cast("string"), F.min("iso3")).alias("iso3")))
     return df.withColumn("_alias", _norm(F.col(name_col))).join(al, "_alias", "left").drop("_alias")
 
 
+def name_resolution_audit(df: DataFrame, name_col: str, aliases: DataFrame) -> DataFrame:
+    """(name, iso3, n_rows, matched) of every distinct name: what the alias table resolves and what it doesn't."""
+    names = df.groupBy(F.col(name_col).alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return resolve_names(names, "name", aliases).select("name", "iso3", "n_rows", F.col("iso3").isNotNull().alias("matched"))
+
+
 def build_gdp(scaffold: DataFrame, indicators: DataFrame, aliases: DataFrame, deflators: DataFrame,
               base_country: str, base_year: int) -> DataFrame:
     """(year, country, gdp_constant): GDP in million base-year USD for every scaffold row.

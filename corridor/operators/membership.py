@@ -67,7 +67,9 @@ def members_of(groups: dict[str, tuple[str, ...]], names) -> tuple[str, ...]:
 def random_counterparts(membership: DataFrame, reporter: str, n: int = 5, seed: int = 0) -> DataFrame:
     """Up to ``n`` random groups that do not overlap the reporter.
 
-    The reference draws a fresh random choice; ``seed`` makes ours repeatable.
-    The limit is the feature: a sample of n choices.
+    The reference draws a fresh random choice; ours is ordered by a hash of
+    ``seed`` and name, so it is repeatable whatever the partitions. The limit
+    is the feature: a sample of n choices.
     """
-    return valid_counterparts(membership, reporter).orderBy(F.rand(seed), "group_name").limit(n)
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("group_name")))
+    return valid_counterparts(membership, reporter).orderBy(order, "group_name").limit(n)

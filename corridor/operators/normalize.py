@@ -84,15 +84,19 @@ def to_wide(flows: DataFrame, categories: Sequence[str], value_type=WIDE_VALUE_T
     """Long -> wide: one row per (year, exporter, importer), one column per category (A2).
 
     The explicit category list keeps every column even when a category never
-    occurs; absent cells are null. The cast to DECIMAL(8,2) fails loudly on
-    overflow instead of nulling a value.
+    occurs; absent cells are null. One aggregate does it in one shuffle, and a
+    cell that several rows claim raises, as does a value too wide for its type.
     """
     cats = list(categories)
-    wide = flows.groupBy(*KEYS).pivot("category", cats).agg(F.first("value"))
-    return wide.select(
-        F.col("year").cast("smallint").alias("year"), "exporter", "importer",
-        *[F.col(c).cast(value_type).alias(c) for c in cats],
-    )
+
+    def cell(c: str):
+        mine = F.when(F.col("category") == c, F.col("value"))
+        several = F.count(F.when(F.col("category") == c, F.lit(1))) > 1
+        return F.when(several, F.raise_error(F.lit(f"several rows for one cell of {c}")).cast(value_type)).otherwise(
+            F.max(mine).cast(value_type)).alias(c)
+
+    wide = flows.groupBy(*KEYS).agg(*[cell(c) for c in cats])
+    return wide.withColumn("year", F.col("year").cast("smallint"))
 
 
 def to_long(wide: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 FLOW_COLUMNS = ("imports", "exports", "balance")
 
 
@@ -21,8 +23,9 @@ def rank_table(df: DataFrame, flow: str, key: str, k: int | None = None) -> Data
     magnitude first either way; ties break on the key so ranks are stable.
     ``k`` keeps the top k (a top-k report: per-partition candidates, then the
     best k). Without ``k`` the ranking is distributed: rows are range
-    partitioned in rank order, numbered inside each range, and each range is
-    offset by the row count of the ranges before it.
+    partitioned in rank order and checkpointed with their range (the bounds are
+    sampled, so they must be drawn once), numbered inside each range, and each
+    range is offset by the row count of the ranges before it.
     """
     order = [F.desc_nulls_last(flow) if flow == "exports" else F.asc_nulls_last(flow), F.asc(key)]
     rows = df.where(F.col("flow") == flow).select(key, F.col("value").alias(flow))
@@ -30,7 +33,8 @@ def rank_table(df: DataFrame, flow: str, key: str, k: int | None = None) -> Data
         top = rows.orderBy(*order).limit(k)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    shared_dir(df.sparkSession)
+    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     local = parts.withColumn("_pos", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     # one row per range partition: the preceding ranges' sizes give each range its offset
     offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -90,6 +94,8 @@ def table_limits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Global (min_value, max_value) over every numeric cell; nulls if there are none."""
     num = columns or [f.name for f in df.schema.fields
                       if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")]
+    if not num:
+        return df.agg(F.lit(None).cast("double").alias("min_value"), F.lit(None).cast("double").alias("max_value"))
     mins = [F.min(c).cast("double") for c in num]
     maxs = [F.max(c).cast("double") for c in num]
     return df.agg(

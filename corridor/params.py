@@ -91,12 +91,9 @@ def sanitize_years(y0, y1, bounds: tuple[int, int]) -> tuple[int, int]:
 
 
 def select_partners(names, known) -> tuple[str, ...]:
-    """Partner choice rule: known names only, duplicates collapse, at most five."""
+    """Partner choice rule: known names only, duplicates collapse; more than the published five raise."""
     known = set(known)
-    out: list[str] = []
-    for n in names:
-        if n in known and n not in out:
-            out.append(n)
-        if len(out) == MAX_PARTNERS:
-            break
+    out = list(dict.fromkeys(n for n in names if n in known))
+    if len(out) > MAX_PARTNERS:
+        raise ValueError(f"at most {MAX_PARTNERS} partners, got {len(out)}")
     return tuple(out)

@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import logging
 import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import measures
 from ..operators import convert, membership as mem, normalize
 from ..operators.joins import DIM_ROW_LIMIT, is_small
 from ..session import shared_dir
-from ..sinks.files import materialize, write_flows
+from ..sinks import files as sinks_files
+from ..sinks.files import file_states, materialize, write_flows
 from ..sources import fixture
 
-log = logging.getLogger(__name__)
-
-# Bump when the fixture or ETL semantics change: materialised copies are keyed by it.
-BUILD_VERSION = "4"
-
 
 @dataclass
 class Catalog:
@@ -85,7 +81,8 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "countries": lambda: fixture.countries(spark, sf_dir),
         "sections": lambda: fixture.sections(spark),
         "membership": lambda: mem.build_membership(fixture.countries(spark, sf_dir)),
-        "current": lambda: convert.build_current_factors(fixture.fx(spark), fixture.years(spark)),
+        "current": lambda: convert.build_current_factors(
+            fixture.fx(spark, fixture.years(spark, sf_dir)), fixture.years(spark, sf_dir)),
         "constant": lambda: fixture.constant_conversion(spark, sf_dir),
         "gdp": lambda: fixture.gdp_table(spark, sf_dir),
     })
@@ -97,28 +94,34 @@ def fixture_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.build_flows(s["raw"], s["sections"], s["country_codes"], s["countries"])
 
 
+def _build_key(spark: SparkSession, sf_dir: str) -> str:
+    """Names a materialised copy by its input files (path, length, time) and by the code that builds it."""
+    seen = hashlib.sha1()
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        seen.update("|".join(file_states(spark, f"{sf_dir}/{name}.parquet")).encode())
+    for module in (fixture, convert, mem, normalize, measures, sinks_files):
+        with open(module.__file__, "rb") as f:
+            seen.update(f.read())
+    return seen.hexdigest()[:16]
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """Build (once) and load the serving tables of a fixture directory.
 
     The flow fact and the dimensions are written under the shared folder the
     session names (``spark.checkpoint.dir``) and read back, so every query
-    starts from compact files instead of re-running the ETL join.
+    starts from compact files instead of re-running the ETL join. A failure to
+    write them is an error, not a reason to run the ETL in every query.
     """
     sf_dir = sf_dir.rstrip("/")
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key in _cache:
         return _cache[key]
-    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{BUILD_VERSION}".encode()).hexdigest()[:16]
     s = fixture_sources(spark, sf_dir)
     flows = normalize.build_flows(s["raw"], s["sections"], s["country_codes"], s["countries"])
-    names = ("membership", "current", "constant", "gdp")
-    try:
-        root = f"{shared_dir(spark)}/corridor/fixture-{tag}"
-        flows = materialize(spark, flows, f"{root}/flows", writer=write_flows)
-        tables = {n: materialize(spark, s[n], f"{root}/{n}") for n in names}
-    except Exception as e:  # no writable shared folder: same results, computed lazily
-        log.warning("serving tables not materialised (%s); using lazy plans", str(e).splitlines()[0][:200])
-        tables = {n: s[n] for n in names}
+    root = f"{shared_dir(spark)}/corridor/fixture-{_build_key(spark, sf_dir)}"
+    flows = materialize(spark, flows, f"{root}/flows", writer=write_flows)
+    tables = {n: materialize(spark, s[n], f"{root}/{n}") for n in ("membership", "current", "constant", "gdp")}
     cats = [r[0] for r in s["sections"].select("category").distinct().collect()]
     cat = Catalog.from_tables(spark, flows, tables["membership"], tables["current"], tables["constant"],
                               tables["gdp"], cats)

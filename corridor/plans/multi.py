@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import out, row_measures, share
+from ..functions.measures import ordered_mean, out, row_measures, share
 from ..operators.joins import bounded
 from ..params import Params
 from .catalog import Catalog
@@ -101,13 +101,13 @@ def partner_matrix(cat: Catalog, p: Params) -> DataFrame:
         t = agg.join(gdp_by_year(cat, reporters), "year", "inner")
         e, i = share(F.col("exports"), F.col("gdp")), share(F.col("imports"), F.col("gdp"))
         rows = t.select(
-            "partner", "category",
+            "year", "partner", "category",
             F.coalesce(-i, F.lit(0)).alias("imports"),
             F.coalesce(e, F.lit(0)).alias("exports"),
             (F.coalesce(e, F.lit(0)) - F.coalesce(i, F.lit(0))).alias("balance"),
         )
         res = rows.groupBy("partner", "category").agg(
-            *[out(F.avg(c)).alias(c) for c in ("imports", "exports", "balance")])
+            *[out(ordered_mean(F.col(c), F.col("year"))).alias(c) for c in ("imports", "exports", "balance")])
     return res.select(
         F.lit(p.years_label).alias("years"), F.lit(p.country).alias("country"), "partner", "category",
         "imports", "exports", "balance", F.lit(p.unit_label).alias("unit"),

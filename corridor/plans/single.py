@@ -53,9 +53,12 @@ def top_categories(cat: Catalog, p: Params) -> DataFrame:
 
 
 def _measures(exports: Column, imports: Column, gdp: Column | None) -> list[Column]:
-    """imports (negative), exports, balance from positive magnitudes, aggregated."""
+    """imports (negative), exports, balance from positive magnitudes, aggregated.
+
+    The rows of a group share one GDP, so exact sums are divided instead of shares summed.
+    """
     if gdp is not None:
-        exports, imports = share(exports, gdp), share(imports, gdp)
+        return row_measures(F.sum(exports), F.sum(imports), F.max(gdp))
     imp, exp = nz_sum(-imports), nz_sum(exports)
     bal = F.when(imp.isNull() & exp.isNull(), F.lit(None)).otherwise(zsum(exports) - zsum(imports))
     return [out(imp).alias("imports"), out(exp).alias("exports"), out(bal).alias("balance")]

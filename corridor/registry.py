@@ -8,7 +8,7 @@ years and category, as a user of the product would.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -161,24 +161,26 @@ register("factor_current", lambda spark, d: convert.build_current_factors(
     fixture.fx(spark, fixture.observed_years(spark, d)), fixture.observed_years(spark, d)),
     oracle_ops.factor_current)
 register("factor_constant", lambda spark, d: convert.build_constant_factors(
-    fixture.scaffold(spark, d), fixture.deflators(spark, d), fixture.fx(spark), fixture.BASE_YEAR),
+    fixture.scaffold(spark, d), fixture.deflators(spark, d), fixture.fx(spark, fixture.years(spark, d)), fixture.BASE_YEAR),
     oracle_ops.factor_constant)
 register("gdp_build", lambda spark, d: coverage.build_gdp(
     fixture.scaffold(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d),
     fixture.deflators(spark, d), "NATION_0", fixture.BASE_YEAR), lambda: oracle_ops.gdp_build("NATION_0"))
 register("coverage", lambda spark, d: coverage.build_coverage(
-    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1]),
-    lambda: oracle_ops.coverage(fixture.TIME_RANGE[1]))
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.BASE_YEAR),
+    lambda: oracle_ops.coverage(fixture.BASE_YEAR))
 register("coverage_display", lambda spark, d: coverage.coverage_display(coverage.build_coverage(
-    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1])),
-    lambda: oracle_ops.coverage_display(fixture.TIME_RANGE[1]))
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.BASE_YEAR)),
+    lambda: oracle_ops.coverage_display(fixture.BASE_YEAR))
 register("sample_note", lambda spark, d: coverage.sample_note(coverage.build_coverage(
-    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.TIME_RANGE[1]),
+    fixture.countries(spark, d), fixture.indicators(spark, d), fixture.aliases(spark, d), fixture.BASE_YEAR),
     membership.build_membership(fixture.countries(spark, d)), "EUROPE"),
-    lambda: oracle_ops.sample_note(fixture.TIME_RANGE[1], "EUROPE"))
-# a random draw: no oracle, the driver checks rows only
+    lambda: oracle_ops.sample_note(fixture.BASE_YEAR, "EUROPE"))
 register("random_counterparts", lambda spark, d: membership.random_counterparts(
-    membership.build_membership(fixture.countries(spark, d)), "ASIA", n=5, seed=42))
+    membership.build_membership(fixture.countries(spark, d)), "ASIA", n=5, seed=42),
+    lambda: oracle_ops.random_counterparts("ASIA", 5, 42))
+register("name_resolution_audit", lambda spark, d: coverage.name_resolution_audit(
+    fixture.indicators(spark, d), "entity_name", fixture.aliases(spark, d)), oracle_ops.name_resolution_audit)
 
 
 def _missing(spark, d):
@@ -251,12 +253,34 @@ register("unit_labels", lambda spark, d: _on(single.top_partners, _UL)(spark, d)
     lambda: oracle_ops.unit_labels(oracle.top_partners(_UL), "gbp"))
 
 
-def _report_world(spark, d):
-    rep = single.single_report(fixture_catalog(spark, d), _Q3["world_trade_gdp"][0])
-    return rep["world_trade"]
+def _report(fn, p, part):
+    """One result of a report, over its slice; the slice is only marked for caching and released again."""
+    def run(spark, d):
+        rep = fn(fixture_catalog(spark, d), p)
+        single.unpersist_report(rep)
+        return rep[part]
+    return run
 
 
-register("single_report_world_trade", _report_world, lambda: oracle.world_trade(_Q3["world_trade_gdp"][0]))
+_RS = _Q3["world_trade_gdp"][0]
+register("single_report_world_trade", _report(single.single_report, _RS, "world_trade"), lambda: oracle.world_trade(_RS))
+register("single_report_partners", _report(single.single_report, _RS, "partners"), lambda: oracle.top_partners(_RS))
+register("single_report_categories", _report(single.single_report, _RS, "categories"), lambda: oracle.top_categories(_RS))
+_RM = _MULTI["group_reporter"]
+register("multi_report_plot", _report(multi.multi_report, _RM, "plot"), lambda: oracle.partner_series(_RM, list(_RM.partners)))
+register("multi_report_table", _report(multi.multi_report, _RM, "table"), lambda: oracle.partner_matrix(_RM, list(_RM.partners)))
+
+
+def _tiny(spark, d):
+    """Flows whose shares of GDP are far below the shown precision: divided by a million, as in small places' trade."""
+    cat = fixture_catalog(spark, d)
+    scaled = cat.gdp.withColumn("gdp_constant", F.col("gdp_constant") * F.lit(1048576.0))
+    top = single.top_partners(replace(cat, gdp=scaled), _TINY)
+    return top.withColumn("label", value_label("value"))
+
+
+_TINY = Params("NATION_9", YEARS, unit="gdp", flow="exports")
+register("top_partners_tiny_share", _tiny, lambda: oracle_ops.tiny_share(oracle.top_partners(_TINY), 1048576))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 VALUE_TYPE = T.DecimalType(18, 2)       # long fact measure, million USD
-WIDE_VALUE_TYPE = T.DecimalType(8, 2)   # wide serving view, as published
+WIDE_VALUE_TYPE = T.DecimalType(18, 2)  # wide serving view: as wide as the long fact
 
 # Raw product-level flows, one CSV per year (thousand USD).
 RAW_FLOWS = T.StructType([
@@ -13,7 +13,7 @@ RAW_FLOWS = T.StructType([
     T.StructField("i", T.IntegerType()),
     T.StructField("j", T.IntegerType()),
     T.StructField("k", T.StringType()),      # product code, leading zeros kept
-    T.StructField("v", T.DoubleType()),
+    T.StructField("v", T.DecimalType(24, 6)),   # decimal: sums do not depend on task order
     T.StructField("q", T.StringType()),      # quantity, unused
 ])
 

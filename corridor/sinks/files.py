@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..params import ALL_CATEGORIES, ALL_COUNTERPARTS, Params
 
 
 def _fs(spark: SparkSession, path: str):
@@ -15,6 +17,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def file_states(spark: SparkSession, path: str) -> list[str]:
+    """Path, length and modification time of a file or of the files of a folder, sorted."""
+    fs, p = _fs(spark, path)
+    return sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(p))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """A completed Spark write: the directory carries the ``_SUCCESS`` marker."""
     fs, p = _fs(spark, path.rstrip("/") + "/_SUCCESS")
@@ -39,7 +47,7 @@ def write_flows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_wide(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Wide view (one DECIMAL(8,2) column per category) as snappy Parquet by year (K1)."""
+    """Wide view (one DECIMAL(18,2) column per category) as snappy Parquet by year (K1)."""
     (
         df.repartitionByRange("year", "exporter")
         .sortWithinPartitions("year", "exporter", "importer")
@@ -92,33 +100,19 @@ def write_dimensions(time_range: DataFrame, categories: DataFrame, group_members
     write_table(group_members.orderBy("group_name"), f"{path}/group_membership", "json", mode)
 
 
-def file_name(mode: str, country: str, years: tuple[int, int], partners=(), category: str = "All",
-              flow: str = "exports") -> str:
-    """Deterministic export name for a result (K6).
+def file_name(query: str, p: Params) -> str:
+    """Name of a result: the query and every parameter that can change it, so that results never share a name (K6).
 
-    A one-year range collapses to the year; the category becomes a slug.
+    Readable parts first, made safe for files; a short hash of the whole request tells apart what they blur.
     """
-    def s(x: str) -> str:
-        return re.sub(r"\s+", "_", x.lower())
-
-    span = str(years[0]) if years[0] == years[1] else f"{years[0]}_{years[1]}"
-    cat = "_all_products" if category == "All" else s(f"_{category}")
-    if mode == "plot":
-        if len(partners) == 1:
-            return f"{s(country)}_trade_with_{s(partners[0])}_{span}{cat}"
-        return f"trade_with_{s(country)}_{span}{cat}"
-    if mode == "table-multi":
-        return f"trade_with_{s(country)}_{span}"
-    if mode == "table-partners":
-        kind = "export" if flow == "exports" else "import"
-        return f"{s(country)}_{kind}_partners_{span}{cat}"
-    if mode == "table-categories":
-        return f"{s(country)}_top_{flow}_{span}"
-    raise ValueError(f"unknown export mode {mode!r}")
-
-
-def export_result(df: DataFrame, directory: str, name: str, fmt: str = "csv", mode: str = "overwrite") -> str:
-    """Write a query result under ``directory/name`` (K5)."""
+    parts = [query, p.country, *p.partners, p.group if p.group != ALL_COUNTERPARTS else "", p.category if p.category != ALL_CATEGORIES else "",
+             p.flow, p.unit if p.is_gdp else f"{p.unit}_{p.prices}", str(p.years[0]) if p.years[0] == p.years[1] else f"{p.years[0]}_{p.years[1]}"]
+    safe = [re.sub(r"[^\w.-]+", "_", x.lower()).strip("_") for x in parts if x]
+    return "-".join(x for x in safe if x)[:150] + "-" + hashlib.blake2b(repr((query, p)).encode(), digest_size=4).hexdigest()
+
+
+def export_result(df: DataFrame, directory: str, name: str, fmt: str = "csv", mode: str = "errorifexists") -> str:
+    """Write a query result under ``directory/name``; an older result is never overwritten unless asked (K5)."""
     path = f"{directory.rstrip('/')}/{name}"
     write_table(df, path, fmt, mode)
     return path

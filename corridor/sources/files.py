@@ -7,17 +7,40 @@ distributed scan.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
 
+def _read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """Header CSVs read by column name: each file's own header decides the order of its columns.
+
+    A missing column and a malformed cell raise; other columns are ignored. Files of a path
+    pattern must agree on their header (checked by the reader).
+    """
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {f.name: f.dataType for f in want.fields}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        header = tuple(spark.read.option("header", True).csv(path).columns)
+        if missing := [n for n in types if n not in header]:
+            raise ValueError(f"{path}: no column {', '.join(missing)}")
+        by_header.setdefault(header, []).append(path)
+    parts = [
+        spark.read.schema(T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header]))
+        .option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(same).select(*types)
+        for header, same in by_header.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_raw_flows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Every yearly flow file in one scan (S1); the product code stays a string."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(schemas.RAW_FLOWS).option("header", True).option("mode", "FAILFAST").csv(paths)
+    return _read_csv(spark, paths, schemas.RAW_FLOWS)
 
 
 def yearly_paths(directory: str, years: Iterable[int], pattern: str = "flows_{year}.csv",
@@ -28,7 +51,7 @@ def yearly_paths(directory: str, years: Iterable[int], pattern: str = "flows_{ye
 
 def read_country_codes(spark: SparkSession, path: str) -> DataFrame:
     """Code list CSV."""
-    return spark.read.schema(schemas.COUNTRY_CODES).option("header", True).csv(path)
+    return _read_csv(spark, path, schemas.COUNTRY_CODES)
 
 
 def _json_map(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -52,13 +75,13 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
 def read_indicators(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Long macro-indicator table supplied by the user (S6, re-aimed from a web download)."""
     if fmt == "csv":
-        return spark.read.schema(schemas.INDICATORS).option("header", True).csv(path)
+        return _read_csv(spark, path, schemas.INDICATORS)
     return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDICATORS.fields])
 
 
 def read_csv_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A header CSV with an explicit schema (fx rates, deflators, aliases)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return _read_csv(spark, path, schema)
 
 
 def scaffold(countries: DataFrame, time_range: tuple[int, int]) -> DataFrame:
@@ -69,21 +92,21 @@ def scaffold(countries: DataFrame, time_range: tuple[int, int]) -> DataFrame:
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """The one-row coverage table."""
-    return spark.read.schema(schemas.COVERAGE).option("header", True).csv(path)
+    return _read_csv(spark, path, schemas.COVERAGE)
 
 
 def read_factor_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """D7/D8/D9 written by the builders (header CSV), typed explicitly."""
     cur = schemas.CURRENCIES
     if kind == "current":
-        ddl = "year INT, " + ", ".join(f"{c}_current DOUBLE" for c in cur)
+        ddl = "year INT, " + ", ".join(f"{c}_current DECIMAL(20,10)" for c in cur)
     elif kind == "constant":
-        ddl = "year INT, country STRING, " + ", ".join(f"{c}_constant DOUBLE" for c in cur)
+        ddl = "year INT, country STRING, " + ", ".join(f"{c}_constant DECIMAL(20,10)" for c in cur)
     elif kind == "gdp":
         ddl = "year INT, country STRING, gdp_constant DOUBLE"
     else:
         raise ValueError(kind)
-    return spark.read.schema(ddl).option("header", True).csv(path)
+    return _read_csv(spark, path, ddl)
 
 
 def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:

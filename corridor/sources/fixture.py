@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..schemas import VALUE_TYPE
 
 # Fixed values of the fixture configuration.
-TIME_RANGE = (1995, 2001)          # configured year range (orders span 1995-2001)
 BASE_YEAR = 2001                   # base year of constant prices
 COVERED_BELOW = 22                 # nations 0..21 are covered, 22..24 are not
 BLOC_A_BELOW = 7                   # BLOC_A = nations 0..6
@@ -58,7 +57,6 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         li.join(oc, li.l_orderkey == oc.o_orderkey)
         .join(s, li.l_suppkey == s.s_suppkey)
-        .where(F.col("s_nationkey") != F.col("c_nationkey"))
         .select(
             "t",
             F.col("s_nationkey").alias("i"),
@@ -106,8 +104,21 @@ def sections(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS sections(category, chapters)")
 
 
-def years(spark: SparkSession, time_range: tuple[int, int] = TIME_RANGE) -> DataFrame:
-    return spark.range(time_range[0], time_range[1] + 1).select(F.col("id").cast("int").alias("year"))
+def time_range(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year of the orders; read once per folder and session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _ranges:
+        r = _read(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+        _ranges[key] = (r[0], r[1])
+    return _ranges[key]
+
+
+_ranges: dict[tuple[str, str], tuple[int, int]] = {}
+
+
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y0, y1 = time_range(spark, sf_dir)
+    return spark.range(y0, y1 + 1).select(F.col("id").cast("int").alias("year"))
 
 
 def observed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +131,7 @@ def _nation_years(spark: SparkSession, sf_dir: str, covered_only: bool = True) -
     if covered_only:
         n = n.where(F.col("n_nationkey") < COVERED_BELOW)
     # nation x year scaffold (S11): each nation row expands to its years
-    y0, y1 = TIME_RANGE
+    y0, y1 = time_range(spark, sf_dir)
     return n.select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("year"))
 
 
@@ -133,9 +144,8 @@ def _dec(expr: str) -> Column:
     return F.expr(f"CAST({expr} AS DECIMAL(10,4))")
 
 
-def fx(spark: SparkSession, year_frame: DataFrame | None = None) -> DataFrame:
-    """Currency units per US dollar by year (current prices), for the configured or given years."""
-    y = years(spark) if year_frame is None else year_frame
+def fx(spark: SparkSession, y: DataFrame) -> DataFrame:
+    """Currency units per US dollar by year (current prices), for the given years."""
     rate = {
         "usd": "1.0000",
         "cad": "1.2000 + 0.0200 * (year - 1995)",

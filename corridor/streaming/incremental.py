@@ -3,12 +3,11 @@
 The product rebuilds its fact from one raw file per year. As a Structured
 Streaming job, each new file is picked up by the file source, run through the
 same ``build_flows`` plan inside ``foreachBatch``, and written with dynamic
-partition overwrite, so exactly the years present in the batch are replaced.
-A replayed batch rewrites the same partitions with the same rows, which
-makes the sink idempotent; the checkpoint records which files were done.
+partition overwrite. A batch only says which years are affected: each of them
+is rebuilt from all files that hold rows of it, so the result does not depend
+on how files fall into batches, and a replayed batch rewrites the same rows.
 
-Contract (as in the product): a year's rows arrive in one file; a later file
-for the same year replaces that year.
+Contract: a year's rows may come in any number of files, which add up.
 """
 
 from __future__ import annotations
@@ -27,13 +26,19 @@ def flow_updates(spark: SparkSession, raw_dir: str, sections: DataFrame, country
     raw = (
         spark.readStream.schema(RAW_FLOWS)
         .option("header", True)
+        .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(raw_dir)
     )
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        years = [r.t for r in batch.select("t").distinct().collect()]  # a few years
+        every = spark.read.schema(RAW_FLOWS).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(raw_dir)
         (
-            build_flows(batch, sections, country_codes, covered)
+            build_flows(every.where(every.t.isin(years)), sections, country_codes, covered)
+            .repartitionByRange("year", "exporter")
+            .sortWithinPartitions("year", "exporter", "importer", "category")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("year")

@@ -53,7 +53,8 @@ def test_build_and_query(spark, tmp_path):
 
     cli.main(["query", "top_partners", "--root", str(tmp_path / "serving"), "--country", "Kenya",
               "--years", "2002", "2003", "--export", str(tmp_path / "out")])
-    out = tmp_path / "out" / "kenya_export_partners_2002_2003_all_products"
+    (out,) = (tmp_path / "out").iterdir()
+    assert out.name.startswith("top_partners-kenya-exports-usd_current-2002_2003-")
     assert spark.read.option("header", True).csv(str(out)).count() == 2
 
 

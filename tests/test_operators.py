@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corridor.functions.labels import rounded_value, unit_text, value_label, years_text
 from corridor.functions.measures import to_money
@@ -80,7 +81,7 @@ def test_wide_long_round_trip(spark):
         "year int, exporter string, importer string, category string, value decimal(18,2)")
     wide = normalize.to_wide(flows, ["X", "Y", "Z", "W"])
     assert wide.columns == ["year", "exporter", "importer", "X", "Y", "Z", "W"]  # W never occurs, still a column
-    assert dict(wide.dtypes)["X"] == "decimal(8,2)" and dict(wide.dtypes)["year"] == "smallint"
+    assert dict(wide.dtypes)["X"] == "decimal(18,2)" and dict(wide.dtypes)["year"] == "smallint"
     back = normalize.to_long(wide).orderBy("year", "category").collect()
     assert [(r.year, r.category, r.value) for r in back] == [
         (2002, "X", D("1.00")), (2002, "Z", D("0.00")), (2003, "Y", D("2.50"))]
@@ -267,10 +268,13 @@ def test_unit_text_and_words(spark):
 
 
 def test_file_names():
-    assert file_name("table-partners", "South Africa", (2002, 2023), category="Animal products") == \
-        "south_africa_export_partners_2002_2023_animal_products"
-    assert file_name("plot", "Kenya", (2020, 2020), partners=["G7 countries"]) == "kenya_trade_with_g7_countries_2020_all_products"
-    assert file_name("table-categories", "Kenya", (2002, 2010), flow="imports") == "kenya_top_imports_2002_2010"
+    p = Params("South Africa", (2002, 2023), category="Animal products")
+    assert file_name("top_partners", p).startswith("top_partners-south_africa-animal_products-exports-usd_current-2002_2023-")
+    assert file_name("top_partners", Params("Kenya", (2020, 2020), unit="gdp")).startswith("top_partners-kenya-exports-gdp-2020-")
+    others = [p.with_(unit="eur"), p.with_(prices="constant"), p.with_(group="G7"), p.with_(unit="gdp"), p.with_(flow="imports"),
+              p.with_(partners=("A", "B")), p.with_(partners=("A B",)), p.with_(category="animal products")]
+    names = [file_name(q, x) for q in ("top_partners", "top_categories") for x in (p, *others)]
+    assert len(set(names)) == len(names)
 
 
 def test_params_validation():
@@ -281,7 +285,9 @@ def test_params_validation():
         Params("A", (1, 2), unit="jpy")
     assert sanitize_years(float("nan"), 3000, (2002, 2023)) == (2002, 2023)
     assert sanitize_years(2010, 2004, (2002, 2023)) == (2004, 2010)
-    assert select_partners(["a", "x", "b", "a", "c", "d", "e", "f"], "abcdef") == ("a", "b", "c", "d", "e")
+    assert select_partners(["a", "x", "b", "a", "c", "d", "e"], "abcdef") == ("a", "b", "c", "d", "e")
+    with pytest.raises(ValueError):
+        select_partners("abcdef", "abcdef")
 
 
 def test_share_of_zero_gdp_is_null(spark):
@@ -315,8 +321,66 @@ def test_wide_view_overflow_fails_loudly(spark):
         pytest.skip("overflow raises only under ANSI mode")
     flows = spark.createDataFrame([(2002, "A", "B", "X", D("1000000.00"))],
                                   "year int, exporter string, importer string, category string, value decimal(18,2)")
+    assert normalize.to_wide(flows, ["X"]).first().X == D("1000000.00")
     with pytest.raises(Exception):
-        normalize.to_wide(flows, ["X"]).collect()
+        normalize.to_wide(flows, ["X"], value_type=T.DecimalType(8, 2)).collect()
+
+
+def test_wide_view_rejects_repeated_cells_in_one_shuffle(spark):
+    row = (2002, "A", "B", "X", D("1.00"))
+    schema = "year int, exporter string, importer string, category string, value decimal(18,2)"
+    with pytest.raises(Exception, match="several rows for one cell"):
+        normalize.to_wide(spark.createDataFrame([row, row], schema), ["X"]).collect()
+    plan = normalize.to_wide(spark.createDataFrame([row], schema), ["X"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_csv_readers_go_by_header_and_fail_on_bad_cells(spark, tmp_path):
+    inputs = {
+        "raw": (files.read_raw_flows, {"t": "2002", "i": "1", "j": "2", "k": "0101", "v": "1.5", "q": "x"}, "v"),
+        "codes": (files.read_country_codes, {"country_code": "1", "country_name": "A", "country_iso2": "a", "country_iso3": "AAA"}, "country_code"),
+        "ind": (lambda s, p: files.read_indicators(s, p, "csv"), {"entity_name": "A", "indicator_code": "LP", "unit": "u", "year": "2002", "value": "2"}, "year"),
+        "cov": (files.read_coverage, {"n_countries": "3", "gdp_share": "1.5", "pop_share": "2.5"}, "gdp_share"),
+        "gdp": (lambda s, p: files.read_factor_table(s, p, "gdp"), {"year": "2002", "country": "A", "gdp_constant": "5"}, "gdp_constant"),
+        "cur": (lambda s, p: files.read_factor_table(s, p, "current"),
+                {"year": "2002", **{f"{c}_current": str(n) for n, c in enumerate(("usd", "cad", "eur", "gbp"))}}, "eur_current"),
+    }
+    for name, (read, row, number) in inputs.items():
+        straight, turned, bad = (tmp_path / f"{name}{k}.csv" for k in range(3))
+        straight.write_text(",".join(row) + "\n" + ",".join(row.values()) + "\n")
+        back = dict(reversed(row.items()))
+        turned.write_text(",".join(back) + ",extra\n" + ",".join(back.values()) + ",1\n")
+        assert read(spark, str(turned)).collect() == read(spark, str(straight)).collect(), name
+        bad.write_text(",".join(row) + "\n" + ",".join({**row, number: "oops"}.values()) + "\n")
+        with pytest.raises(Exception):
+            read(spark, str(bad)).collect()
+        bad.write_text(",".join(list(row)[1:]) + "\n")
+        with pytest.raises(ValueError, match="no column"):
+            read(spark, str(bad))
+    both = files.read_raw_flows(spark, [str(tmp_path / "raw0.csv"), str(tmp_path / "raw1.csv")]).collect()
+    assert both[0] == both[1]
+
+
+def test_repeated_alias_raises(spark):
+    df = spark.createDataFrame([("Kenya",)], "name string")
+    al = spark.createDataFrame([("Kenya", "KEN"), (" kenya", "KEN")], "alias string, iso3 string")
+    assert coverage.resolve_names(df, "name", al).collect()[0].iso3 == "KEN"
+    al = spark.createDataFrame([("Kenya", "KEN"), ("KENYA ", "XXX")], "alias string, iso3 string")
+    with pytest.raises(Exception, match="several iso3 codes"):
+        coverage.resolve_names(df, "name", al).collect()
+    audit = coverage.name_resolution_audit(df.union(df).union(spark.createDataFrame([("Nowhere",)], "n string")), "name", al.limit(1))
+    assert sorted(map(tuple, audit.collect())) == [("Kenya", "KEN", 2, True), ("Nowhere", None, 1, False)]
+
+
+def test_ranks_of_a_million_rows_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(1_000_000).select(F.col("id").cast("string").alias("partner"), F.lit("exports").alias("flow"),
+                                           F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double").alias("value"))
+        r = shape.rank_table(df, "exports", "partner").agg(F.count("rank"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert tuple(r) == (1_000_000, 1_000_000, 1, 1_000_000)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 @pytest.mark.parametrize("parts", ["8", "37"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from corridor.operators.normalize import build_flows
 from corridor.schemas import RAW_FLOWS
 from corridor.sinks.files import export_result, materialize, write_dimensions, write_flows
@@ -45,6 +47,21 @@ def test_stream_updates_year_partitions(spark, tmp_path):
                                                                  "value").collect())
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 4])
+def test_stream_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
+    sections, codes, covered = _inputs(spark)
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for k, v in enumerate((1000.0, 2000.0)):
+        (raw / f"part{k}.csv").write_text(f"t,i,j,k,v,q\n2002,1,2,010000,{v},1\n")
+    q = flow_updates(spark, str(raw), sections, codes, covered, str(tmp_path / "flows"), str(tmp_path / "ck"), files_per_batch=files_per_batch)
+    q.awaitTermination(120)
+    assert [float(r.value) for r in spark.read.parquet(str(tmp_path / "flows")).collect()] == [3.0]
+    (raw / "bad.csv").write_text("t,i,j,k,v,q\n2002,1,2,010000,oops,1\n")
+    with pytest.raises(Exception):
+        flow_updates(spark, str(raw), sections, codes, covered, str(tmp_path / "flows"), str(tmp_path / "ck")).awaitTermination(120)
+
+
 def test_materialize_writes_once_and_reuses(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(5)
