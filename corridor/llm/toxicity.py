@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-* Terms are words (A-Z lower-cased, without ASCII punctuation) and the first 4, 5 and 6 bytes
-  of longer ones, so that inflected forms of a stem meet. Those that tell the labels apart are
-  selected on the labelled sample; all texts are vectors of tf-idf over these terms, with
-  document frequencies counted over the whole table.
+* Terms are words (A-Z lower-cased, without ASCII punctuation) and words without their last
+  2 to 4 bytes, so that inflected forms of a stem meet. Those that mark label 1 are selected
+  on the labelled sample; all texts are vectors of tf-idf over these terms, with
+  document frequencies counted over the whole table; all other terms of a text enter its length,
+  each in a dimension of its own.
 * The labelled examples (a bounded sample, at most about ``max_examples`` of each label) form
   an inverted index by term. Postings are cut into blocks of ``BLOCK`` examples, and each term
   keeps the highest weight of every block. A query adds up these bounds, opens blocks in
@@ -40,20 +41,26 @@ from corridor.llm.shared import slices, texts_of, workspace, written
 TERMS = 4096
 BLOCK = 64
 NEIGHBOURS = 15
-PRIOR_COSINE = 0.3
-PREFIXES = (4, 5, 6)
+PRIOR_COSINE = 0.1
+#: Squared weight of any term occurrence in a text's length, in mean squared idf of the selected terms.
+BACKGROUND = 1.0
+#: Bytes cut off a word's end to get a stem, and the least bytes of a stem.
+ENDINGS = (2, 3, 4)
+STEM = 3
+#: Share of label 1 among the texts that hold a term, for the term to be selected.
+PRECISION = 0.5
 BINS = 40
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each term occurrence, term hash): words and prefixes; a word counts once per prefix length."""
+    """(text of each term occurrence, term hash): words and their stems."""
     w = words(texts, content_only=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.offsets))
     out_owner, out = [owner], [w.hashes]
     length = w.ends - w.starts
-    for n in PREFIXES:
-        long = length > n
-        h = hashes_of(w.data, w.starts[long], w.starts[long] + n)
+    for n in ENDINGS:
+        long = length >= n + STEM
+        h = hashes_of(w.data, w.starts[long], w.ends[long] - n)
         out_owner.append(owner[long])
         out.append(h ^ np.uint64(0xA5A5A5A5_00000000 + n))
     return np.concatenate(out_owner), np.concatenate(out)
@@ -87,8 +94,8 @@ def _select(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, weight: np.n
     k0 = np.bincount(inverse, (weight * ~toxic)[owner])
     p1, p0 = (k1 + 0.5) / (n1 + 1), (k0 + 0.5) / (n0 + 1)
     gain = k1 * np.log(p1 / p0) + (n1 - k1) * np.log((1 - np.minimum(p1, 1 - 1e-9)) / (1 - np.minimum(p0, 1 - 1e-9)))
-    # at least three texts, label 1 at least four times as frequent, and a gain beyond chance over all terms tried
-    good = np.flatnonzero((rows >= 3) & (p1 >= 4 * p0) & (gain > np.log(len(values) + 1.0) / 2))
+    # at least three texts, most of those with the term toxic, and a gain beyond chance over all terms tried
+    good = np.flatnonzero((rows >= 3) & (p1 * n1 >= PRECISION * (p1 * n1 + p0 * n0)) & (gain > np.log(len(values) + 1.0) / 2))
     best = good[np.argsort(-gain[good], kind="stable")[:TERMS]]
     return np.sort(values[best])
 
@@ -116,12 +123,13 @@ class Index:
         place = np.searchsorted(self.vocabulary, term)
         place[place == len(self.vocabulary)] = 0
         hit = self.vocabulary[place] == term if len(self.vocabulary) else np.zeros(len(term), bool)
-        return self._unit(*_counted(owner[hit], place[hit]), len(texts))
-
-    def _unit(self, owner: np.ndarray, term: np.ndarray, n: np.ndarray, rows: int) -> Vectors:
-        value = (1 + np.log(n)) * self.idf[term]
-        norm = np.sqrt(np.bincount(owner, value * value, minlength=rows))
-        return Vectors(np.searchsorted(owner, np.arange(rows + 1)), term, value / norm[owner] if len(owner) else value)
+        owner_, term_, n = _counted(owner[hit], place[hit])
+        value, rows = (1 + np.log(n)) * self.idf[term_], len(texts)
+        # every word of the text counts in its length, so one marked word weighs less in a long text
+        occurrences = np.bincount(owner, minlength=rows)
+        each = BACKGROUND * float((self.idf * self.idf).mean()) if len(self.idf) else 1.0
+        norm = np.sqrt(np.bincount(owner_, value * value, minlength=rows) + each * occurrences)
+        return Vectors(np.searchsorted(owner_, np.arange(rows + 1)), term_, value / norm[owner_] if len(owner_) else value)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest examples with a cosine above zero, the nearest first; exact."""
