@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources.fixture import BASE_YEAR, SECTION_RANGES
 from .fixture_sql import with_fixture
+from . import oracle
 from .oracle import q
 
 CATEGORIES = sorted(sec for _, _, sec in SECTION_RANGES)
@@ -290,3 +291,37 @@ def tiny_share(base_sql: str, factor: int) -> str:
     """Shares of a GDP ``factor`` (a power of two, so exactly) as large."""
     return over(base_sql, f"""
         SELECT years, country, partner, flow, value / {factor}.0::DOUBLE AS value, unit, {_label(f'(value / {factor}.0::DOUBLE)')} AS label FROM base""")
+
+
+# ---- the fixture as input files, where nations divisible by 5 have an accented name ----
+
+_ACCENTED = "n_name || CASE WHEN n_nationkey % 5 = 0 THEN 'é' ELSE '' END"
+
+
+def _renamed(sql: str) -> str:
+    """The statement with the covered names and the groups of the input files."""
+    plain = "SELECT n_nationkey AS code, n_name AS country FROM nation WHERE n_nationkey < 22"
+    assert plain in sql
+    named = sql.replace(plain, f"SELECT n_nationkey AS code, {_ACCENTED} AS country FROM nation WHERE n_nationkey < 22")
+    groups = named.index("membership AS (")
+    head, tail = named[:groups], named[groups:]
+    end = tail.index("years AS (")
+    inside = tail[:end].replace("n.n_name", "n.nm").replace("n_name", "nm").replace("nation n", f"(SELECT *, {_ACCENTED} AS nm FROM nation) n")
+    inside = inside.replace("FROM nation WHERE", f"FROM (SELECT *, {_ACCENTED} AS nm FROM nation) WHERE")
+    return head + inside + tail[end:]
+
+
+def files_flows() -> str:
+    return _renamed(etl_flows_long())
+
+
+def files_dimensions() -> str:
+    return _renamed(dim_group_members())
+
+
+def files_top_partners(p) -> str:
+    return _renamed(oracle.top_partners(p))
+
+
+def mojibake_names() -> str:
+    return f"""SELECT n_nationkey AS code, replace({_ACCENTED}, 'é', 'Ã©') AS damaged, {_ACCENTED} AS name FROM nation"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,3 +128,20 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
                               tables["gdp"], cats)
     _cache[key] = cat
     return cat
+
+
+_file_builds: dict[tuple, str] = {}
+
+
+def fixture_file_build(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture written as the product's input files and built into serving tables; once per session."""
+    from . import jobs
+    from ..sources import fixture_files
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _file_builds:
+        root = f"{shared_dir(spark)}/corridor/files-{uuid.uuid4().hex}"
+        inputs = fixture_files.write_inputs(spark, sf_dir.rstrip("/"), f"{root}/in")
+        jobs.build_serving_tables(spark, **inputs, out_root=f"{root}/out", time_range=fixture.time_range(spark, sf_dir))
+        _file_builds[key] = root
+    return _file_builds[key]

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .checks import oracle, oracle_ops
 from .functions.labels import rounded_value, unit_text, value_label
-from .functions.text import label, slug
+from .functions.text import fix_mojibake, label, slug
 from .operators import convert, coverage, membership, normalize, quality, shape
 from .params import Params
-from .plans import multi, single
-from .plans.catalog import fixture_catalog, fixture_flows, fixture_sources
+from .plans import jobs, multi, single
+from .plans.catalog import fixture_catalog, fixture_file_build, fixture_flows, fixture_sources
 from .plans.core import sided
-from .sources import fixture
+from .sources import files, fixture
 
 YEARS = (1995, 2001)
 
@@ -283,6 +283,23 @@ _TINY = Params("NATION_9", YEARS, unit="gdp", flow="exports")
 register("top_partners_tiny_share", _tiny, lambda: oracle_ops.tiny_share(oracle.top_partners(_TINY), 1048576))
 
 
+# ---- the same through files: CSV and JSON inputs, serving tables, queries -------------
+_FP = Params("EUROPE", YEARS, unit="usd", flow="exports")
+
+
+def _built(spark, d):
+    return jobs.load_catalog(spark, f"{fixture_file_build(spark, d)}/out")
+
+
+register("files_flows", lambda spark, d: _built(spark, d).flows.select("year", "exporter", "importer", "category", "value"), oracle_ops.files_flows)
+register("files_dimensions", lambda spark, d: spark.read.json(
+    f"{jobs.serving_root(spark, fixture_file_build(spark, d) + '/out')}/dims/group_membership").select(
+    "group_name", F.array_join("members", ", ").alias("members"), F.col("n_members").cast("int").alias("n_members")), oracle_ops.files_dimensions)
+register("files_top_partners", lambda spark, d: single.top_partners(_built(spark, d), _FP), lambda: oracle_ops.files_top_partners(_FP))
+register("mojibake_names", lambda spark, d: files.read_country_codes(spark, f"{fixture_file_build(spark, d)}/in/codes").select(
+    F.col("country_code").alias("code"), F.col("country_name").alias("damaged"), fix_mojibake("country_name").alias("name")), oracle_ops.mojibake_names)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: e.run for n, e in REGISTRY.items()}
 

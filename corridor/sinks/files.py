@@ -23,6 +23,24 @@ def file_states(spark: SparkSession, path: str) -> list[str]:
     return sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(p))
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file: written aside and renamed into place."""
+    fs, dst = _fs(spark, path)
+    _, src = _fs(spark, f"{path}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(src, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(dst):
+        fs.delete(dst, False)
+    if not fs.rename(src, dst):
+        raise IOError(f"could not write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """The content of a small text file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """A completed Spark write: the directory carries the ``_SUCCESS`` marker."""
     fs, p = _fs(spark, path.rstrip("/") + "/_SUCCESS")

@@ -39,7 +39,7 @@ def test_build_and_query(spark, tmp_path):
         constant=str(tmp_path / "const.csv"), gdp=str(tmp_path / "gdp.csv"), out_root=str(tmp_path / "serving"),
         time_range=(2002, 2003), wide=True)
     assert cat.flows.count() == 5  # 98 unmapped and uncovered Chad dropped
-    wide = spark.read.parquet(str(tmp_path / "serving" / "flows_wide"))
+    wide = spark.read.parquet(jobs.serving_root(spark, str(tmp_path / "serving")) + "/flows_wide")
     assert sorted(wide.columns) == ["Animals", "Plants", "exporter", "importer", "year"]
     assert wide.count() == 5
     assert cat.groups["G20"] == ("Peru", "Türkiye")
