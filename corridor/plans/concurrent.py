@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame, Row
 
 
 def fetch_all(spark, report: dict[str, DataFrame], pool: str | None = None,
-              max_workers: int = 3) -> dict[str, list[Row]]:
-    """Collect every result of a report concurrently; keys starting with ``_`` are skipped."""
+              max_workers: int = 3, max_rows: int = 1_000_000) -> dict[str, list[Row]]:
+    """Collect every result of a report concurrently; keys starting with ``_`` are skipped.
+
+    A frame of more than ``max_rows`` rows is no report and raises instead of filling the driver.
+    """
     items = {k: v for k, v in report.items() if not k.startswith("_")}
 
     def run(df: DataFrame) -> list[Row]:
         if pool is not None:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
-        return df.collect()
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+        return rows
 
     with ThreadPoolExecutor(max_workers=max_workers) as ex:
         futures = {k: ex.submit(run, df) for k, df in items.items()}

@@ -87,9 +87,8 @@ def converted(cat: Catalog, p: Params, view: DataFrame, reporters: Sequence[str]
 
 def gdp_by_year(cat: Catalog, reporters: Sequence[str]) -> DataFrame:
     """Yearly GDP of the reporter set: members with data are summed."""
-    return bounded(
-        cat.gdp.where(isin("country", reporters)).groupBy("year").agg(F.sum("gdp_constant").alias("gdp"))
-    )
+    yearly = cat.gdp.where(isin("country", reporters)).groupBy("year").agg(F.sum("gdp_constant").alias("gdp"))
+    return bounded(yearly) if "gdp" in cat.broadcastable else yearly
 
 
 def gdp_total(cat: Catalog, reporters: Sequence[str], years: tuple[int, int]) -> Column:

@@ -89,7 +89,8 @@ def partner_matrix(cat: Catalog, p: Params) -> DataFrame:
     if not p.is_gdp:
         # Money: the sum over years of yearly sums (missing = 0) is one sum over all rows, so a
         # single aggregate serves; years without a GDP row of the reporter set still drop out.
-        gdp_years = bounded(cat.gdp.where(isin("country", reporters)).select("year").distinct())
+        gdp_years = cat.gdp.where(isin("country", reporters)).select("year").distinct()
+        gdp_years = bounded(gdp_years) if "gdp" in cat.broadcastable else gdp_years
         tot = (_rolled(cat, p, groups, None).join(gdp_years, "year", "left_semi")
                .groupBy("partner", "category").agg(F.sum("e").alias("e"), F.sum("i").alias("i")))
         e, i = F.coalesce(F.col("e"), F.lit(0)), F.coalesce(F.col("i"), F.lit(0))

@@ -49,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path and not sc.master.startswith("local"):
+    # local-cluster[...] runs executors of their own and counts as a cluster
+    if not path and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if not path:
         path = os.environ.get("CORRIDOR_LOCAL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="corridor-ckpt-")
