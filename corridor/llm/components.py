@@ -7,6 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from corridor.llm.shared import workspace, written
 
 
+class Forest:
+    """A spanning forest of the links seen, between nodes or between groups of nodes."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def add(self, a: int, b: int, link: tuple[int, int] | None = None) -> None:
+        """Join the trees of a and b, by ``link`` if that names other ends; nothing if they are one."""
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append(link or (a, b))
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``edges`` (a long, b long) -> (node, component): the smallest node reachable, for every node with an edge.
 

@@ -12,9 +12,10 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
    pair is dropped as soon as the posterior probability (uniform prior) that its similarity
    reaches the threshold is below ``prune``. Survivors are verified exactly on full sets.
 4. Only connected components are asked for, so no group's pairs are listed: first every class
-   is compared with one hub of its buckets (the smallest class), which collapses groups of
+   is compared with one hub of its buckets (the class with most neighbours), which collapses groups of
    near copies; then buckets that still hold several components are compared in full, in
-   blocks of bounded size, leaving out pairs inside one component.
+   blocks of bounded size, leaving out pairs inside one component; a block passes on a spanning
+   forest of its links.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; with
 fewer words than a shingle the whole sequence is one; repeated rows and exact copies form
@@ -34,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corridor.llm.bytewords import shingles, words
-from corridor.llm.components import components
-from corridor.llm.shared import slices, texts_of, workspace, written
+from corridor.llm.components import Forest, components
+from corridor.llm.shared import grouped, ragged, slices, texts_of, workspace, written
 
-#: Classes compared with one another in one block of a bucket.
-BLOCK = 512
+#: Classes, and shingles of classes, in one block of a bucket.
+BLOCK = 2048
+BLOCK_SHINGLES = 1_500_000
 #: Shingles hashed at once, so that the working set stays in cache.
 _CACHE = 1 << 15
 
@@ -160,16 +162,18 @@ def _survives(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]])
     return out
 
 
-def _sized(df: DataFrame, column: str) -> DataFrame:
-    """Rows below one another ordered by the column, equal values together."""
-    return df.repartition(column).sortWithinPartitions(column)
-
-
 def _hub_pairs(bands: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): each class with the smallest class it shares a bucket with, if the sequential test passes."""
+    """(a, b): each class with the best hub of its buckets, if the sequential test passes.
+
+    A bucket's hub is its class with the most neighbours over all bands: the original of a group of
+    copies rather than an outlier.
+    """
     least = s.least_matches()
-    hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    near = bands.join(hubs, "bucket").groupBy("rep").agg(F.min("hub").alias("hub")).where("hub < rep")
+    crowd = bands.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = bands.join(crowd, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
+    best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))
+    hubs = bands.join(weights, "rep").groupBy("bucket").agg(best.alias("hub"))
+    near = bands.join(hubs, "bucket").groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", (-F.col("hub.low")).alias("hub")).where("hub <> rep")
     pairs = (near.join(classes.select("rep", "sig"), "rep")
              .join(classes.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub"))
 
@@ -182,68 +186,74 @@ def _hub_pairs(bands: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInArrow(test, "a long, b long")
 
 
-def _rest_pairs(bands: DataFrame, classes: DataFrame, joined: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): candidates in different components so far that pass the sequential test, from all buckets.
+def _rest_links(bands: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): links between different components so far, from all buckets; of each block's links a spanning forest.
 
-    A bucket is cut into blocks of about ``BLOCK`` classes and every two blocks meet in one group,
-    so a group holds at most two blocks whatever the bucket's size.
+    A bucket is cut into blocks of bounded size and every two blocks meet in one group, so a group
+    holds at most two blocks whatever the bucket's size. Candidates pass the sequential test and are
+    verified there on full sets, so pairs never leave their task.
     """
     least = s.least_matches()
     comp = bands.join(joined, bands.rep == joined.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = comp.join(open_, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_ = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    rows = comp.join(open_, "bucket").join(classes.select("rep", "n_shingles"), "rep")
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # the group of blocks (i, j), i <= j, gets the rows of both
     rows = rows.select("bucket", "rep", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("rep", "comp", "mine", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("meet"),
                        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = _sized(rows.join(classes.select("rep", "sig"), "rep"), "meet")
-
-    def pairs(g: dict[str, np.ndarray], sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(g["mine"] == g["i"])
-        right = np.flatnonzero(g["mine"] == g["j"])
-        a, b = [], []
+    wide = classes.select("rep", "sig").join(texts, F.col("rep") == F.col("node")).select("rep", "sig", "text")
+    rows = rows.join(wide, "rep").repartition("meet").sortWithinPartitions("meet", "rep")
+
+    def links(g: pa.Table) -> list[tuple[int, int]]:
+        g = g.combine_chunks()
+        rep, comp, mine, i, j = (g.column(c).to_numpy() for c in ("rep", "comp", "mine", "i", "j"))
+        keep = np.concatenate([[True], rep[1:] != rep[:-1]])  # a repeated id has several texts: any may stand for it
+        sig, sets = _matrix(g.column("sig"), s.hashes), _Sets(*sets_of(g.column("text").combine_chunks().fill_null(""), s.size))
+        left, right = np.flatnonzero(keep & (mine == i)), np.flatnonzero(keep & (mine == j))
+        forest = Forest()
         for p in left:
-            q = right[(g["comp"][right] != g["comp"][p]) & ((g["rep"][right] > g["rep"][p]) | (g["i"][p] != g["j"][p]))]
+            q = right[(comp[right] != comp[p]) & ((right > p) | (i[p] != j[p]))]
+            q = q[[forest.root(x) != forest.root(int(comp[p])) for x in comp[q].tolist()]] if len(q) else q
             if len(q):
                 q = q[_survives(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], least)]
-                a.append(np.full(len(q), g["rep"][p]))
-                b.append(g["rep"][q])
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+            if len(q):
+                both = sets.common(int(p), q)
+                union = sets.sizes[p] + sets.sizes[q] - both
+                for k in q[s.den * both >= s.num * union].tolist():
+                    forest.add(int(comp[p]), int(comp[k]), (int(rep[p]), int(rep[k])))
+        return forest.links
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            g = {c: t.column(c).to_numpy() for c in ("rep", "comp", "mine", "meet", "i", "j")}
-            sig = _matrix(t.column("sig"), s.hashes)
-            cut = np.flatnonzero(np.diff(g["meet"])) + 1
-            bounds = np.concatenate([[0], cut, [t.num_rows]])
-            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-                if y - x > 1:
-                    a, b = pairs({c: v[x:y] for c, v in g.items()}, sig[x:y])
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            meet = held.column("meet").to_numpy()
-            last = int(np.searchsorted(meet, meet[-1], side="left"))
-            if last:  # all but the last group are complete
-                yield from groups(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None:
-            yield from groups(held)
-
-    return rows.mapInArrow(test, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+        for group in grouped(batches, "meet"):
+            if group.num_rows > 1 and (found := links(group)):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return rows.mapInArrow(test, "a long, b long")
+
+
+class _Sets:
+    """Sets of a block as sorted ranges, with an inverted index over them."""
+
+    def __init__(self, h: np.ndarray, offsets: np.ndarray):
+        self.offsets, self.sizes = offsets, np.diff(offsets)
+        values, self.code = np.unique(h, return_inverse=True)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(self.code, kind="stable")
+        self.holder = owner[order]
+        self.starts = np.searchsorted(self.code[order], np.arange(len(values) + 1))
+
+    def common(self, p: int, q: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set p with the sets q."""
+        mine = self.code[self.offsets[p] : self.offsets[p + 1]]
+        if len(q) < 8:
+            return np.array([_common(mine, self.code[self.offsets[k] : self.offsets[k + 1]]) for k in q.tolist()])
+        lengths = self.starts[mine + 1] - self.starts[mine]
+        return np.bincount(self.holder[ragged(self.starts[mine], lengths)], minlength=len(self.sizes))[q]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
     A row of the exchange is one text: ``a``'s text once per share of its pairs, each ``b``'s text once
@@ -251,8 +261,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     set and streams the others.
     """
     share = 256
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    # one row of a repeated id is enough: classes take the texts' sets as equal within an id only if they are
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
     salted = pairs.join(count, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     wanted = salted.select("a", "share", F.col("b").alias("node"), F.lit(1).alias("role")).union(
@@ -301,8 +309,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     base = workspace(docs.sparkSession, "minhash")
     prints = written(_fingerprints(docs, s), f"{base}/prints")
     keyed = prints.where("set_key is not null and doc_id is not null")
-    # the rows of a class have one signature, so any of them will do
-    classes = written(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n")), f"{base}/classes")
+    # the rows of a class have one size and signature, so any of them will do
+    classes = written(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), f"{base}/classes")
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,9 +330,12 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     crowded = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     bands = written(every.join(crowded, "bucket", "left_semi"), f"{base}/bands")
 
-    hub = written(_verified(written(_hub_pairs(bands, classes, s), f"{base}/hub-pairs"), docs, s), f"{base}/hub-links")
+    crowd = bands.select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(docs.select("doc_id", "text").join(crowd, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), f"{base}/texts")
+
+    hub = written(_verified(written(_hub_pairs(bands, classes, s), f"{base}/hub-pairs"), texts, s), f"{base}/hub-links")
     joined = written(components(hub, "minhash-hubs"), f"{base}/hub-components")
-    rest = written(_verified(written(_rest_pairs(bands, classes, joined, s), f"{base}/rest-pairs"), docs, s), f"{base}/rest-links")
+    rest = written(_rest_links(bands, classes, joined, texts, s), f"{base}/rest-links")
     links = hub.union(rest)
     found = components(links, "minhash-components")
     named = classes.join(found, classes.rep == found.node, "left").select("set_key", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))

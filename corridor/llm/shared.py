@@ -50,6 +50,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with one value of ``key`` from batches sorted by it; one run is held at a time."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        values = batch.column(key).to_numpy()
+        if held and held[0].column(key)[0].as_py() != values[0]:
+            yield pa.concat_tables(held)
+            held = []
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(table.slice(a, b - a))
+            if b < len(values):
+                yield pa.concat_tables(held)
+                held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
 def kept_in_worker(key: Any, make: Callable[[], Any]) -> Any:
     """A value made once per Python worker process (tokenizers, bounded caches)."""
     store = sys.modules.setdefault("_corridor_llm_worker", types.ModuleType("_corridor_llm_worker")).__dict__
