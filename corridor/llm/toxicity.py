@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corridor.llm.bytewords import hashes_of, words
 from corridor.llm.langid import training_row
-from corridor.llm.shared import slices, texts_of, workspace, written
+from corridor.llm.shared import ragged, slices, texts_of, workspace, written
 
 TERMS = 4096
 BLOCK = 64
@@ -136,23 +136,21 @@ class Index:
         bound = values @ self.highest[terms]
         order = np.argsort(-bound, kind="stable")
         found, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, step = 0, 4
+        at, step = 0, 8
         while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= worst - 1e-12:
             opened = order[at : at + step]
-            total = np.zeros((len(opened), BLOCK))
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                for r, b in enumerate(opened.tolist()):
-                    lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                    if hi > lo:
-                        total[r, self.example[lo:hi] - b * BLOCK] += v * self.value[lo:hi]
-            r, c = np.nonzero(total)
-            example = opened[r] * BLOCK + c
-            keep = example != without
-            found, cosines = np.concatenate([found, example[keep]]), np.concatenate([cosines, total[r, c][keep]])
+            lo = self.starts[terms[:, None], opened]
+            lengths = (self.starts[terms[:, None], opened + 1] - lo).ravel()
+            postings = ragged(lo.ravel(), lengths)
+            total = np.bincount(self.example[postings], np.repeat(np.repeat(values, len(opened)), lengths) * self.value[postings], minlength=len(self.ids))
+            if without >= 0:
+                total[without] = 0
+            example = np.flatnonzero(total)
+            found, cosines = np.concatenate([found, example]), np.concatenate([cosines, total[example]])
             best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
             worst = cosines[-1] if len(cosines) == k else 0.0
-            at, step = at + step, min(64, step * 2)
+            at, step = at + step, step * 2
         return found, cosines
 
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
