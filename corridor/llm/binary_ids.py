@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corridor.llm.shared import slices, texts_of
-from corridor.llm.tokenpieces import byte_level
+from corridor.llm.tokenpieces import SLICE, byte_level
 
 MANIFEST = "shard int, name string, width int, n_docs long, n_tokens long"
 #: Ids read at once from a file that can't be mapped, and documents in a returned batch.
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder, total, files, offsets, ids = byte_level(tokenizer), 0, None, [np.zeros(1, "<i8")], []
         end = np.array([end_id], encoder.kind)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             flat, starts = encoder.ids(texts_of(batch))
             files = files or fs.open_output_stream(f"{path}/{name}.ids")
             files.write(np.insert(flat, starts[1:], end[0]).astype(encoder.kind).tobytes())

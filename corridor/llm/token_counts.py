@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from corridor.llm.shared import slices, summed, texts_of
-from corridor.llm.tokenpieces import Pieces, piece_model, pieces
+from corridor.llm.tokenpieces import SLICE, Pieces, piece_model, pieces
 
 _UNIT = re.compile(r" *[^ ]+| +")
 
@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = texts_of(batch)
             later, firsts, index, offsets = pieces(texts, Pieces.SPACE)
             own = np.concatenate([model.counts(later), model.counts(firsts)])[index]

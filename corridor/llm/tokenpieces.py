@@ -11,6 +11,7 @@ library.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ import regex
 
 from corridor.llm.shared import kept_in_worker, ragged
 
+#: Bytes of text whose pieces are looked up together: the more, the fewer are distinct.
+SLICE = 16 << 20
 #: Distinct pieces that a worker keeps encoded from one task to the next.
-CACHED = 1_000_000
+CACHED = 700_000
 
 #: The published pre-tokenisation pattern of the byte-level vocabulary (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -87,20 +90,25 @@ class ByteLevel:
 
     def encoded(self, piece_texts: list[str], after_space: bool) -> list[bytes]:
         """Ids of each piece as packed bytes."""
-        cache, special = self.cache, self.special
-        parts = [[" " + p if after_space else p] if any(s in p for s in special) else self.parts(p, after_space) if p else [] for p in piece_texts]
-        new = list({x for one in parts for x in one if x not in cache})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
+        cache = self.cache
+        texts = [" " + p for p in piece_texts] if after_space else piece_texts
+        # a piece of letters alone is one pre-token; only the others are taken apart
+        whole = [*map(str.isalpha, piece_texts)]
+        marked = any(s in "\n".join(piece_texts) for s in self.special)
+        parts = [[] if alone or not p else [t] if marked and any(s in p for s in self.special) else self.parts(p, after_space)
+                 for p, t, alone in zip(piece_texts, texts, whole, strict=True)]
+        new = {t for t, alone in zip(texts, whole, strict=True) if alone and t not in cache}
+        new.update(x for one in parts for x in one if x not in cache)
+        wanted = list(new)
+        for at in range(0, len(wanted), 20_000):
+            block = wanted[at : at + 20_000]
             for text, coded in zip(block, self.library.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                fresh[text] = np.array(coded.ids, self.kind).tobytes()
-        out = [b"".join([cache[x] if x in cache else fresh[x] for x in one]) for one in parts]
-        for text, ids in fresh.items():
-            if len(cache) >= CACHED:
-                break
-            if len(text) <= 64:
-                cache[text] = ids
+                cache[text] = array(self.kind.char, coded.ids).tobytes()
+        out = [cache[t] if alone else b"".join([cache[x] for x in one]) for t, alone, one in zip(texts, whole, parts, strict=True)]
+        # beyond the bound, and where long, new entries go again
+        keep = max(0, CACHED - len(cache) + len(wanted))
+        for text in wanted[keep:] + [x for x in wanted[:keep] if len(x) > 64]:
+            del cache[text]
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
