@@ -44,6 +44,8 @@ FAMILIES = {
 }
 #: Hashed n-grams of each length have 2^BITS places.
 BITS = 11
+#: Bytes of text at once; n-grams take some thirty times as much.
+SLICE = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -83,13 +85,16 @@ def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
 
 def features(texts: pa.Array) -> np.ndarray:
     """Relative n-gram frequencies, one row of 3 * 2^BITS per text."""
-    grams, ends = _grams(texts)
     size = 1 << BITS
     out = np.zeros((len(texts), 3 * size), np.float32)
-    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        if b > a:
-            for n, g in enumerate(grams):
-                out[i, n * size : (n + 1) * size] = np.bincount(g[a : max(a, b - n - 1)], minlength=size) / (b - a)
+    at = 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), limit=SLICE):
+        grams, ends = _grams(batch.column(0))
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), at):
+            if b > a:
+                for n, g in enumerate(grams):
+                    out[i, n * size : (n + 1) * size] = np.bincount(g[a : max(a, b - n - 1)], minlength=size) / (b - a)
+        at += batch.num_rows
     return out
 
 
@@ -209,7 +214,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop(*names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             if sent.value is None:
                 langs, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             else:
@@ -224,7 +229,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             langs = sent.value.predict(batch.column("text"))[0] if sent.value else [UNDETERMINED] * batch.num_rows
             yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 

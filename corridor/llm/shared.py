@@ -19,7 +19,7 @@ from corridor.session import shared_dir
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Text handled at once inside a task; the working set of a task is a small multiple of it.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def workspace(spark: SparkSession, what: str) -> str:
