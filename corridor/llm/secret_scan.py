@@ -35,8 +35,8 @@ SCOPE = 200
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[0-9a-f]{16,23}|[A-Za-z0-9+/_-]{20,128}={0,2})(?![A-Za-z0-9+/=_-])")
-_IDENTIFIER = re.compile(r"""\b(?:user(?:name|_id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[0-9a-f]{16,23}|[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/=_-])")
+_IDENTIFIER = re.compile(r"""\b(?:user(?:name|_id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]{4,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[a-z]{2,}""", re.I | re.A)
 #: A text without a match of this has no span of any kind (a weak secret or identifier needs a partner named here or is one).
 _MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{20}"

@@ -602,6 +602,20 @@ def test_weak_parts_need_each_other():
     assert kinds("supercalifragilisticexpialidocious user=bob") == []
 
 
+def test_long_parts_are_whole():
+    r = np.random.default_rng(14)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    for n in (128, 129, 300, 5000):
+        run = "x0" + "".join(r.choice(signs, n - 2))
+        for text in (f"user=bob key {run} end", f"key {run}== at https://example.com/a"):
+            assert ("secret", n + 2 * ("==" in text)) in [(k, b - a) for a, b, k in secret_scan.all_spans(text)[1]]
+            assert run[-20:] not in secret_scan.redacted(text, secret_scan.all_spans(text)[1])
+    weak = "x0Yz9Qw8Er7Ty6Ui5Op4As3Df2"
+    for n in (64, 65, 200):
+        text = f"client_id={'a1.' * n} key {weak}"
+        assert secret_scan.redacted(text, secret_scan.all_spans(text)[1]) == "[IDENTIFIER] key [SECRET]"
+
+
 def test_link_of_many_parts_matches_all_pairs():
     r = np.random.default_rng(13)
     for _ in range(20):
