@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
 Words are runs of non-space signs, A-Z lower-cased, without ASCII punctuation. An item of m
-words is compared with the windows of m words of every document, both as multisets of
-``size``-word shingles (the whole sequence, if m < size); they match at weighted Jaccard
-similarity (sum of minima over sum of maxima of counts) ``num / den`` or more.
-
-* Windows: a window can only match if at least that share of its shingles occurs in the
-  benchmark; and moving a matching window to its first such shingle never lowers its
-  similarity. So exactly the windows that start at such a shingle (or end the text) are
-  fingerprinted; no other window could pass the exact check.
+words is compared with the windows of m words of every document (a document of fewer words is
+one window), both as multisets of ``size``-word shingles (the whole sequence, if m < size); they
+match at weighted Jaccard similarity (sum of minima over sum of maxima of counts) ``num / den``
+or more.
+
+* Windows: a window can only match if enough of its shingles occur in the benchmark (the share
+  of both sizes that the similarity asks for); and moving a matching window to its first such
+  shingle never lowers its similarity. So exactly the windows that start at such a shingle, end
+  the text or are the whole of it are fingerprinted; no other window could pass the exact check.
 * Fingerprints are 64-bit SimHashes, the signs of sums over the window's shingles, taken from
   prefix sums.
 * Search: items of one length are indexed by the eight bytes of their fingerprints. Two
@@ -21,7 +22,8 @@ The benchmark is processed in blocks of ``ITEMS`` items, so what a task holds of
 
 Defined results: null and empty texts and items without words match nothing; repeated rows are
 reported each; an empty table on either side gives an empty result; other columns are ignored;
-texts are whole, of any length. Equal items with different ids are reported each; of several
+texts are whole, of any length. Items without an id are in no report, but ``clean`` drops the
+documents that match them. Equal items with different ids are reported each; of several
 windows of a document that match an item the most similar is given, the earliest of equals.
 """
 
@@ -48,7 +50,7 @@ RESULT = "doc_id long, item_id long, similarity double, distance int, n_windows
 
 def radius_for(num: int, den: int, miss: float) -> int:
     """Bits within which fingerprints of a pair at the similarity stay, but for the chance ``miss``."""
-    shared = 2 * num / (num + den)  # of the shingles of two multisets of one size
+    shared = 2 * num / (num + den)  # of the shingles of two multisets of one size; the cosine is no lower for unequal sizes
     p = math.acos(shared) / math.pi
     total, r = (1 - p) ** 64, 0
     while 1 - total > miss:
@@ -152,41 +154,42 @@ class Index:
                     yield from self._matches(x, grams, seen, at, owner, w)
 
     def _matches(self, x: _Lengths, grams: np.ndarray, seen: np.ndarray, at: np.ndarray, owner: np.ndarray, w: Words) -> Iterator[tuple]:
-        start = np.minimum(at, w.offsets[1:][owner] - x.m)
-        fits = start >= w.offsets[:-1][owner]
-        start, owner = start[fits], owner[fits]
-        enough = (seen[start + x.k] - seen[start]) * (self.num + self.den) >= 2 * self.num * x.k
+        begin, end = w.offsets[:-1][owner], w.offsets[1:][owner]
+        start = np.maximum(np.minimum(at, end - x.m), begin)
+        k = np.minimum(x.m, end - begin) - x.size + 1  # shingles of the window: fewer if the text is shorter than the item
+        enough = (seen[start + k] - seen[start]) * (self.num + self.den) >= self.num * (x.k + k)
         start, first = np.unique(start[enough], return_index=True)
-        owner = owner[enough][first]
+        owner, k = owner[enough][first], k[enough][first]
         for lo in range(0, len(start), 20_000):
-            s, o = start[lo : lo + 20_000], owner[lo : lo + 20_000]
+            s, o, n = start[lo : lo + 20_000], owner[lo : lo + 20_000], k[lo : lo + 20_000]
             # prefix sums over the stretches that the windows cover
-            fresh = np.concatenate([[True], s[1:] > s[:-1] + x.k])
+            fresh = np.concatenate([[True], s[1:] > (s + n)[:-1]])
             group = np.cumsum(fresh) - 1
-            first_at, last_at = s[fresh], s[np.concatenate([fresh[1:], [True]])] + x.k
+            first_at, last_at = s[fresh], (s + n)[np.concatenate([fresh[1:], [True]])]
             sizes = last_at - first_at
             sums = np.zeros((int(sizes.sum()) + 1, 64), np.int32)
             np.cumsum(_signs(grams[ragged(first_at, sizes)]), axis=0, out=sums[1:])
             begin = (np.cumsum(sizes) - sizes)[group] + s - first_at[group]
-            window, item, distance = x.candidates(_packed(sums[begin + x.k] - sums[begin]), self.radius)
+            window, item, distance = x.candidates(_packed(sums[begin + n] - sums[begin]), self.radius)
             best: dict[tuple[int, int], list] = {}
             for a, i, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
-                sim = similarity(Counter(grams[s[a] : s[a] + x.k].tolist()), x.counts[i])
+                sim = similarity(Counter(grams[s[a] : s[a] + n[a]].tolist()), x.counts[i])
                 if sim * self.den >= self.num - 1e-9:
-                    got = best.setdefault((int(o[a]), i), [-1.0, 0, 0, 0])
+                    got = best.setdefault((int(o[a]), i), [-1.0, 0, 0, 0, 0])
                     got[2] += 1
                     if sim > got[0]:
-                        got[0], got[1], got[3] = sim, d, int(s[a])
-            for (text, i), (sim, d, n, where) in best.items():
-                yield text, x.ids[i], sim, d, n, where, where + x.m - 1
+                        got[0], got[1], got[3], got[4] = sim, d, int(s[a]), int(s[a] + n[a]) + x.size - 2
+            for (text, i), (sim, d, times, first, last) in best.items():
+                yield text, x.ids[i], sim, d, times, first, last
 
 
-def _blocks(benchmark: DataFrame, size: int, num: int, den: int, miss: float) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, size: int, num: int, den: int, miss: float, named: bool = True) -> Iterator[Index]:
+    """``named``: by their ids, without the items that have none; else all items, numbered."""
     n = benchmark.count()
     parts = max(1, math.ceil(n / ITEMS))
     for k in range(parts):
         rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield Index([r.item_id for r in rows], [r.text for r in rows], size, num, den, miss)
+        yield Index([r.item_id if named else at for at, r in enumerate(rows)], [r.text for r in rows], size, num, den, miss)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, den: int = 100, miss: float = 1e-4) -> DataFrame:
@@ -246,4 +249,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, num: int = 80, d
 
         return docs.mapInArrow(scan, docs.schema)
 
-    return reduce(without, _blocks(benchmark, size, num, den, miss), docs)
+    return reduce(without, _blocks(benchmark, size, num, den, miss, named=False), docs)

@@ -341,6 +341,36 @@ def test_contamination_matches_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_texts_shorter_than_an_item_match_as_a_whole(spark):
+    r = np.random.default_rng(15)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(r.choice(vocabulary, n))) for i, n in enumerate([3, 6, 7, 20, 59, 60])] + [(None, " ".join(r.choice(vocabulary, 30)))]
+    docs = [(0, " ".join(items[4][1].split()[:57]))]
+    for _, item in items:
+        w = item.split()
+        docs += [(len(docs) + k, " ".join(w[a : len(w) - b])) for k, (a, b) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1), (2, 3), (5, 6), (0, 11), (0, 12), (0, 13)]) if a + b < len(w)]
+    docs += [(len(docs), "before " + items[-1][1] + " after"), (len(docs) + 1, "w1 w2 w3"), (len(docs) + 2, " ".join(r.choice(vocabulary, 58)))]
+    want = brute_contamination(docs, items)
+    for d, text in docs:
+        w = plain(text)
+        for i, item in items:
+            m = plain(item)
+            sim = decontaminate.similarity(multiset(w, 5), multiset(m, 5))
+            if len(w) < len(m) and sim >= 0.8:
+                want[d, i] = (sim, 0)
+    assert 0.95 < want[0, 4][0] < 1 and sum(v[0] < 1 for v in want.values()) > 10
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(g.doc_id, g.item_id): round(g.similarity, 9) for g in got} == {k: round(v[0], 9) for k, v in want.items() if k[1] is not None}
+    for g in got:
+        w, m = plain(dict(docs)[g.doc_id]), len(plain(dict(items)[g.item_id]))
+        s = want[g.doc_id, g.item_id][1]
+        assert plain(dict(docs)[g.doc_id][g.start : g.end]) == w[s : s + m]
+    # items without an id are removed all the same
+    left = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert any(i is None for _, i in want) and {g.doc_id for g in left} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_hamming_index_finds_all_within_the_radius():
     r = np.random.default_rng(6)
     items = [(i, bytewords.mix(r.integers(0, 1 << 63, 9, dtype=np.uint64))) for i in range(300)]
