@@ -246,6 +246,33 @@ def test_embedding_corner_cases(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_duplicates(odd).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True)]
 
 
+def test_links_count_at_both_ends(spark):
+    r = np.random.default_rng(16)
+    pairs = []
+    for i in range(600):
+        centre = r.normal(size=32)
+        pairs += [(2 * i, (centre + r.normal(size=32) * 0.15).tolist(), 0), (2 * i + 1, (centre + r.normal(size=32) * 0.15).tolist(), 0)]
+    df = spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int").repartition(3)
+    # a search that misses much: audits pass on anything
+    for shard in (5000, 300):
+        got = {g.vec_id: g for g in embedding_dedup.near_duplicates(df, 0.93, recall=0.0, beam=1, shard=shard).collect()}
+        assert all(got[i].n_links == got[i + 1].n_links for i in range(0, 1200, 2)) and any(g.n_links for g in got.values())
+        assert all((g.n_links > 0) == (got[i ^ 1].component_id == g.component_id) for i, g in got.items())
+
+
+def test_audits_do_without_links():
+    v = embedding_dedup.units(np.random.default_rng(17).normal(size=(1500, 32)))
+    graph = embedding_dedup.Graph(v)
+    linked, beam = embedding_dedup._links(graph, v, v, True, 0.93, 0.98, 2)
+    assert not linked.any() and beam > 2
+    found = 0
+    for i in range(len(v)):
+        cos = v @ v[i]
+        cos[i] = -2
+        found += len(np.intersect1d(np.argsort(-cos)[:10], graph.reached(v[i].astype(np.float32), 2.0, beam)))
+    assert found >= 0.96 * 10 * len(v)
+
+
 # ---- 4 toxicity -----------------------------------------------------------------
 
 def test_nearest_examples_are_exact(rows):
