@@ -1,21 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 * Terms are words (A-Z lower-cased, without ASCII punctuation) and words without their last
-  2 to 4 bytes, so that inflected forms of a stem meet. Those that mark label 1 are selected
-  on the labelled sample; all texts are vectors of tf-idf over these terms, with
-  document frequencies counted over the whole table; all other terms of a text enter its length,
-  each in a dimension of its own.
+  2 to 4 bytes, so that inflected forms of a stem meet. Texts are vectors of tf-idf over all
+  terms of the labelled examples, with document frequencies counted over the whole table; terms
+  that no example holds have no dimension.
 * The labelled examples (a bounded sample, at most about ``max_examples`` of each label) form
-  an inverted index by term. Postings are cut into blocks of ``BLOCK`` examples, and each term
-  keeps the highest weight of every block. A query adds up these bounds, opens blocks in
-  descending order, and stops when no block left can hold a nearer example than the k-th: the
-  k nearest are exact, and almost all blocks stay closed.
-* Neighbours vote with their squared cosine, each label weighted by the rows its sample stands
-  for, together with a prior of one vote at cosine ``PRIOR_COSINE``. Votes become probabilities
-  by isotonic bins fitted on the examples themselves, each without its own vote.
+  an inverted index by term; the ``HEAD`` most frequent terms are rows of a matrix. A query
+  adds up the products of all its terms with all examples: the k nearest are exact.
+* Neighbours vote with a power of their cosine in which the terms that mark label 1 weigh
+  ``MARK`` times as much (in the vote alone, not in the search), each label weighted by the rows
+  its sample stands for, together with a prior of one vote at cosine ``PRIOR_COSINE``. Votes
+  become probabilities by isotonic bins fitted on the examples themselves, each without its own
+  vote.
 * The evidence of a score is its nearest examples with their labels and cosines.
 
-Defined results: null and empty texts, and texts without selected terms, have no neighbours and
+Defined results: null and empty texts, and texts without a term of the examples, have no neighbours and
 get the share of label 1 among labelled texts of that kind; ties between neighbours go to the
 smaller example; an id with several labels counts as toxic if any of them is; repeated rows
 are scored each; an empty table gives an empty result; without labelled rows of both labels
@@ -38,16 +37,18 @@ from corridor.llm.bytewords import hashes_of, words
 from corridor.llm.langid import training_row
 from corridor.llm.shared import ragged, slices, texts_of, workspace, written
 
-TERMS = 4096
-BLOCK = 64
+#: Terms whose products are taken by matrix, for speed alone, and queries in one product.
+HEAD = 1024
+BATCH = 64
 NEIGHBOURS = 15
 PRIOR_COSINE = 0.1
-#: Squared weight of any term occurrence in a text's length, in mean squared idf of the selected terms.
-BACKGROUND = 1.0
+#: Weight of a term that marks label 1, in the vote, and the power of the cosine.
+MARK = 12.0
+POWER = 4
 #: Bytes cut off a word's end to get a stem, and the least bytes of a stem.
 ENDINGS = (2, 3, 4)
 STEM = 3
-#: Share of label 1 among the texts that hold a term, for the term to be selected.
+#: Share of label 1 among the texts that hold a term, for the term to mark it.
 PRECISION = 0.5
 BINS = 40
 
@@ -86,7 +87,7 @@ class Vectors:
 
 
 def _select(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The terms that tell most about label 1: by signed likelihood ratio, in sorted order."""
+    """The terms that mark label 1, by signed likelihood ratio, in sorted order."""
     n1, n0 = float(weight[toxic].sum()), float(weight[~toxic].sum())
     values, inverse = np.unique(term, return_inverse=True)
     rows = np.bincount(inverse)
@@ -96,25 +97,27 @@ def _select(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, weight: np.n
     gain = k1 * np.log(p1 / p0) + (n1 - k1) * np.log((1 - np.minimum(p1, 1 - 1e-9)) / (1 - np.minimum(p0, 1 - 1e-9)))
     # at least three texts, most of those with the term toxic, and a gain beyond chance over all terms tried
     good = np.flatnonzero((rows >= 3) & (p1 * n1 >= PRECISION * (p1 * n1 + p0 * n0)) & (gain > np.log(len(values) + 1.0) / 2))
-    best = good[np.argsort(-gain[good], kind="stable")[:TERMS]]
-    return np.sort(values[best])
+    return values[good]
 
 
 @dataclass
 class Index:
-    """Labelled examples as a block-max inverted index, and the calibration of votes."""
+    """Labelled examples as an inverted index, and the calibration of votes."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
+    marks: np.ndarray  # whether a term marks label 1
     ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray
     prior: float
     empty: float
-    starts: np.ndarray  # term x block: first posting
+    starts: np.ndarray  # term: first posting
     example: np.ndarray
     value: np.ndarray
-    highest: np.ndarray  # term x block
+    slot: np.ndarray  # term: row of the matrix, or -1
+    head: np.ndarray
+    marked: np.ndarray  # example: square of its length in marking terms
     edges: np.ndarray | None = None
     chances: np.ndarray | None = None
 
@@ -123,39 +126,62 @@ class Index:
         place = np.searchsorted(self.vocabulary, term)
         place[place == len(self.vocabulary)] = 0
         hit = self.vocabulary[place] == term if len(self.vocabulary) else np.zeros(len(term), bool)
-        owner_, term_, n = _counted(owner[hit], place[hit])
-        value, rows = (1 + np.log(n)) * self.idf[term_], len(texts)
-        # every word of the text counts in its length, so one marked word weighs less in a long text
-        occurrences = np.bincount(owner, minlength=rows)
-        each = BACKGROUND * float((self.idf * self.idf).mean()) if len(self.idf) else 1.0
-        norm = np.sqrt(np.bincount(owner_, value * value, minlength=rows) + each * occurrences)
-        return Vectors(np.searchsorted(owner_, np.arange(rows + 1)), term_, value / norm[owner_] if len(owner_) else value)
+        owner, term, n = _counted(owner[hit], place[hit])
+        value, rows = (1 + np.log(n)) * self.idf[term], len(texts)
+        norm = np.sqrt(np.bincount(owner, value * value, minlength=rows))
+        return Vectors(np.searchsorted(owner, np.arange(rows + 1)), term, value / norm[owner] if len(owner) else value)
+
+    def _products(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sum of products with every example over the given terms."""
+        lengths = self.starts[terms + 1] - self.starts[terms]
+        postings = ragged(self.starts[terms], lengths)
+        return np.bincount(self.example[postings], np.repeat(values, lengths) * self.value[postings], minlength=len(self.ids))
+
+    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """query x example."""
+        dense = np.zeros((len(queries), len(self.head)))
+        for i, (terms, values) in enumerate(queries):
+            at = self.slot[terms]
+            dense[i, at[at >= 0]] = values[at >= 0]
+        out = dense @ self.head
+        for i, (terms, values) in enumerate(queries):
+            rest = self.slot[terms] < 0
+            out[i] += self._products(terms[rest], values[rest])
+        return out
+
+    def _best(self, total: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        if without >= 0:
+            total[without] = 0
+        example = np.flatnonzero(total > 0)
+        if len(example) > k:
+            cosine = total[example]
+            example = example[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11]
+        best = np.lexsort((example, -np.round(total[example], 12)))[:k]
+        return example[best], total[example[best]]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest examples with a cosine above zero, the nearest first; exact."""
-        bound = values @ self.highest[terms]
-        order = np.argsort(-bound, kind="stable")
-        found, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, step = 0, 8
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= worst - 1e-12:
-            opened = order[at : at + step]
-            lo = self.starts[terms[:, None], opened]
-            lengths = (self.starts[terms[:, None], opened + 1] - lo).ravel()
-            postings = ragged(lo.ravel(), lengths)
-            total = np.bincount(self.example[postings], np.repeat(np.repeat(values, len(opened)), lengths) * self.value[postings], minlength=len(self.ids))
-            if without >= 0:
-                total[without] = 0
-            example = np.flatnonzero(total)
-            found, cosines = np.concatenate([found, example]), np.concatenate([cosines, total[example]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-            found, cosines = found[best], cosines[best]
-            worst = cosines[-1] if len(cosines) == k else 0.0
-            at, step = at + step, step * 2
-        return found, cosines
+        return self._best(self._cosines([(terms, values)])[0], k, without)
+
+    def each_nearest(self, v: Vectors, rows: list[int], leave: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, example, cosine, cosine in the vote) of the nearest of each row; ``leave``: without the example of that number."""
+        for at in range(0, len(rows), BATCH):
+            some = rows[at : at + BATCH]
+            queries = [(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]]) for i in some]
+            for i, (terms, values), total in zip(some, queries, self._cosines(queries), strict=True):
+                example, cosine = self._best(total, NEIGHBOURS, i if leave else -1)
+                yield i, example, cosine, self._weighted(terms, values, example, cosine)
+
+    def _weighted(self, terms: np.ndarray, values: np.ndarray, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """The cosines with marking terms at ``MARK`` times their weight."""
+        own, more = self.marks[terms], MARK * MARK - 1
+        common = self._products(terms[own], values[own])[example] if own.any() else 0.0
+        lengths = (1 + more * (values[own] ** 2).sum()) * (1 + more * self.marked[example])
+        return (cosine + more * common) / np.sqrt(lengths)
 
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine * cosine * self.weight[example]
-        own = PRIOR_COSINE**2
+        w = cosine**POWER * self.weight[example]
+        own = PRIOR_COSINE**POWER
         return float((w[self.label[example]].sum() + own * self.prior) / (w.sum() + own))
 
     def chance(self, vote: float) -> float:
@@ -165,15 +191,14 @@ class Index:
         """Score and evidence (example id, label, cosine) of each text."""
         score, evidence = np.full(len(texts), self.empty), [[] for _ in range(len(texts))]
         v = self.vectors(texts)
-        seen: dict[bytes, tuple[float, list]] = {}
-        for i in np.flatnonzero(np.diff(v.offsets)).tolist():
-            a, b = v.offsets[i], v.offsets[i + 1]
-            key = v.terms[a:b].tobytes() + v.weights[a:b].tobytes()
-            if key not in seen:
-                example, cosine = self.nearest(v.terms[a:b], v.weights[a:b])
-                near = [(int(self.ids[e]), int(self.label[e]), float(c)) for e, c in zip(example[:5], cosine[:5], strict=True)]
-                seen[key] = (self.chance(self.vote(example, cosine)) if len(example) else self.empty, near)
-            score[i], evidence[i] = seen[key]
+        first: dict[bytes, int] = {}
+        same = {i: first.setdefault(v.terms[a:b].tobytes() + v.weights[a:b].tobytes(), i) for i, (a, b) in enumerate(zip(v.offsets[:-1], v.offsets[1:], strict=True)) if b > a}
+        for i, example, cosine, weighted in self.each_nearest(v, list(first.values())):
+            if len(example):
+                score[i] = self.chance(self.vote(example, weighted))
+                evidence[i] = [(int(self.ids[e]), int(self.label[e]), float(c)) for e, c in zip(example[:5], cosine[:5], strict=True)]
+        for i, j in same.items():
+            score[i], evidence[i] = score[j], evidence[j]
         return score, evidence
 
 
@@ -192,28 +217,32 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return votes, np.array([g[0] / g[1] for g in pooled])
 
 
-def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> Index:
-    blocks = max(1, -(-len(ids) // BLOCK))
-    none = np.zeros((len(vocabulary), blocks + 1), np.int64)
+def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray | None = None) -> Index:
     prior = float(weight[label].sum() / weight.sum()) if len(label) else 0.0
-    index = Index(vocabulary, idf, ids, label, weight, prior, prior, none, np.zeros(0, np.int64), np.zeros(0), np.zeros((len(vocabulary), blocks)))
+    marks = np.zeros(len(vocabulary), bool) if marks is None else marks
+    index = Index(vocabulary, idf, marks, ids, label, weight, prior, prior, np.zeros(len(vocabulary) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0),
+                  np.full(len(vocabulary), -1, np.int32), np.zeros((0, len(ids))), np.zeros(len(ids)))
     if not len(ids) or not len(vocabulary):
         return index
-    v = index.vectors(texts)
-    owner = np.repeat(np.arange(len(ids)), np.diff(v.offsets))
-    order = np.lexsort((owner, v.terms))
-    example, term, value = owner[order], v.terms[order], v.weights[order]
-    cell = term * blocks + example // BLOCK
-    size = len(vocabulary) * blocks
-    starts = np.searchsorted(cell, np.arange(size + 1))
-    index.starts = np.concatenate([starts[:-1].reshape(-1, blocks), starts[blocks::blocks].reshape(-1, 1)], axis=1)
-    np.maximum.at(index.highest.reshape(-1), cell, value)
-    index.example, index.value = example, value
+    parts = [index.vectors(texts.slice(at, 500)) for at in range(0, len(texts), 500)]
+    sizes = np.concatenate([np.diff(p.offsets) for p in parts])
+    v = Vectors(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.terms for p in parts]), np.concatenate([p.weights for p in parts]))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    order = np.argsort(v.terms, kind="stable")
+    index.example, index.value = owner[order], v.weights[order]
+    held = np.bincount(v.terms, minlength=len(vocabulary))
+    index.starts = np.concatenate([[0], np.cumsum(held)])
+    frequent = np.argsort(-held, kind="stable")[:HEAD]
+    index.slot[frequent] = np.arange(len(frequent))
+    index.head = np.zeros((len(frequent), len(ids)))
+    for k, t in enumerate(frequent.tolist()):
+        at = slice(index.starts[t], index.starts[t + 1])
+        index.head[k, index.example[at]] = index.value[at]
+    own = marks[v.terms]
+    index.marked = np.bincount(owner[own], v.weights[own] ** 2, minlength=len(ids))
     # calibration on the examples, each without its own vote
-    sizes = np.diff(v.offsets)
     votes = np.full(len(ids), np.nan)
-    for i in np.flatnonzero(sizes).tolist():
-        e, c = index.nearest(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]], without=i)
+    for i, e, _, c in index.each_nearest(v, np.flatnonzero(sizes).tolist(), leave=True):
         if len(e):
             votes[i] = index.vote(e, c)
     known = ~np.isnan(votes)
@@ -247,29 +276,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> Index:
     def select(table: pa.Table) -> pa.Table:
         _, texts, label, weight = sample(table)
         parts = [_counted(*_terms(texts.slice(at, 500)))[:2] for at in range(0, len(texts), 500)]
-        owner = np.concatenate([o + 500 * k for k, (o, _) in enumerate(parts)])
-        return pa.table({"terms": pa.array(_select(owner, np.concatenate([t for _, t in parts]), label, weight).view(np.int64), pa.int64())})
+        owner, term = np.concatenate([o + 500 * k for k, (o, _) in enumerate(parts)]), np.concatenate([t for _, t in parts])
+        return pa.table({"terms": pa.array([np.unique(term).tobytes()], pa.binary()), "marks": pa.array([_select(owner, term, label, weight).tobytes()], pa.binary())})
 
     grouped = examples.withColumn("one", F.lit(0)).groupBy("one")
-    vocabulary = np.sort(np.array([r.terms for r in grouped.applyInArrow(select, "terms long").collect()], np.int64).view(np.uint64))
+    chosen_terms = grouped.applyInArrow(select, "terms binary, marks binary").collect()
+    vocabulary = np.frombuffer(chosen_terms[0].terms if chosen_terms else b"", np.uint64)
+    marks = np.isin(vocabulary, np.frombuffer(chosen_terms[0].marks if chosen_terms else b"", np.uint64))
+    known = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = known.value
         df, rows = np.zeros(len(vocabulary), np.int64), 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
+            rows += batch.num_rows
+            if not len(vocabulary):
+                continue
             owner, term = _terms(texts_of(batch))
             place = np.searchsorted(vocabulary, term)
             place[place == len(vocabulary)] = 0
-            hit = vocabulary[place] == term if len(vocabulary) else np.zeros(len(term), bool)
-            df += np.bincount(np.unique(owner[hit] * len(vocabulary) + place[hit]) % max(1, len(vocabulary)), minlength=len(vocabulary))
-            rows += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(-1, len(vocabulary)), pa.int32()), "n": pa.array(np.concatenate([[rows], df]), pa.int64())})
+            hit = vocabulary[place] == term
+            df += np.bincount(np.unique(owner[hit] * len(vocabulary) + place[hit]) % len(vocabulary), minlength=len(vocabulary))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[rows], df[some]]), pa.int64())})
 
-    counted = {r.term: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([counted.get(k, 0) for k in range(len(vocabulary))], float)
-    idf = np.log((counted.get(-1, 0) + 1) / (df + 1)) + 1
+    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # -1, the last: all rows
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    counts = spark.sparkContext.broadcast((idf, marks))
 
     def build(table: pa.Table) -> pa.Table:
-        return pa.table({"index": pa.array([pickle.dumps(_index(*sample(table), vocabulary, idf))], pa.binary())})
+        return pa.table({"index": pa.array([pickle.dumps(_index(*sample(table), known.value, *counts.value), protocol=5)], pa.binary())})
 
     got = grouped.applyInArrow(build, "index binary").collect()
     if not got:
@@ -284,7 +322,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             scores, evidence = sent.value.scores(texts_of(batch))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()),

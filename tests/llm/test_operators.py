@@ -293,6 +293,41 @@ def test_nearest_examples_are_exact(rows):
         assert np.allclose(cosine, best) and np.allclose(every[example], cosine)
 
 
+def test_neighbours_are_nearest_over_all_terms(spark):
+    r = np.random.default_rng(18)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), int(n))) for n in r.integers(2, 9, 300)]
+    data = [(i, " ".join(r.choice(vocabulary, int(r.integers(3, 40))))) for i in range(90)]
+    held = [i for i, _ in data if crc(i) % 3 == 1]
+    known = [i for i, _ in data if crc(i) % 3 != 1]
+    # a held-out text that nearly copies the one toxic example with its words
+    data[known[0]] = (known[0], "zqzq yxyx zwzw vuvu zizi")
+    data[held[0]] = (held[0], "zqzq yxyx zwzw vuvu other")
+    toxic = {known[0], *known[1:8], held[0]}
+
+    def terms(text):
+        found = Counter()
+        for w in plain(text):
+            found.update([(0, w), *((n, w[:-n]) for n in (2, 3, 4) if len(w) >= n + 3)])
+        return found
+
+    every = {i: terms(t) for i, t in data}
+    df = Counter(t for c in every.values() for t in c)
+    used = {t for i in known for t in every[i]}
+    unit = {}
+    for i, c in every.items():
+        v = {t: (1 + math.log(n)) * (math.log((len(data) + 1) / (df[t] + 1)) + 1) for t, n in c.items() if t in used}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {t: x / norm for t, x in v.items()}
+    labels = spark.createDataFrame([(i, 0, int(i in toxic)) for i, _ in data], "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g for g in toxicity.toxicity(spark.createDataFrame(data, "doc_id long, text string"), labels).collect()}
+    for i, _ in data:
+        cosines = {j: sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()) for j in known}
+        best = sorted((c for c in cosines.values() if c > 1e-12), reverse=True)[:5]
+        assert np.allclose([e.cosine for e in got[i].evidence], best)
+        assert all(math.isclose(cosines[e.doc_id], e.cosine) and e.toxic == (e.doc_id in toxic) for e in got[i].evidence)
+    assert got[held[0]].evidence[0].doc_id == known[0] and {e.toxic for g in got.values() for e in g.evidence} == {0, 1}
+
+
 def test_toxicity_of_held_out_documents(spark, docs):
     # the small tables have few labels; the larger of them is labelled enough
     every = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
