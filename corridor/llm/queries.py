@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corridor.llm import binary_ids, decontaminate, embedding_dedup, langid, lm, minhash, packing, secret_scan, token_counts, toxicity
+from corridor.llm import binary_ids, decontaminate, embedding_dedup, langid, line_dedup, lm, merkle, minhash, oracles, packing, prefix_trie, secret_scan, token_counts, toxicity
 from corridor.llm.shared import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_line_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicated(table(spark, sf_dir, "documents"), min_length=40, min_docs=5, keep="last")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_hmm_scores, op2_token_files, op3_embedding_duplicates, op4_toxicity, op5_contamination, op6_packing,
-    op7_near_duplicates, op8_languages, op9_token_counts, op10_secrets)}
-ORACLES: dict[str, str] = {}
+    op7_near_duplicates, op8_languages, op9_token_counts, op10_secrets, op11_line_duplicates, op12_merkle_proofs,
+    op13_conversation_trie)}
+ORACLES: dict[str, str] = oracles.ORACLES
