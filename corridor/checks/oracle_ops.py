@@ -325,3 +325,73 @@ def files_top_partners(p) -> str:
 
 def mojibake_names() -> str:
     return f"""SELECT n_nationkey AS code, replace({_ACCENTED}, 'é', 'Ã©') AS damaged, {_ACCENTED} AS name FROM nation"""
+
+
+def raw_years() -> str:
+    return with_fixture("SELECT DISTINCT t AS year FROM raw_flows")
+
+
+def etl_rejects() -> str:
+    return with_fixture("""
+        SELECT CASE WHEN chapter NOT IN (SELECT chapter FROM sections) THEN 'unmapped product'
+                    WHEN i NOT IN (SELECT code FROM covered) THEN 'uncovered exporter' ELSE 'uncovered importer' END AS reason,
+               t AS year, i, j, chapter, COUNT(*) AS n_rows, CAST(SUM(v) AS DECIMAL(28,2)) AS value
+        FROM (SELECT *, substr(k, 1, 2) AS chapter FROM raw_flows)
+        WHERE chapter NOT IN (SELECT chapter FROM sections) OR i NOT IN (SELECT code FROM covered) OR j NOT IN (SELECT code FROM covered)
+        GROUP BY ALL""")
+
+
+def single_report_sets(p) -> str:
+    null = "CAST(NULL AS DOUBLE)"
+    return f"""
+        SELECT 'partners' AS part, years, country, CAST(NULL AS INTEGER) AS year, partner, {q(p.category)} AS category, flow, value,
+               {null} AS imports, {null} AS exports, {null} AS balance, unit FROM ({oracle.top_partners(p)})
+        UNION ALL SELECT 'categories', years, country, NULL, partner, category, flow, value, NULL, NULL, NULL, unit FROM ({oracle.top_categories(p)})
+        UNION ALL SELECT 'world_trade', {q(p.years_label)}, country, year, partner, category, NULL, NULL, imports, exports, balance, unit
+        FROM ({oracle.world_trade(p)})"""
+
+
+def name_resolution_near(k: int) -> str:
+    """Every name against every alias."""
+    return with_fixture(f"""
+        SELECT name, n_rows, CASE WHEN n_codes = 1 THEN candidates END AS iso3, CAST(distance AS INTEGER) AS distance, candidates,
+               CASE WHEN n_codes IS NULL THEN 'none' WHEN n_codes > 1 THEN 'ambiguous' WHEN distance = 0 THEN 'exact' ELSE 'near' END AS status
+        FROM (SELECT entity_name AS name, COUNT(*) AS n_rows FROM spelled GROUP BY entity_name) n
+        LEFT JOIN (SELECT name AS hit, distance, string_agg(iso3, ',' ORDER BY iso3) AS candidates, COUNT(*) AS n_codes
+                   FROM (SELECT DISTINCT name, iso3, distance FROM compared WHERE distance = (SELECT MIN(distance) FROM compared o WHERE o.name = compared.name))
+                   GROUP BY name, distance) b ON n.name = b.hit""", {
+        "spelled": """
+        SELECT CASE c_custkey % 8 WHEN 0 THEN n_name WHEN 1 THEN '  ' || lower(n_name) || ' ' WHEN 2 THEN n_name || 'x'
+                    WHEN 3 THEN substr(n_name, 1, 2) || substr(n_name, 4) WHEN 4 THEN substr(n_name, 1, 3) || 'q' || substr(n_name, 5)
+                    WHEN 5 THEN 'zz' || substr(n_name, 3) WHEN 6 THEN right(n_name, 2) END AS entity_name
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        "compared": f"""
+        SELECT e.name, a.iso3, levenshtein(lower(trim(e.name)), a.al) AS distance
+        FROM (SELECT DISTINCT entity_name AS name FROM spelled) e, al a WHERE levenshtein(lower(trim(e.name)), a.al) <= {k}""",
+    })
+
+
+_DAMAGED = "n_name || CASE n_nationkey % 4 WHEN 0 THEN 'é' WHEN 1 THEN '' WHEN 2 THEN ' d’Or' ELSE 'ü ç' END"
+
+
+def mojibake_repeated() -> str:
+    return f"SELECT n_nationkey AS key, {_DAMAGED} AS name, {_DAMAGED} AS repaired FROM nation"
+
+
+def label_wording() -> str:
+    def cap(x: str) -> str:
+        return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+
+    balance = "group_name || ' trade balance with'"
+    return with_fixture(f"""
+        SELECT group_name, {cap('group_name')} || CASE WHEN suffix(group_name, 's') THEN '''' ELSE '''s' END AS genitive,
+               {cap("group_name || ' countries'")} || ' export' AS plural, {cap('group_name')} || ' exports' AS singular, {cap(balance)} AS sentence
+        FROM (SELECT DISTINCT group_name FROM membership)""")
+
+
+def files_indicators() -> str:
+    return with_fixture("SELECT entity_name, indicator_code, unit, year, value FROM indicators WHERE value IS NOT NULL")
+
+
+def listed_groups() -> str:
+    return with_fixture("SELECT group_name, country FROM membership WHERE group_name IN ('EUROPE', 'BLOC_B', 'NATION_3')")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CURRENCIES
-from .joins import bounded, small
+from .joins import bounded, small, unique
 
 
 def build_current_factors(fx: DataFrame, years: DataFrame, currencies: Sequence[str] = CURRENCIES) -> DataFrame:
@@ -19,7 +19,7 @@ def build_current_factors(fx: DataFrame, years: DataFrame, currencies: Sequence[
     """
     cur = list(currencies)
     wide = (
-        fx.where(F.col("currency").isin(cur))
+        unique(fx.select("currency", "year", "per_usd").where(F.col("currency").isin(cur)), ["currency", "year"], "exchange rates")
         .groupBy("year")
         .pivot("currency", cur)
         .agg(F.first("per_usd"))
@@ -44,6 +44,7 @@ def build_constant_factors(scaffold: DataFrame, deflators: DataFrame, fx: DataFr
     (year, country and four factors) are dropped.
     """
     cur = list(currencies)
+    deflators = unique(deflators.select("country", "year", "deflator", "lcu_per_usd"), ["country", "year"], "deflators")
     base = deflators.where(F.col("year") == base_year).select(
         "country", F.col("deflator").alias("d_base"), F.col("lcu_per_usd").alias("e_base")
     )

@@ -38,6 +38,20 @@ def small(df: DataFrame, max_rows: int = DIM_ROW_LIMIT) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """One row per key; a key with different rows raises when the plan runs (a join would repeat rows).
+
+    Equal rows count once. For dimensions: it adds an aggregate over them.
+    """
+    if set(df.columns) == set(keys):
+        return df.distinct()
+    rest = F.struct(*(c for c in df.columns if c not in keys))
+    several = F.raise_error(F.concat(F.lit(f"{what}: several rows for "), F.to_json(F.struct(*keys))))
+    one = df.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(rest).alias("_row"))
+    one = one.withColumn("_row", F.when(F.col("_n") > 1, several.cast(one.schema["_row"].dataType)).otherwise(F.col("_row")))
+    return one.select(*keys, "_row.*").select(*df.columns)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Broadcast a dimension derived from an already checked one by filtering,
     projecting or aggregating it: it cannot be larger than its source."""

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.measures import to_money
 from ..functions.text import fix_mojibake
 from ..schemas import WIDE_VALUE_TYPE
-from .joins import small
+from .joins import small, unique
 
 KEYS = ["year", "exporter", "importer"]
 
 
 def chapter_sections(sections: DataFrame) -> DataFrame:
-    """D3 (section, chapters[]) -> (chapter, category), one row per chapter (S3)."""
-    return sections.select(F.explode("chapters").alias("chapter"), "category")
+    """D3 (section, chapters[]) -> (chapter, category), one row per chapter (S3).
+
+    A chapter in two sections raises: its trade would count twice (the settings reader keeps the
+    last section that lists it).
+    """
+    return unique(sections.select(F.explode("chapters").alias("chapter"), "category"), ["chapter"], "sections of a chapter")
 
 
 def chapter_coverage(raw: DataFrame, sections: DataFrame) -> DataFrame:
@@ -39,11 +43,13 @@ def country_names(country_codes: DataFrame, covered: DataFrame) -> DataFrame:
     """code -> repaired display name, restricted to covered countries.
 
     ``covered`` has a ``country`` column of names; unknown codes and countries
-    outside the coverage list disappear, as both endpoints must be covered.
+    outside the coverage list disappear, as both endpoints must be covered. A
+    code with two names raises: its trade would count twice (the code list's
+    reader keeps the last row of a code).
     """
-    names = country_codes.select(
+    names = unique(country_codes.select(
         F.col("country_code").alias("code"), fix_mojibake("country_name").alias("name")
-    )
+    ), ["code"], "names of a code")
     # a semi join never duplicates rows, so the coverage list needs no distinct
     return names.join(small(covered.select(F.col("country").alias("name"))), "name", "left_semi")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from dataclasses import dataclass
 
@@ -15,8 +14,10 @@ from ..operators import convert, membership as mem, normalize
 from ..operators.joins import DIM_ROW_LIMIT, is_small
 from ..session import shared_dir
 from ..sinks import files as sinks_files
-from ..sinks.files import file_states, materialize, write_flows
-from ..sources import fixture
+from ..sinks import clustering
+from ..sinks.clustering import write_clustered
+from ..sinks.files import file_states, materialize
+from ..sources import files, fixture
 
 
 @dataclass
@@ -100,7 +101,7 @@ def _build_key(spark: SparkSession, sf_dir: str) -> str:
     seen = hashlib.sha1()
     for name in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
         seen.update("|".join(file_states(spark, f"{sf_dir}/{name}.parquet")).encode())
-    for module in (fixture, convert, mem, normalize, measures, sinks_files):
+    for module in (fixture, convert, mem, normalize, measures, sinks_files, clustering):
         with open(module.__file__, "rb") as f:
             seen.update(f.read())
     return seen.hexdigest()[:16]
@@ -115,13 +116,14 @@ def fixture_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     write them is an error, not a reason to run the ETL in every query.
     """
     sf_dir = sf_dir.rstrip("/")
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    build = _build_key(spark, sf_dir)  # changed inputs are another key: an open session doesn't answer from the old ones
+    key = (spark.sparkContext.applicationId, sf_dir, build)
     if key in _cache:
         return _cache[key]
     s = fixture_sources(spark, sf_dir)
     flows = normalize.build_flows(s["raw"], s["sections"], s["country_codes"], s["countries"])
-    root = f"{shared_dir(spark)}/corridor/fixture-{_build_key(spark, sf_dir)}"
-    flows = materialize(spark, flows, f"{root}/flows", writer=write_flows)
+    root = f"{shared_dir(spark)}/corridor/fixture-{build}"
+    flows = materialize(spark, flows, f"{root}/flows", writer=lambda df, path: write_clustered(df, path, s["countries"]))
     tables = {n: materialize(spark, s[n], f"{root}/{n}") for n in ("membership", "current", "constant", "gdp")}
     cats = [r[0] for r in s["sections"].select("category").distinct().collect()]
     cat = Catalog.from_tables(spark, flows, tables["membership"], tables["current"], tables["constant"],
@@ -138,10 +140,33 @@ def fixture_file_build(spark: SparkSession, sf_dir: str) -> str:
     from . import jobs
     from ..sources import fixture_files
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, _build_key(spark, sf_dir.rstrip("/")))
     if key not in _file_builds:
         root = f"{shared_dir(spark)}/corridor/files-{uuid.uuid4().hex}"
         inputs = fixture_files.write_inputs(spark, sf_dir.rstrip("/"), f"{root}/in")
         jobs.build_serving_tables(spark, **inputs, out_root=f"{root}/out", time_range=fixture.time_range(spark, sf_dir))
         _file_builds[key] = root
     return _file_builds[key]
+
+
+def fixture_refreshed(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture's raw files in two deliveries, the fact brought up to date after each; once per session.
+
+    The second delivery holds later years and more rows of a year that was already built.
+    """
+    from . import refresh
+    from ..sources import fixture_files
+
+    key = (spark.sparkContext.applicationId, sf_dir, _build_key(spark, sf_dir.rstrip("/")), "refreshed")
+    if key not in _file_builds:
+        root = f"{shared_dir(spark)}/corridor/refreshed-{uuid.uuid4().hex}"
+        inputs = fixture_file_build(spark, sf_dir)
+        dims = (files.read_sections(spark, f"{inputs}/in/sections"), files.read_country_codes(spark, f"{inputs}/in/codes"), files.read_countries(spark, f"{inputs}/in/countries"))
+        y0, y1 = fixture.time_range(spark, sf_dir)
+        middle = (y0 + y1) // 2
+        early = (F.col("t") < middle) | ((F.col("t") == middle) & (F.col("j") % 2 == 0))
+        for delivery in (early, ~early):
+            fixture_files.deliver(fixture.raw_flows(spark, sf_dir).where(delivery), f"{root}/raw")
+            refresh.refresh(spark, f"{root}/raw", *dims, f"{root}/out")
+        _file_builds[key] = root
+    return _file_builds[key]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import membership as mem
 from ..operators import normalize
-from ..sinks.files import get_text, put_text, write_dimensions, write_flows, write_table, write_wide
+from ..sinks.clustering import write_clustered
+from ..sinks.files import get_text, put_text, write_dimensions, write_table, write_wide
 from ..sources import files
 from .catalog import Catalog
 
@@ -35,7 +36,7 @@ def build_serving_tables(spark: SparkSession, *, raw_paths: Sequence[str], count
     cty = files.read_countries(spark, countries)
     flows = normalize.build_flows(files.read_raw_flows(spark, raw_paths), sec,
                                   files.read_country_codes(spark, country_codes), cty)
-    write_flows(flows, f"{out}/flows")
+    write_clustered(flows, f"{out}/flows", cty)
     cats = [r[0] for r in sec.select("category").collect()]  # the section list: a few dozen names
     if wide:
         write_wide(normalize.to_wide(spark.read.parquet(f"{out}/flows"), sorted(cats)), f"{out}/flows_wide")

@@ -7,6 +7,7 @@ years and category, as a user of the product would.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 
 from .checks import oracle, oracle_ops
 from .functions.labels import rounded_value, unit_text, value_label
-from .functions.text import fix_mojibake, label, slug
-from .operators import convert, coverage, membership, normalize, quality, shape
-from .params import Params
-from .plans import jobs, multi, single
-from .plans.catalog import fixture_catalog, fixture_file_build, fixture_flows, fixture_sources
+from .functions.text import fix_mojibake, fix_mojibake_repeated, label, slug
+from .operators import convert, coverage, membership, names, normalize, quality, rejects, shape
+from .params import Params, sanitize_years, select_partners
+from .plans import jobs, multi, refresh, sets, single, sql
+from .plans.catalog import fixture_catalog, fixture_file_build, fixture_flows, fixture_refreshed, fixture_sources
 from .plans.core import sided
-from .sources import files, fixture
+from .schemas import COVERAGE
+from .session import shared_dir
+from .sinks.files import export_result, file_name, write_table
+from .sources import files, fixture, fixture_files
 
 YEARS = (1995, 2001)
 
@@ -254,12 +258,8 @@ register("unit_labels", lambda spark, d: _on(single.top_partners, _UL)(spark, d)
 
 
 def _report(fn, p, part):
-    """One result of a report, over its slice; the slice is only marked for caching and released again."""
-    def run(spark, d):
-        rep = fn(fixture_catalog(spark, d), p)
-        single.unpersist_report(rep)
-        return rep[part]
-    return run
+    """One result of a report, over its persisted slice; equal slices of a session are kept once."""
+    return lambda spark, d: fn(fixture_catalog(spark, d), p)[part]
 
 
 _RS = _Q3["world_trade_gdp"][0]
@@ -300,6 +300,112 @@ register("mojibake_names", lambda spark, d: files.read_country_codes(spark, f"{f
     F.col("country_code").alias("code"), F.col("country_name").alias("damaged"), fix_mojibake("country_name").alias("name")), oracle_ops.mojibake_names)
 
 
+# ---- layout, deliveries, rejects ------------------------------------------------------
+register("flows_clustered", lambda spark, d: fixture_catalog(spark, d).flows.select("year", "exporter", "importer", "category", "value"),
+         oracle_ops.etl_flows_long)
+register("flows_refreshed", lambda spark, d: refresh.load_flows(spark, f"{fixture_refreshed(spark, d)}/out"), oracle_ops.files_flows)
+register("flow_files", lambda spark, d: refresh.manifest(spark, f"{fixture_refreshed(spark, d)}/out").select(F.explode("years").alias("year")).distinct(),
+         oracle_ops.raw_years)
+
+
+def _folder(spark, what: str) -> str:
+    return f"{shared_dir(spark)}/corridor/{what}-{uuid.uuid4().hex}"
+
+
+def _rejects(spark, d) -> rejects.Build:
+    s = fixture_sources(spark, d)
+    return rejects.write_audited(s["raw"], s["sections"], s["country_codes"], s["countries"], _folder(spark, "audited"))
+
+
+register("etl_rejects", lambda spark, d: _rejects(spark, d).rejects, oracle_ops.etl_rejects)
+register("etl_accounting", lambda spark, d: rejects.accounting(_rejects(spark, d)), oracle_ops.etl_audit)
+register("etl_audited_flows", lambda spark, d: _rejects(spark, d).flows, oracle_ops.etl_flows_long)
+
+# ---- the single-country report from one pass --------------------------------------------
+_SETS = {
+    "": Params("EUROPE", YEARS, unit="gdp", flow="imports"),
+    "_group": Params("BLOC_A", (1996, 2000), unit="eur", prices="constant", flow="exports", group="ASIA", category="S03"),
+    "_gaps": Params("NATION_0", YEARS, unit="usd", category="S19"),
+}
+for _n, _p in _SETS.items():
+    register(f"single_report_sets{_n}", _q(sets.single_report_sets, _p), lambda p=_p: oracle_ops.single_report_sets(p))
+
+# ---- names within a few edits, names damaged more than once, wording ------------------------
+register("name_resolution_near", lambda spark, d: names.resolve_near(
+    fixture.entity_names(spark, d), "entity_name", fixture.aliases(spark, d), k=2), lambda: oracle_ops.name_resolution_near(2))
+register("mojibake_repeated", lambda spark, d: fixture.damaged_names(spark, d).select(
+    "key", "name", fix_mojibake_repeated("damaged").alias("repaired")), oracle_ops.mojibake_repeated)
+register("label_wording", lambda spark, d: membership.build_membership(fixture.countries(spark, d)).select("group_name").distinct().select(
+    "group_name", label("group_name", genitive=True).alias("genitive"), label(F.concat("group_name", F.lit(" countries")), verb="exports").alias("plural"),
+    label("group_name", verb="exports").alias("singular"), label(F.concat("group_name", F.lit(" balance")), in_sentence=True).alias("sentence")),
+    oracle_ops.label_wording)
+
+
+# ---- the queries as SQL table functions over the named tables -------------------------------
+def _sql(text: str):
+    def run(spark, d):
+        sql.register(fixture_catalog(spark, d))
+        return spark.sql(text)
+    return run
+
+
+_SQ1 = Params("EUROPE", YEARS, unit="eur", prices="constant", flow="imports", group="BLOC_A", category="S11")
+_SQ2 = Params("NATION_9", YEARS, unit="gdp", flow="exports")
+_SQ3 = Params("AFRICA", YEARS, unit="gdp", category="S03")
+_SQ4 = Params("NATION_8", (1996, 2000), unit="gbp", category="S03", partners=("BLOC_A", "BLOC_B", "AFRICA"))
+_SQ5 = Params("NATION_9", YEARS, unit="gdp", partners=("ASIA", "NATION_0"))
+register("sql_top_partners", _sql("SELECT * FROM top_partners('EUROPE', 1995, 2001, 'eur', 'constant', flow => 'imports', counterparts => 'BLOC_A', section => 'S11')"),
+         lambda: oracle.top_partners(_SQ1))
+register("sql_top_categories", _sql("SELECT * FROM top_categories('NATION_9', 1995, 2001, unit => 'gdp')"), lambda: oracle.top_categories(_SQ2))
+register("sql_world_trade", _sql("SELECT * FROM world_trade('AFRICA', 1995, 2001, 'gdp', section => 'S03')"), lambda: oracle.world_trade(_SQ3))
+register("sql_partner_series", _sql("SELECT * FROM partner_series('NATION_8', array('BLOC_A', 'BLOC_B', 'AFRICA'), 1996, 2000, 'gbp', section => 'S03')"),
+         lambda: oracle.partner_series(_SQ4, list(_SQ4.partners)))
+register("sql_partner_matrix", _sql("SELECT * FROM partner_matrix('NATION_9', array('ASIA', 'NATION_0'), 1995, 2001, 'gdp')"),
+         lambda: oracle.partner_matrix(_SQ5, list(_SQ5.partners)))
+
+
+# ---- inputs and results as files; requests as users type them ---------------------------------
+def _file_indicators(spark, d):
+    return files.read_indicators(spark, fixture_files.write_indicators(spark, d, _folder(spark, "indicators")), fmt="csv")
+
+
+def _file_coverage(spark, d):
+    cov = coverage.build_coverage(fixture.countries(spark, d), _file_indicators(spark, d), fixture.aliases(spark, d), fixture.BASE_YEAR)
+    path = _folder(spark, "coverage")
+    write_table(cov.select(*COVERAGE.names), path, "csv")
+    return files.read_coverage(spark, path)
+
+
+register("files_indicators", lambda spark, d: _file_indicators(spark, d).where("value is not null").select("entity_name", "indicator_code", "unit", "year", "value"),
+         oracle_ops.files_indicators)
+register("files_coverage", lambda spark, d: coverage.coverage_display(_file_coverage(spark, d)), lambda: oracle_ops.coverage_display(fixture.BASE_YEAR))
+_EX = Params("ASIA", YEARS, unit="usd", flow="imports")
+
+
+def _exported(spark, d):
+    df = single.top_partners(fixture_catalog(spark, d), _EX)
+    path = export_result(df, _folder(spark, "results"), file_name("top_partners", _EX))
+    return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
+register("exported_top_partners", _exported, lambda: oracle.top_partners(_EX))
+
+
+def _requested(spark, d):
+    """A request as typed: years out of range and in the wrong order, partners repeated and unknown."""
+    cat = fixture_catalog(spark, d)
+    bounds = cat.flows.agg(F.min("year"), F.max("year")).first()
+    years = sanitize_years("2050", "1066", tuple(bounds))
+    partners = select_partners(["AFRICA", "Atlantis", "BLOC_B", "AFRICA"], cat.groups)
+    return multi.partner_series(cat, Params("NATION_8", years, unit="usd", partners=partners))
+
+
+register("requested_series", _requested, lambda: oracle.partner_series(Params("NATION_8", YEARS, unit="usd", partners=("AFRICA", "BLOC_B")), ["AFRICA", "BLOC_B"]))
+register("listed_groups", lambda spark, d: membership.build_membership(fixture.countries(spark, d)).join(
+    files.literal_relation(spark, ["EUROPE", "BLOC_B", "NATION_3"], "group_name"), "group_name", "left_semi").select("group_name", "country"),
+    oracle_ops.listed_groups)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: e.run for n, e in REGISTRY.items()}
 

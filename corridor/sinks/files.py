@@ -23,6 +23,15 @@ def file_states(spark: SparkSession, path: str) -> list[str]:
     return sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(p))
 
 
+def folder_files(spark: SparkSession, path: str, prefix: str = "", folders: bool = False) -> list:
+    """(name, length, modification time) of a folder's files, without hidden ones; ``folders``: the names of its folders."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s for s in fs.listStatus(p) if s.isDirectory() == folders and s.getPath().getName().startswith(prefix) and s.getPath().getName()[0] not in "._"]
+    return sorted(s.getPath().getName() if folders else (s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file: written aside and renamed into place."""
     fs, dst = _fs(spark, path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.joins import unique
 
 
 def _read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
@@ -50,8 +51,11 @@ def yearly_paths(directory: str, years: Iterable[int], pattern: str = "flows_{ye
 
 
 def read_country_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Code list CSV."""
-    return _read_csv(spark, path, schemas.COUNTRY_CODES)
+    """Code list CSV (S2); of a code's rows the last one in the file counts."""
+    rows = _read_csv(spark, path, schemas.COUNTRY_CODES)
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    last = numbered.groupBy("country_code").agg(F.max_by(F.struct(*rows.columns), "_at").alias("row"))
+    return last.select("row.*")
 
 
 def _json_map(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -61,9 +65,10 @@ def _json_map(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """D3: ``{section: [chapters]}`` -> (category, chapters[]) (S3)."""
-    return _json_map(spark, path, schemas.SECTIONS_JSON).select(
-        F.explode("m").alias("category", "chapters"))
+    """D3: ``{section: [chapters]}`` -> (category, chapters[]) (S3); a chapter belongs to the last section that lists it."""
+    own = """transform(map_entries(m), (e, i) -> named_struct('category', e.key, 'chapters', array_distinct(filter(e.value,
+        c -> NOT exists(slice(map_entries(m), i + 2, size(m)), later -> array_contains(later.value, c))))))"""
+    return _json_map(spark, path, schemas.SECTIONS_JSON).select(F.explode(F.expr(own)).alias("s")).select("s.category", "s.chapters")
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +111,7 @@ def read_factor_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
         ddl = "year INT, country STRING, gdp_constant DOUBLE"
     else:
         raise ValueError(kind)
-    return _read_csv(spark, path, ddl)
+    return unique(_read_csv(spark, path, ddl), ["year"] if kind == "current" else ["year", "country"], f"{kind} table")
 
 
 def register_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> None:

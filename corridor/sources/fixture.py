@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CP1252
 from ..schemas import VALUE_TYPE
+from ..sinks.files import file_states
 
 # Fixed values of the fixture configuration.
 BASE_YEAR = 2001                   # base year of constant prices
@@ -30,14 +32,15 @@ SECTION_RANGES = (
 )
 
 
-_tables: dict[tuple[str, str], DataFrame] = {}
+_tables: dict[tuple[str, ...], DataFrame] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One read handle per table and session: listing and footers are read once."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One read handle per state of a table and session: footers are read once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, *file_states(spark, path))
     if key not in _tables:
-        _tables[key] = spark.read.parquet(key[1])
+        _tables[key] = spark.read.parquet(path)
     return _tables[key]
 
 
@@ -105,15 +108,15 @@ def sections(spark: SparkSession) -> DataFrame:
 
 
 def time_range(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
-    """First and last year of the orders; read once per folder and session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """First and last year of the orders; read once per state of the table and session."""
+    key = (spark.sparkContext.applicationId, *file_states(spark, f"{sf_dir.rstrip('/')}/orders.parquet"))
     if key not in _ranges:
         r = _read(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
         _ranges[key] = (r[0], r[1])
     return _ranges[key]
 
 
-_ranges: dict[tuple[str, str], tuple[int, int]] = {}
+_ranges: dict[tuple[str, ...], tuple[int, int]] = {}
 
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,3 +231,36 @@ def deflators(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((n == 4) & (y == 1999), F.lit(None).cast("double")).otherwise(defl).alias("deflator"),
         lcu.alias("lcu_per_usd"),
     )
+
+
+#: Ways in which ``entity_names`` spells a nation's name.
+SPELLINGS = 8
+
+
+def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_name) a customer: the name of the customer's nation, spelled in one of several ways.
+
+    As it is, in lower case with spaces around it, with a sign too many, one left out, one wrong, two
+    changed, cut to two signs, or none.
+    """
+    n, c = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "customer")
+    name, way = F.col("n_name"), F.col("c_custkey") % SPELLINGS
+    spelled = [name, F.concat(F.lit("  "), F.lower(name), F.lit(" ")), F.concat(name, F.lit("x")), F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1 << 20)),
+               F.concat(F.substring(name, 1, 3), F.lit("q"), F.substring(name, 5, 1 << 20)), F.concat(F.lit("zz"), F.substring(name, 3, 1 << 20)), F.substring(name, -2, 2)]
+    out = F.lit(None).cast("string")
+    for i, s in enumerate(spelled):
+        out = F.when(way == i, s).otherwise(out)
+    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(out.alias("entity_name"))
+
+
+def damaged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, name, damaged) of every nation: an accented name, its bytes read wrongly up to three times."""
+    n = _read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    name = F.concat("n_name", F.element_at(F.array(*map(F.lit, ("é", "", " d’Or", "ü ç"))), (key % 4 + 1).cast("int")))
+    damaged = name
+    for k in (1, 2, 3):
+        wrong = F.decode(F.encode(damaged, "UTF-8"), "ISO-8859-1")
+        wrong = F.translate(wrong, "".join(CP1252.values()), "".join(CP1252)) if k == 2 else wrong  # the second time as Windows-1252
+        damaged = F.when(key % 5 >= k, wrong).otherwise(damaged)
+    return n.select(key.alias("key"), name.alias("name"), damaged.alias("damaged"))

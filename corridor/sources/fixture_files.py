@@ -30,10 +30,20 @@ def _object(df: DataFrame, key: str, value: Column, path: str) -> None:
     df.agg(F.to_json(entries).alias("value")).coalesce(1).write.text(path)
 
 
+def deliver(raw: DataFrame, path: str) -> None:
+    """Raw rows as more header CSVs in a folder."""
+    raw.select("j", "i", "t", "k", F.lit("").alias("q"), "v").write.mode("append").option("header", True).csv(path)
+
+
+def write_indicators(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The macro indicators as header CSVs."""
+    write_table(fixture.indicators(spark, sf_dir), path, "csv")
+    return path
+
+
 def write_inputs(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Write every input under ``root``; the keyword arguments of ``build_serving_tables`` that name them."""
-    raw = fixture.raw_flows(spark, sf_dir).select("j", "i", "t", "k", F.lit("").alias("q"), "v")  # columns in an order of their own
-    raw.write.option("header", True).csv(f"{root}/raw")
+    deliver(fixture.raw_flows(spark, sf_dir), f"{root}/raw")  # columns in an order of their own
     codes = fixture.country_codes(spark, sf_dir)
     codes.withColumn("country_name", _damaged(accented(F.col("country_name"), F.col("country_code")))).write.option("header", True).csv(f"{root}/codes")
     _object(fixture.sections(spark), "category", F.col("chapters"), f"{root}/sections")
