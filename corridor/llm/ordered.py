@@ -29,7 +29,9 @@ def ranked(df: DataFrame, group: str, order: list[str], folder: str) -> DataFram
     rows are written to ``folder``, which fixes the ranks however often tasks run again.
     """
     keys = [group, *order, "_place"]
-    placed = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
+    # written first: range bounds come from a sample of the rows, which would compute them once more
+    df = written(df.withColumn("_place", F.monotonically_increasing_id()), f"{folder}/rows")
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
     placed = written(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))}), f"{folder}/sorted")
     parts = placed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     # a group has a row per partition at most
