@@ -1,22 +1,34 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 * Terms are words (A-Z lower-cased, without ASCII punctuation) and words without their last
-  2 to 4 bytes, so that inflected forms of a stem meet. Texts are vectors of tf-idf over all
-  terms of the labelled examples, with document frequencies counted over the whole table; terms
-  that no example holds have no dimension.
-* The labelled examples (a bounded sample, at most about ``max_examples`` of each label) form
-  an inverted index by term; the ``HEAD`` most frequent terms are rows of a matrix. A query
-  adds up the products of all its terms with all examples: the k nearest are exact.
-* Neighbours vote with a power of their cosine in which the terms that mark label 1 weigh
-  ``MARK`` times as much (in the vote alone, not in the search), each label weighted by the rows
-  its sample stands for, together with a prior of one vote at cosine ``PRIOR_COSINE``. Votes
-  become probabilities by isotonic bins fitted on the examples themselves, each without its own
-  vote.
-* The evidence of a score is its nearest examples with their labels and cosines.
+  2 to 4 bytes, so that inflected forms of a stem meet. Vectors are tf-idf over all terms of the
+  labelled examples, with document frequencies counted over the whole table; terms that no
+  example holds have no dimension.
+* The labelled examples are a bounded sample, at most about ``max_examples`` of each label. They are
+  indexed twice: as whole texts, and as passages of ``PASSAGE`` words, of which up to ``GIVEN`` of a text
+  that hold a term marking label 1, and one other of each text of label 0, enter. In passages a stem is one
+  term whatever ending it lost. A term marks label 1 if chance doesn't explain in how many
+  examples of that label it occurs; a place that texts copied from each other counts once.
+* An index keeps postings for most terms and, for the ``HEAD`` most frequent, blocks of ``BLOCK`` similar
+  examples with each term's largest weight in the block. A query adds up the postings, which
+  bounds its cosine with every block from above; blocks that may hold one of the k nearest are
+  scored, the others skipped. The k nearest are those of a full scan.
+* Neighbours vote with a power of their cosine, each label weighted by the rows its sample stands
+  for, together with a prior of one vote at cosine ``PRIOR_COSINE``. Among whole texts, terms that mark
+  label 1 weigh ``MARK`` times as much in the vote (not in the search). A text with passages that
+  hold a marking term is scored by the ``STRONGEST`` of them and by its whole where that speaks for
+  label 1, so that clean text around them doesn't drown them; any other text by its whole. Votes become probabilities by isotonic bins fitted on
+  the examples themselves, each without its own votes.
+* The evidence of a score is its nearest examples with their labels and cosines, and those of the
+  strongest passage.
+
+The index is built in one task from the bounded sample, lies as a table in the shared folder, and
+is read once by each worker; nothing of it passes the driver.
 
 Defined results: null and empty texts, and texts without a term of the examples, have no neighbours and
 get the share of label 1 among labelled texts of that kind; ties between neighbours go to the
-smaller example; an id with several labels counts as toxic if any of them is; repeated rows
+smaller example; an id with several labels counts as toxic if any of them is, an id with several
+texts teaches by the smallest of them; repeated rows
 are scored each; an empty table gives an empty result; without labelled rows of both labels
 every score is the share of label 1 (0 without any); other columns are ignored; whole texts
 count.
@@ -24,47 +36,101 @@ count.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, functions as F
 
-from corridor.llm.bytewords import hashes_of, words
+from corridor.llm.binary_ids import filesystem
+from corridor.llm.bytewords import hashes_of, mix, words
 from corridor.llm.langid import training_row
-from corridor.llm.shared import ragged, slices, texts_of, workspace, written
+from corridor.llm.shared import kept_in_worker, ragged, slices, texts_of, workspace, written
 
-#: Terms whose products are taken by matrix, for speed alone, and queries in one product.
-HEAD = 1024
+#: Terms whose products are taken by blocks (fewer where there are very many examples), examples of a block, queries at once.
+HEAD = 512
+HEAD_CELLS = 8 << 20
+BLOCK = 32
 BATCH = 64
+#: Words of a passage; a text is cut into passages from its first word on.
+PASSAGE = 16
+#: Marked passages that an example gives to the index (all are scored).
+GIVEN = 4
+#: Passages of a label-0 example that enter besides those with a marking term.
+OTHERS = 1
+#: Passages of a text whose votes make its score.
+STRONGEST = 3
 NEIGHBOURS = 15
 PRIOR_COSINE = 0.1
 #: Weight of a term that marks label 1, in the vote, and the power of the cosine.
 MARK = 12.0
+PASSAGE_MARK = 2.0
 POWER = 4
 #: Bytes cut off a word's end to get a stem, and the least bytes of a stem.
 ENDINGS = (2, 3, 4)
 STEM = 3
 #: Share of label 1 among the texts that hold a term, for the term to mark it.
 PRECISION = 0.5
+#: Terms expected to mark label 1 by chance alone.
+CHANCE = 0.05
 BINS = 40
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each term occurrence, term hash): words and their stems."""
+def _placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each term occurrence, number of its word in the text, term hash, hash of its bytes alone): words and their stems.
+
+    A term is a word, or a stem with the number of bytes cut off; by its bytes alone a stem is the
+    same whatever was cut off.
+    """
     w = words(texts, content_only=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.offsets))
-    out_owner, out = [owner], [w.hashes]
+    at = np.arange(len(owner)) - w.offsets[owner] if len(owner) else owner
+    out_owner, out_at, out, plain = [owner], [at], [w.hashes], [w.hashes]
     length = w.ends - w.starts
     for n in ENDINGS:
         long = length >= n + STEM
         h = hashes_of(w.data, w.starts[long], w.ends[long] - n)
         out_owner.append(owner[long])
+        out_at.append(at[long])
         out.append(h ^ np.uint64(0xA5A5A5A5_00000000 + n))
-    return np.concatenate(out_owner), np.concatenate(out)
+        plain.append(h)
+    return np.concatenate(out_owner), np.concatenate(out_at), np.concatenate(out), np.concatenate(plain)
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each term occurrence, term hash)."""
+    owner, _, term, _ = _placed(texts)
+    return owner, term
+
+
+def _apart(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, hash of the words before and after) of each term occurrence; equal ones of a text once. ``plain``: by bytes alone."""
+    w = words(texts, content_only=True)
+    owner, at, *both = _placed(texts)
+    term = both[plain]
+    h = np.concatenate([[np.uint64(1)], w.hashes, [np.uint64(2)]])  # word k of all texts is h[k + 1]
+    k = w.offsets[owner] + at
+    around = mix(h[k] * np.uint64(3) + h[k + 2]) if len(k) else np.zeros(0, np.uint64)
+    once = np.unique(mix(term) ^ around ^ mix(owner.astype(np.uint64)), return_index=True)[1]
+    return owner[once], term[once], around[once]
+
+
+def _known(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted vocabulary, whether it is there) of each term; distinct terms are looked up once, in order."""
+    if not len(vocabulary) or not len(term):
+        return np.zeros(len(term), np.int64), np.zeros(len(term), bool)
+    order = np.argsort(term)
+    ordered = term[order]
+    new = np.ones(len(term), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    distinct = ordered[new]
+    place = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1)
+    which = np.empty(len(term), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return place[which], (vocabulary[place] == distinct)[which]
 
 
 def _counted(owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,14 +161,14 @@ def _select(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, weight: np.n
     k0 = np.bincount(inverse, (weight * ~toxic)[owner])
     p1, p0 = (k1 + 0.5) / (n1 + 1), (k0 + 0.5) / (n0 + 1)
     gain = k1 * np.log(p1 / p0) + (n1 - k1) * np.log((1 - np.minimum(p1, 1 - 1e-9)) / (1 - np.minimum(p0, 1 - 1e-9)))
-    # at least three texts, most of those with the term toxic, and a gain beyond chance over all terms tried
-    good = np.flatnonzero((rows >= 3) & (p1 * n1 >= PRECISION * (p1 * n1 + p0 * n0)) & (gain > np.log(len(values) + 1.0) / 2))
+    # at least three texts, most of those with the term toxic, and a gain that chance would give to CHANCE of all terms tried
+    good = np.flatnonzero((rows >= 3) & (p1 * n1 >= PRECISION * (p1 * n1 + p0 * n0)) & (gain > np.log((len(values) + 1.0) / CHANCE)))
     return values[good]
 
 
 @dataclass
 class Index:
-    """Labelled examples as an inverted index, and the calibration of votes."""
+    """Labelled examples as a block-max inverted index."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -115,66 +181,137 @@ class Index:
     starts: np.ndarray  # term: first posting
     example: np.ndarray
     value: np.ndarray
-    slot: np.ndarray  # term: row of the matrix, or -1
-    head: np.ndarray
     marked: np.ndarray  # example: square of its length in marking terms
     edges: np.ndarray | None = None
     chances: np.ndarray | None = None
-
-    def vectors(self, texts: pa.Array) -> Vectors:
-        owner, term = _terms(texts)
-        place = np.searchsorted(self.vocabulary, term)
-        place[place == len(self.vocabulary)] = 0
-        hit = self.vocabulary[place] == term if len(self.vocabulary) else np.zeros(len(term), bool)
+    # made from the postings, not stored
+    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # term: row of the blocks, or -1
+    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples as they lie in blocks
+    head: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x example in order
+    highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x block: largest weight
+    mark: float = MARK
+    skipped: int = 0
+    scored: int = 0
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the examples, each without its own
+
+    def prepared(self) -> Index:
+        """Lay the frequent terms out in blocks of similar examples."""
+        n = len(self.ids)
+        held = np.diff(self.starts)
+        frequent = np.argsort(-held, kind="stable")[: min(HEAD, HEAD_CELLS // max(1, n))]
+        frequent = frequent[held[frequent] > 0]
+        self.slot = np.full(len(self.vocabulary), -1, np.int32)
+        self.slot[frequent] = np.arange(len(frequent))
+        head = np.zeros((len(frequent), n))
+        for k, t in enumerate(frequent.tolist()):
+            at = slice(self.starts[t], self.starts[t + 1])
+            head[k, self.example[at]] = self.value[at]
+        self.order = _alike(head)
+        self.head = head[:, self.order]
+        first = np.arange(0, n, BLOCK)
+        self.highest = np.maximum.reduceat(self.head, first, axis=1) if n and len(frequent) else np.zeros((len(frequent), len(first)))
+        return self
+
+    def weighted(self, owner: np.ndarray, term: np.ndarray, rows: int) -> Vectors:
+        """Unit vectors of ``rows`` texts or passages from their term occurrences."""
+        place, hit = _known(self.vocabulary, term)
         owner, term, n = _counted(owner[hit], place[hit])
-        value, rows = (1 + np.log(n)) * self.idf[term], len(texts)
+        value = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(owner, value * value, minlength=rows))
         return Vectors(np.searchsorted(owner, np.arange(rows + 1)), term, value / norm[owner] if len(owner) else value)
 
+    def vectors(self, texts: pa.Array) -> Vectors:
+        return self.weighted(*_terms(texts), len(texts))
+
     def _products(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Sum of products with every example over the given terms."""
         lengths = self.starts[terms + 1] - self.starts[terms]
         postings = ragged(self.starts[terms], lengths)
         return np.bincount(self.example[postings], np.repeat(values, lengths) * self.value[postings], minlength=len(self.ids))
 
-    def _cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """query x example."""
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(example, cosine) of the k nearest of each query, without some examples; blocks that can't hold any are skipped."""
+        n = len(self.ids)
         dense = np.zeros((len(queries), len(self.head)))
+        rest = np.zeros((len(queries), n))
         for i, (terms, values) in enumerate(queries):
             at = self.slot[terms]
             dense[i, at[at >= 0]] = values[at >= 0]
-        out = dense @ self.head
-        for i, (terms, values) in enumerate(queries):
-            rest = self.slot[terms] < 0
-            out[i] += self._products(terms[rest], values[rest])
-        return out
-
-    def _best(self, total: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        if without >= 0:
-            total[without] = 0
-        example = np.flatnonzero(total > 0)
-        if len(example) > k:
-            cosine = total[example]
-            example = example[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11]
-        best = np.lexsort((example, -np.round(total[example], 12)))[:k]
-        return example[best], total[example[best]]
+            rest[i] = self._products(terms[at < 0], values[at < 0])
+            rest[i, without[i]] = -np.inf
+        rest = rest[:, self.order]
+        first = np.arange(0, n, BLOCK)
+        bound = dense @ self.highest + np.maximum.reduceat(rest, first, axis=1)
+        total = np.full((len(queries), n), -np.inf)
+        to_do = np.ones(len(first), bool)
+
+        def score(blocks: np.ndarray) -> None:
+            """Runs of blocks that lie side by side are one product."""
+            if not len(blocks):
+                return
+            ends = np.flatnonzero(np.diff(blocks, append=blocks[-1:] + 2) > 1)
+            for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True):
+                run = slice(first[blocks[a]], min(first[blocks[b]] + BLOCK, n))
+                np.matmul(dense, self.head[:, run], out=total[:, run])
+                total[:, run] += rest[:, run]
+            to_do[blocks] = False
+
+        # the best blocks of each query give the cosine to beat
+        ahead = min(len(first), k // BLOCK + 2)
+        near = np.argpartition(-bound, ahead - 1, axis=1)[:, :ahead]
+        score(np.unique(near))
+        beat = np.zeros(len(queries))
+        for i, blocks in enumerate(near):
+            own = total[i, ragged(first[blocks], np.minimum(first[blocks] + BLOCK, n) - first[blocks])]
+            beat[i] = max(0.0, np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else 0.0
+        score(np.flatnonzero(to_do & (bound >= beat[:, None] - 1e-9).any(axis=0)))
+        self.skipped += int(to_do.sum())
+        self.scored += int((~to_do).sum())
+        return [self._best(t, k) for t in total]
+
+    def _best(self, total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.flatnonzero(total > 0)
+        if len(place) > k:
+            cosine = total[place]
+            place = place[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11]
+        example = self.order[place]
+        best = np.lexsort((example, -np.round(total[place], 12)))[:k]
+        return example[best], total[place[best]]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest examples with a cosine above zero, the nearest first; exact."""
-        return self._best(self._cosines([(terms, values)])[0], k, without)
-
-    def each_nearest(self, v: Vectors, rows: list[int], leave: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, example, cosine, cosine in the vote) of the nearest of each row; ``leave``: without the example of that number."""
+        return self._nearest([(terms, values)], k, [np.array([without] if without >= 0 else [], np.int64)])[0]
+
+    def each_nearest(self, v: Vectors, rows: list[int], without: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, example, cosine, cosine in the vote) of the nearest of each row; ``without``: examples left out, by row."""
+        none = np.zeros(0, np.int64)
+        if not len(self.ids):
+            return
+        # rows that begin with the same frequent terms go together: their blocks are the same
+        rows = sorted(rows, key=lambda i: (-v.weights[v.offsets[i] : v.offsets[i + 1]].max(initial=0.0), i)) if len(rows) <= BATCH else self._together(v, rows)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
             queries = [(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]]) for i in some]
-            for i, (terms, values), total in zip(some, queries, self._cosines(queries), strict=True):
-                example, cosine = self._best(total, NEIGHBOURS, i if leave else -1)
+            found = self._nearest(queries, NEIGHBOURS, [(without or {}).get(i, none) for i in some])
+            for i, (terms, values), (example, cosine) in zip(some, queries, found, strict=True):
                 yield i, example, cosine, self._weighted(terms, values, example, cosine)
 
+    def _together(self, v: Vectors, rows: list[int]) -> list[int]:
+        """The rows in the order of the block that each may be nearest to."""
+        nearest = []
+        for at in range(0, len(rows), 4 * BATCH):
+            some = rows[at : at + 4 * BATCH]
+            dense = np.zeros((len(some), len(self.head)))
+            for k, i in enumerate(some):
+                terms = v.terms[v.offsets[i] : v.offsets[i + 1]]
+                slot = self.slot[terms]
+                dense[k, slot[slot >= 0]] = v.weights[v.offsets[i] : v.offsets[i + 1]][slot >= 0]
+            nearest += np.argmax(dense @ self.highest, axis=1).tolist() if self.highest.size else [0] * len(some)
+        return [i for _, i in sorted(zip(nearest, rows, strict=True))]
+
     def _weighted(self, terms: np.ndarray, values: np.ndarray, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """The cosines with marking terms at ``MARK`` times their weight."""
-        own, more = self.marks[terms], MARK * MARK - 1
+        own, more = self.marks[terms], self.mark**2 - 1
         common = self._products(terms[own], values[own])[example] if own.any() else 0.0
         lengths = (1 + more * (values[own] ** 2).sum()) * (1 + more * self.marked[example])
         return (cosine + more * common) / np.sqrt(lengths)
@@ -187,19 +324,98 @@ class Index:
     def chance(self, vote: float) -> float:
         return vote if self.chances is None else float(np.interp(vote, self.edges, self.chances))
 
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Score and evidence (example id, label, cosine) of each text."""
-        score, evidence = np.full(len(texts), self.empty), [[] for _ in range(len(texts))]
-        v = self.vectors(texts)
+    def named(self, example: np.ndarray, cosine: np.ndarray) -> list[tuple[int, int, float]]:
+        return [(int(self.ids[e]), int(self.label[e]), float(c)) for e, c in zip(example[:5], cosine[:5], strict=True)]
+
+
+def _alike(head: np.ndarray, groups: int = 16, rounds: int = 3) -> np.ndarray:
+    """An order of the columns in which similar ones lie together: a few rounds of grouping by the nearest centre."""
+    n = head.shape[1]
+    if not head.size:
+        return np.arange(n)
+    centre = head[:, np.linspace(0, n - 1, min(groups, n)).astype(int)]
+    for _ in range(rounds):
+        near = centre.T @ head
+        own = near.argmax(axis=0)
+        centre = np.stack([head[:, own == g].mean(axis=1) if (own == g).any() else centre[:, g] for g in range(centre.shape[1])], axis=1)
+        centre /= np.maximum(np.linalg.norm(centre, axis=0), 1e-12)
+    return np.lexsort((-near.max(axis=0), own))
+
+
+def _windows(marking: np.ndarray, owner: np.ndarray, at: np.ndarray, term: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages as (text, number of the passage in it) and their term occurrences as (passage, term).
+
+    Those with one of the ``marking`` terms (sorted); or those given as ``chosen`` (text * 2**32 + number, sorted).
+    """
+    key = (owner.astype(np.int64) << 32) + at // PASSAGE
+    if chosen is None:
+        place = np.minimum(np.searchsorted(marking, term), max(0, len(marking) - 1))
+        chosen = np.unique(key[marking[place] == term]) if len(marking) else key[:0]
+    place = np.minimum(np.searchsorted(chosen, key), max(0, len(chosen) - 1))
+    inside = chosen[place] == key if len(chosen) else np.zeros(len(term), bool)
+    return chosen >> 32, chosen & 0xFFFFFFFF, place[inside], term[inside]
+
+
+@dataclass
+class Scorer:
+    """The two indexes; a text with marked passages is scored by the strongest, any other by its whole."""
+
+    whole: Index
+    passages: Index
+
+    def passage_votes(self, texts: pa.Array, terms: tuple, without: dict[int, np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """text -> (votes of its strongest marked passages, the nearest examples of the strongest, their cosines)."""
+        owner, number, passage, term = _windows(self.passages.vocabulary[self.passages.marks], terms[0], terms[1], terms[3])
+        if not len(owner):
+            return {}
+        found: dict[int, list[tuple[float, int, np.ndarray, np.ndarray]]] = {}
+        v = self.passages.weighted(passage, term, len(owner))
+        rows = np.flatnonzero(np.diff(v.offsets)).tolist()
+        left = {i: without.get(int(owner[i]), np.zeros(0, np.int64)) for i in rows} if without else None
+        for i, example, cosine, weighted in self.passages.each_nearest(v, rows, left):
+            if len(example):
+                found.setdefault(int(owner[i]), []).append((self.passages.vote(example, weighted), int(number[i]), example, cosine))
+        best = {}
+        for text, votes in found.items():
+            votes.sort(key=lambda x: (-x[0], x[1]))
+            strongest = [v for v, *_ in votes[:STRONGEST]]
+            best[text] = (np.array(strongest + [0.5] * (STRONGEST - len(strongest))), votes[0][2], votes[0][3])
+        return best
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list, list]:
+        """Score, evidence and passage evidence (example id, label, cosine) of each text."""
+        whole = self.whole
+        score = np.full(len(texts), whole.empty)
+        evidence, passage = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
+        terms = _placed(texts)
+        v = whole.weighted(terms[0], terms[2], len(texts))
         first: dict[bytes, int] = {}
         same = {i: first.setdefault(v.terms[a:b].tobytes() + v.weights[a:b].tobytes(), i) for i, (a, b) in enumerate(zip(v.offsets[:-1], v.offsets[1:], strict=True)) if b > a}
-        for i, example, cosine, weighted in self.each_nearest(v, list(first.values())):
+        votes = np.full(len(texts), np.nan)
+        for i, example, cosine, weighted in whole.each_nearest(v, list(first.values())):
             if len(example):
-                score[i] = self.chance(self.vote(example, weighted))
-                evidence[i] = [(int(self.ids[e]), int(self.label[e]), float(c)) for e, c in zip(example[:5], cosine[:5], strict=True)]
+                votes[i] = whole.vote(example, weighted)
+                score[i], evidence[i] = whole.chance(votes[i]), whole.named(example, cosine)
         for i, j in same.items():
-            score[i], evidence[i] = score[j], evidence[j]
-        return score, evidence
+            votes[i], score[i], evidence[i] = votes[j], score[j], evidence[j]
+        for i, (strongest, example, cosine) in self.passage_votes(texts, terms).items():
+            score[i] = self.passages.chance(float(_evidence(strongest[None], votes[i : i + 1])[0])) if self.passages.chances is not None else self.passages.prior
+            passage[i] = self.passages.named(example, cosine)
+        return score, evidence, passage
+
+
+def _evidence(votes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """One number for the passages' votes of each text, strongest first, and the vote on its whole (NaN: none).
+
+    The log odds of the strongest, and what the others and the whole add in favour: clean passages
+    around a toxic one take nothing away.
+    """
+    def odds(v: np.ndarray) -> np.ndarray:
+        v = np.clip(v, 1e-4, 1 - 1e-4)
+        return np.log(v / (1 - v))
+
+    o = odds(votes)
+    return np.minimum(o[:, 0], 0) + np.maximum(o, 0).sum(axis=1) + np.maximum(odds(np.where(np.isnan(whole), 0.5, whole)), 0)
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,35 +433,35 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return votes, np.array([g[0] / g[1] for g in pooled])
 
 
-def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray | None = None) -> Index:
+def _built(ids: np.ndarray, v: Vectors, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray) -> Index:
+    """The index of examples given as vectors."""
     prior = float(weight[label].sum() / weight.sum()) if len(label) else 0.0
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(v.offsets))
+    order = np.argsort(v.terms, kind="stable")
+    held = np.bincount(v.terms, minlength=len(vocabulary)) if len(v.terms) else np.zeros(len(vocabulary), np.int64)
+    own = marks[v.terms]
+    return Index(vocabulary, idf, marks, ids, label, weight, prior, prior, np.concatenate([[0], np.cumsum(held)]).astype(np.int64), owner[order],
+                 v.weights[order], np.bincount(owner[own], v.weights[own] ** 2, minlength=len(ids))).prepared()
+
+
+def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray | None = None) -> Index:
+    """The index of whole texts, with its votes calibrated on the texts, each without its own vote."""
     marks = np.zeros(len(vocabulary), bool) if marks is None else marks
-    index = Index(vocabulary, idf, marks, ids, label, weight, prior, prior, np.zeros(len(vocabulary) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0),
-                  np.full(len(vocabulary), -1, np.int32), np.zeros((0, len(ids))), np.zeros(len(ids)))
+    none = Vectors(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    index = _built(ids[:0], none, label[:0], weight[:0], vocabulary, idf, marks)
     if not len(ids) or not len(vocabulary):
+        index.prior = index.empty = float(weight[label].sum() / weight.sum()) if len(label) else 0.0
         return index
     parts = [index.vectors(texts.slice(at, 500)) for at in range(0, len(texts), 500)]
     sizes = np.concatenate([np.diff(p.offsets) for p in parts])
     v = Vectors(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.terms for p in parts]), np.concatenate([p.weights for p in parts]))
-    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-    order = np.argsort(v.terms, kind="stable")
-    index.example, index.value = owner[order], v.weights[order]
-    held = np.bincount(v.terms, minlength=len(vocabulary))
-    index.starts = np.concatenate([[0], np.cumsum(held)])
-    frequent = np.argsort(-held, kind="stable")[:HEAD]
-    index.slot[frequent] = np.arange(len(frequent))
-    index.head = np.zeros((len(frequent), len(ids)))
-    for k, t in enumerate(frequent.tolist()):
-        at = slice(index.starts[t], index.starts[t + 1])
-        index.head[k, index.example[at]] = index.value[at]
-    own = marks[v.terms]
-    index.marked = np.bincount(owner[own], v.weights[own] ** 2, minlength=len(ids))
-    # calibration on the examples, each without its own vote
+    index = _built(ids, v, label, weight, vocabulary, idf, marks)
     votes = np.full(len(ids), np.nan)
-    for i, e, _, c in index.each_nearest(v, np.flatnonzero(sizes).tolist(), leave=True):
+    rows = np.flatnonzero(sizes).tolist()
+    for i, e, _, c in index.each_nearest(v, rows, {i: np.array([i]) for i in rows}):
         if len(e):
             votes[i] = index.vote(e, c)
-    known = ~np.isnan(votes)
+    known, index.votes = ~np.isnan(votes), votes
     if known.any():
         index.edges, index.chances = _isotonic(votes[known], label[known].astype(float), weight[known])
     if (~known).any():
@@ -253,8 +469,128 @@ def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarr
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> Index:
-    """An index of labelled examples; document frequencies of its terms are counted over all ``docs``."""
+def _chosen(marking: np.ndarray, texts: pa.Array, label: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, text of each passage, passage of each term occurrence, term) by runs of texts.
+
+    The passages that hold a marking term, and ``OTHERS`` of each text of label 0.
+    """
+    for at in range(0, len(texts), 500):
+        owner, place, _, term = _placed(texts.slice(at, 500))
+        marked = _windows(marking, owner, place, term)
+        held = np.zeros(min(500, len(texts) - at), np.int64)
+        np.maximum.at(held, owner, place // PASSAGE + 1)
+        clean = np.flatnonzero(~label[at : at + 500] & (held > 0))
+        picks = [(clean.astype(np.int64) << 32) + (held[clean] * (2 * k + 1)) // (2 * OTHERS) for k in range(OTHERS)]
+        # of a text's marked passages, some spread over it
+        first = np.searchsorted(marked[0], marked[0])
+        n = np.searchsorted(marked[0], marked[0], side="right") - first
+        rank = np.arange(len(first)) - first
+        given = (rank * GIVEN) // np.maximum(n, 1) != ((rank - 1) * GIVEN) // np.maximum(n, 1)
+        chosen = np.unique(np.concatenate([((marked[0] << 32) + marked[1])[given | (n <= GIVEN)], *picks]))
+        text, _, passage, term = _windows(marking, owner, place, term, chosen)
+        yield at, text, passage, term
+
+
+def _passage_index(whole: Index, ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray) -> Index:
+    """The index of passages, with the strongest votes of the examples calibrated, each without its own passages."""
+    index = _built(ids[:0], Vectors(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)), label[:0], weight[:0], vocabulary, idf, marks)
+    owners, passages, terms, rows = [], [], [], 0
+    for at, text, passage, term in _chosen(vocabulary[marks], texts, label):
+        owners.append(text + at)
+        passages.append(passage + rows)
+        terms.append(term)
+        rows += len(text)
+    if not rows:
+        return index
+    owner = np.concatenate(owners)
+    v = index.weighted(np.concatenate(passages), np.concatenate(terms), rows)
+    index = _built(ids[owner], v, label[owner], weight[owner], vocabulary, idf, marks)
+    starts = np.searchsorted(owner, np.arange(len(ids) + 1))
+    index.mark = PASSAGE_MARK
+    scorer, votes = Scorer(whole, index), np.full((len(ids), STRONGEST), np.nan)
+    for at in range(0, len(texts), 500):
+        part = texts.slice(at, 500)
+        without = {i: np.arange(starts[at + i], starts[at + i + 1]) for i in range(len(part))}
+        for i, (strongest, _, _) in scorer.passage_votes(part, _placed(part), without).items():
+            votes[at + i] = strongest
+    known = ~np.isnan(votes[:, 0])
+    if known.any():
+        index.edges, index.chances = _isotonic(_evidence(votes[known], whole.votes[known]), label[known].astype(float), weight[known])
+    # the whole text decides where no passage is marked: calibrated on examples of that kind
+    rest = ~known & ~np.isnan(whole.votes)
+    if rest.any():
+        whole.edges, whole.chances = _isotonic(whole.votes[rest], label[rest].astype(float), weight[rest])
+    return index
+
+
+# ---- tables in the shared folder ------------------------------------------------
+
+INDEXES = ("whole", "passages")
+STORED = "name string, part int, data binary"
+_PART = 4 << 20
+_KINDS = {"vocabulary": "<u8", "idf": "<f8", "marks": "?", "ids": "<i8", "label": "?", "weight": "<f8", "starts": "<i8", "example": "<i4", "value": "<f8", "marked": "<f8",
+          "edges": "<f8", "chances": "<f8", "scalars": "<f8"}
+
+
+def _stored(arrays: dict[str, np.ndarray]) -> pa.Table:
+    """Arrays as rows of at most ``_PART`` bytes."""
+    rows = []
+    for name, a in arrays.items():
+        data = a.astype(_KINDS[name.rsplit(".", 1)[-1]]).tobytes()
+        rows += [(name, k, data[at : at + _PART]) for k, at in enumerate(range(0, max(1, len(data)), _PART))]
+    return pa.table({"name": [r[0] for r in rows], "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _read(folder: str) -> dict[str, np.ndarray]:
+    """The arrays of a stored table, nothing of an empty one."""
+    fs, path = filesystem(folder)
+    rows = sorted((r["name"], r["part"], r["data"]) for b in pads.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True).to_batches() for r in b.to_pylist())
+    out: dict[str, list[bytes]] = {}
+    for name, _, data in rows:
+        out.setdefault(name, []).append(data)
+    return {n: np.frombuffer(b"".join(d), _KINDS[n.rsplit(".", 1)[-1]]) for n, d in out.items()}
+
+
+_FIELDS = ("vocabulary", "idf", "marks", "ids", "label", "weight", "starts", "example", "value", "marked")
+
+
+def _arrays(scorer: Scorer) -> dict[str, np.ndarray]:
+    out: dict[str, np.ndarray] = {}
+    for name, index in (("whole", scorer.whole), ("passages", scorer.passages)):
+        out |= {f"{name}.{k}": getattr(index, k) for k in _FIELDS} | {f"{name}.scalars": np.array([index.prior, index.empty])}
+        out |= {f"{name}.{k}": getattr(index, k) for k in ("edges", "chances") if getattr(index, k) is not None}
+    return out
+
+
+def _scorer(a: dict[str, np.ndarray]) -> Scorer:
+    def index(name: str) -> Index:
+        prior, empty = a[f"{name}.scalars"].tolist()
+        fields = {k: a[f"{name}.{k}"] for k in _FIELDS}
+        return Index(prior=prior, empty=empty, edges=a.get(f"{name}.edges"), chances=a.get(f"{name}.chances"), **fields).prepared()
+
+    scorer = Scorer(index("whole"), index("passages"))
+    scorer.passages.mark = PASSAGE_MARK
+    return scorer
+
+
+def _nothing() -> Scorer:
+    empty = np.zeros(0)
+    index = _index(empty.astype(np.int64), pa.array([], pa.string()), empty.astype(bool), empty, empty.astype(np.uint64), empty)
+    return Scorer(index, index)
+
+
+def loaded(folder: str) -> Scorer:
+    """The indexes of a folder; a worker keeps the last it has read."""
+    kept = kept_in_worker("toxicity", dict)
+    if folder not in kept:
+        kept.clear()
+        arrays = _read(folder)
+        kept[folder] = _scorer(arrays) if arrays else _nothing()
+    return kept[folder]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> str:
+    """The folder of the indexes of labelled examples; document frequencies of their terms are counted over all ``docs``."""
     spark = docs.sparkSession
     base = workspace(spark, "toxicity")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -275,64 +611,80 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> Index:
 
     def select(table: pa.Table) -> pa.Table:
         _, texts, label, weight = sample(table)
-        parts = [_counted(*_terms(texts.slice(at, 500)))[:2] for at in range(0, len(texts), 500)]
-        owner, term = np.concatenate([o + 500 * k for k, (o, _) in enumerate(parts)]), np.concatenate([t for _, t in parts])
-        return pa.table({"terms": pa.array([np.unique(term).tobytes()], pa.binary()), "marks": pa.array([_select(owner, term, label, weight).tobytes()], pa.binary())})
+
+        def terms_of(plain: bool) -> tuple[np.ndarray, np.ndarray]:
+            parts = [_apart(texts.slice(at, 500), plain) for at in range(0, len(texts), 500)]
+            owner, term, around = (np.concatenate([p[k] + (500 * i if k == 0 else 0) for i, p in enumerate(parts)]) for k in range(3))
+            vocabulary = np.unique(term)
+            # a passage that texts have copied from each other counts once
+            first = np.sort(np.unique(mix(term) ^ around, return_index=True)[1])
+            owner, term, _ = _counted(owner[first], term[first])
+            return vocabulary, _select(owner, term, label, weight)
+
+        vocabulary, marking = terms_of(False)
+        out = {"whole.vocabulary": vocabulary, "whole.marks": np.isin(vocabulary, marking)}
+        marking = terms_of(True)[1]
+        held = [np.unique(term) for *_, term in _chosen(marking, texts, label)]
+        vocabulary = np.unique(np.concatenate([marking, *held]))
+        return _stored(out | {"passages.vocabulary": vocabulary, "passages.marks": np.isin(vocabulary, marking)})
 
     grouped = examples.withColumn("one", F.lit(0)).groupBy("one")
-    chosen_terms = grouped.applyInArrow(select, "terms binary, marks binary").collect()
-    vocabulary = np.frombuffer(chosen_terms[0].terms if chosen_terms else b"", np.uint64)
-    marks = np.isin(vocabulary, np.frombuffer(chosen_terms[0].marks if chosen_terms else b"", np.uint64))
-    known = spark.sparkContext.broadcast(vocabulary)
+    written(grouped.applyInArrow(select, STORED), f"{base}/terms")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value
-        df, rows = np.zeros(len(vocabulary), np.int64), 0
+        stored = _read(f"{base}/terms")
+        known = [stored.get(f"{k}.vocabulary", np.zeros(0, np.uint64)) for k in INDEXES]
+        df, rows = [np.zeros(len(v), np.int64) for v in known], 0
         for batch in slices(batches, limit=2 << 20):
             rows += batch.num_rows
-            if not len(vocabulary):
-                continue
-            owner, term = _terms(texts_of(batch))
-            place = np.searchsorted(vocabulary, term)
-            place[place == len(vocabulary)] = 0
-            hit = vocabulary[place] == term
-            df += np.bincount(np.unique(owner[hit] * len(vocabulary) + place[hit]) % len(vocabulary), minlength=len(vocabulary))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[rows], df[some]]), pa.int64())})
-
-    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary) + 1)
-    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # -1, the last: all rows
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    counts = spark.sparkContext.broadcast((idf, marks))
+            owner, _, *spaces = _placed(texts_of(batch))
+            for vocabulary, term, n in zip(known, spaces, df, strict=True):
+                if len(vocabulary):
+                    place, hit = _known(vocabulary, term)
+                    n += np.bincount(np.unique(owner[hit] * len(vocabulary) + place[hit]) % len(vocabulary), minlength=len(vocabulary))
+        for space, n in enumerate(df):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"space": pa.array(np.full(len(some) + 1, space), pa.int32()), "term": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[rows], n[some]]), pa.int64())})
+
+    counted = docs.select("text").mapInArrow(frequencies, "space int, term int, n long")
+    written(counted.groupBy("space", "term").agg(F.sum("n").alias("n")), f"{base}/frequencies")
 
     def build(table: pa.Table) -> pa.Table:
-        return pa.table({"index": pa.array([pickle.dumps(_index(*sample(table), known.value, *counts.value), protocol=5)], pa.binary())})
-
-    got = grouped.applyInArrow(build, "index binary").collect()
-    if not got:
-        empty = np.zeros(0)
-        return _index(empty, pa.array([], pa.string()), np.zeros(0, bool), empty, np.zeros(0, np.uint64), empty)
-    return pickle.loads(got[0]["index"])
-
-
-def score(docs: DataFrame, index: Index) -> DataFrame:
-    """(doc_id, score, evidence) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+        terms = _read(f"{base}/terms")
+        fs, path = filesystem(f"{base}/frequencies")
+        counted = pads.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(columns=["space", "term", "n"])
+        spaces = []
+        for space, name in enumerate(INDEXES):
+            own = counted.filter(pc.equal(counted.column("space"), space))
+            df = np.zeros(len(terms[f"{name}.vocabulary"]) + 1)
+            df[own.column("term").to_numpy()] = own.column("n").to_numpy()  # -1, the last: all rows
+            spaces.append((terms[f"{name}.vocabulary"], np.log((df[-1] + 1) / (df[:-1] + 1)) + 1, terms[f"{name}.marks"]))
+        own = sample(table)
+        whole = _index(*own, *spaces[0])
+        return _stored(_arrays(Scorer(whole, _passage_index(whole, *own, *spaces[1]))))
+
+    written(grouped.applyInArrow(build, STORED), f"{base}/index")
+    return f"{base}/index"
+
+
+def score(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, score, evidence, passage) of every document, by the indexes in ``folder``."""
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
+    def listed(found: list) -> pa.Array:
+        return pa.array([[{"doc_id": i, "toxic": t, "cosine": c} for i, t, c in e] for e in found], near)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = loaded(folder)
         for batch in slices(batches, limit=2 << 20):
-            scores, evidence = sent.value.scores(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()),
-                pa.array([[{"doc_id": i, "toxic": t, "cosine": c} for i, t, c in e] for e in evidence], near)], names=["doc_id", "score", "evidence"])
+            scores, evidence, passage = scorer.scores(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), listed(evidence), listed(passage)], names=["doc_id", "score", "evidence", "passage"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    one = "array<struct<doc_id: long, toxic: int, cosine: double>>"
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, score double, evidence {one}, passage {one}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_examples: int = 4000) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence): learned from the rows that aren't held out, scored for all."""
-    index = fit(docs, labels.where(training_row()), max_examples)
-    found = score(docs, index)
-    return found.select("doc_id", (~F.coalesce(training_row(), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    """(doc_id, held_out, score, predicted, evidence, passage): learned from the rows that aren't held out, scored for all."""
+    found = score(docs, fit(docs, labels.where(training_row()), max_examples))
+    return found.select("doc_id", (~F.coalesce(training_row(), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "passage")
