@@ -215,7 +215,9 @@ class Index:
     def weighted(self, owner: np.ndarray, term: np.ndarray, rows: int) -> Vectors:
         """Unit vectors of ``rows`` texts or passages from their term occurrences."""
         place, hit = _known(self.vocabulary, term)
-        owner, term, n = _counted(owner[hit], place[hit])
+        size = max(1, len(self.vocabulary))
+        key, n = np.unique(owner[hit].astype(np.int64) * size + place[hit], return_counts=True)
+        owner, term = key // size, key % size
         value = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(owner, value * value, minlength=rows))
         return Vectors(np.searchsorted(owner, np.arange(rows + 1)), term, value / norm[owner] if len(owner) else value)
@@ -589,7 +591,7 @@ def loaded(folder: str) -> Scorer:
     return kept[folder]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000) -> str:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1500) -> str:
     """The folder of the indexes of labelled examples; document frequencies of their terms are counted over all ``docs``."""
     spark = docs.sparkSession
     base = workspace(spark, "toxicity")
@@ -684,7 +686,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, score double, evidence {one}, passage {one}")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_examples: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_examples: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, passage): learned from the rows that aren't held out, scored for all."""
     found = score(docs, fit(docs, labels.where(training_row()), max_examples))
     return found.select("doc_id", (~F.coalesce(training_row(), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "passage")
