@@ -17,9 +17,15 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
    blocks of bounded size, leaving out pairs inside one component; a block passes on a spanning
    forest of its links.
 
+Classes are numbered when they are written and go by that number through every step; ids enter
+again at the end, where a component is named by its smallest one. A bucket with over 1/1024 of
+all band rows is salted in every join on buckets: there are fewer than 1024 such buckets at any
+size, so their list is broadcast.
+
 Defined results: null, empty and blank texts have an empty set and link with nothing; with
 fewer words than a shingle the whole sequence is one; repeated rows and exact copies form
-one class; rows with a null id are counted but never linked, as no id can name them; an empty
+one class; rows that share an id but differ in text are documents of their own, each linked by
+its own text; rows with a null id are counted but never linked, as no id can name them; an empty
 table gives an empty result; other columns are ignored; texts are whole, of any length.
 """
 
@@ -41,6 +47,12 @@ from corridor.llm.shared import grouped, ragged, slices, texts_of, workspace, wr
 #: Classes, and shingles of classes, in one block of a bucket.
 BLOCK = 2048
 BLOCK_SHINGLES = 1_500_000
+#: A bucket with more than this share of all band rows is salted, into so many parts.
+HOT_SHARE, SALTS = 1 / 1024, 64
+#: Parts of a component where its rows meet its smallest id.
+NAME_SALTS = 16
+#: The column that tells the texts of one id apart.
+_TEXT_KEY = "_minhash_text_key"
 #: Shingles hashed at once, so that the working set stays in cache.
 _CACHE = 1 << 15
 
@@ -125,7 +137,7 @@ def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprints(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig) of every document; key and signature are null for empty sets."""
+    """(doc_id, text_key, n_shingles, set_key, sig) of every document; key and signature are null for empty sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -138,9 +150,9 @@ def _fingerprints(docs: DataFrame, s: Settings) -> DataFrame:
             for k, i in enumerate(full.tolist()):
                 keys[i] = hashlib.blake2b(h[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
                 sigs[i] = sig[k].tobytes()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(sizes.astype(np.int64)), "set_key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "text_key": batch.column("text_key"), "n_shingles": pa.array(sizes.astype(np.int64)), "set_key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -162,6 +174,22 @@ def _survives(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]])
     return out
 
 
+def _by_salt(buckets: DataFrame) -> DataFrame:
+    """A row of each bucket for each of its salts."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def _bands(every: DataFrame, rows: int) -> DataFrame:
+    """(bucket, salt, salts, rep, n) of the buckets with more than one of the ``rows`` band rows; ``n`` is a bucket's size."""
+    hot = rows * HOT_SHARE
+    salts = F.when(F.col("n") > hot, SALTS).otherwise(1)
+    crowd = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("salts", salts)
+    # fewer than 1 / HOT_SHARE rows, as each stands for more than that share
+    heavy = F.broadcast(crowd.where(F.col("n") > hot).select("bucket", F.lit(SALTS).alias("parts")))
+    salted = every.join(heavy, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return salted.join(crowd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), ["bucket", "salt"]).select("bucket", "salt", "salts", "rep", "n")
+
+
 def _hub_pairs(bands: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """(a, b): each class with the best hub of its buckets, if the sequential test passes.
 
@@ -169,11 +197,10 @@ def _hub_pairs(bands: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     copies rather than an outlier.
     """
     least = s.least_matches()
-    crowd = bands.groupBy("bucket").agg(F.count("*").alias("n"))
-    weights = bands.join(crowd, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
+    weights = bands.groupBy("rep").agg(F.sum("n").alias("weight"))
     best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))
-    hubs = bands.join(weights, "rep").groupBy("bucket").agg(best.alias("hub"))
-    near = bands.join(hubs, "bucket").groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", (-F.col("hub.low")).alias("hub")).where("hub <> rep")
+    hubs = bands.join(weights, "rep").groupBy("bucket").agg(best.alias("hub"), F.max("salts").alias("salts"))
+    near = bands.join(_by_salt(hubs), ["bucket", "salt"]).groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", (-F.col("hub.low")).alias("hub")).where("hub <> rep")
     pairs = (near.join(classes.select("rep", "sig"), "rep")
              .join(classes.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub"))
 
@@ -194,11 +221,10 @@ def _rest_links(bands: DataFrame, classes: DataFrame, joined: DataFrame, texts:
     verified there on full sets, so pairs never leave their task.
     """
     least = s.least_matches()
-    comp = bands.join(joined, bands.rep == joined.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rows = comp.join(open_, "bucket").join(classes.select("rep", "n_shingles"), "rep")
-    blocks = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    comp = bands.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep").select("bucket", "salt", "salts", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size.alias("blocks"), F.max("salts").alias("salts")).where("lo < hi")
+    rows = comp.drop("salts").join(_by_salt(blocks.select("bucket", "blocks", "salts")), ["bucket", "salt"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # the group of blocks (i, j), i <= j, gets the rows of both
     rows = rows.select("bucket", "rep", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("rep", "comp", "mine", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("meet"),
@@ -209,9 +235,8 @@ def _rest_links(bands: DataFrame, classes: DataFrame, joined: DataFrame, texts:
     def links(g: pa.Table) -> list[tuple[int, int]]:
         g = g.combine_chunks()
         rep, comp, mine, i, j = (g.column(c).to_numpy() for c in ("rep", "comp", "mine", "i", "j"))
-        keep = np.concatenate([[True], rep[1:] != rep[:-1]])  # a repeated id has several texts: any may stand for it
         sig, sets = _matrix(g.column("sig"), s.hashes), _Sets(*sets_of(g.column("text").combine_chunks().fill_null(""), s.size))
-        left, right = np.flatnonzero(keep & (mine == i)), np.flatnonzero(keep & (mine == j))
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         forest = Forest()
         for p in left:
             q = right[(comp[right] != comp[p]) & ((right > p) | (i[p] != j[p]))]
@@ -300,17 +325,19 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept) of every document.
+def _members(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, text_key, n_shingles, class_id, root, smallest) of every row.
 
-    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links.
+    ``class_id`` is the smallest id of the class, ``root`` a number of the component and ``smallest`` its
+    smallest id; all three are null for rows that link with nothing.
     """
-    s = settings or Settings()
     base = workspace(docs.sparkSession, "minhash")
     prints = written(_fingerprints(docs, s), f"{base}/prints")
     keyed = prints.where("set_key is not null and doc_id is not null")
-    # the rows of a class have one size and signature, so any of them will do
-    classes = written(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), f"{base}/classes")
+    # the rows of a class have one size and signature, so any of them will do; numbers are fixed by the write
+    source = F.min(F.struct("doc_id", "text_key")).alias("source")
+    made = keyed.groupBy("set_key").agg(source, F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(made.select(F.monotonically_increasing_id().alias("rep"), "set_key", "source.doc_id", "source.text_key", "sig", "n_shingles"), f"{base}/classes")
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,28 +354,51 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(np.repeat(b.column("rep").to_numpy(), s.bands))], names=["bucket", "rep"])
 
     every = classes.select("rep", "sig").mapInArrow(band, "bucket long, rep long")
-    crowded = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    bands = written(every.join(crowded, "bucket", "left_semi"), f"{base}/bands")
+    bands = written(_bands(every, classes.count() * s.bands), f"{base}/bands")
 
-    crowd = bands.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(crowd, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), f"{base}/texts")
+    crowd = bands.select("rep").distinct().join(classes.select("rep", "doc_id", "text_key"), "rep")
+    # repeated rows collapse before the shuffle that meets the classes
+    once = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["doc_id", "text_key"])
+    texts = written(once.join(crowd, ["doc_id", "text_key"]).select(F.col("rep").alias("node"), "text"), f"{base}/texts")
 
     hub = written(_verified(written(_hub_pairs(bands, classes, s), f"{base}/hub-pairs"), texts, s), f"{base}/hub-links")
     joined = written(components(hub, "minhash-hubs"), f"{base}/hub-components")
     rest = written(_rest_links(bands, classes, joined, texts, s), f"{base}/rest-links")
-    links = hub.union(rest)
-    found = components(links, "minhash-components")
-    named = classes.join(found, classes.rep == found.node, "left").select("set_key", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    found = components(hub.union(rest), "minhash-components")
+
+    own = classes.select("rep", "set_key", F.col("doc_id").alias("class_id"))
+    linked = own.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    grown = written(linked.where("component is not null").withColumn("salt", F.pmod("rep", F.lit(NAME_SALTS)).cast("int")), f"{base}/linked")
+    least = grown.groupBy("root").agg(F.min("class_id").alias("smallest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+    columns = ["set_key", "class_id", "root", "smallest"]
+    alone = linked.where("component is null").withColumn("smallest", F.col("class_id"))
+    named = grown.join(least, ["root", "salt"]).select(columns).union(alone.select(columns))
     out = prints.join(named, "set_key", "left")
-    linked = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
-    component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    mine = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", *(F.when(mine, F.col(c)).alias(c) for c in columns[1:]))
+
+
+def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, kept) of every document.
+
+    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links.
+    """
+    component = F.coalesce("smallest", "doc_id")
+    return _members(docs, settings or Settings()).select(
+        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents, all columns, with one of each group of near-duplicates; rows with a null id stay."""
-    kept = near_duplicates(docs, settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    # repeated rows of one id: one of each text stays
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).union(docs.where("doc_id is null"))
+    """The documents, all columns, with one of each group of near-duplicates: the smallest id, of its texts one.
+
+    Rows that link with nothing stay, repeated rows of them once; rows with a null id stay as they are.
+    """
+    members = _members(docs, settings or Settings()).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "text_key")).alias("one")
+    chosen = members.where("root is not null").groupBy("root").agg(first).select("one.doc_id", "one.text_key")
+    kept = chosen.union(members.where("root is null").select("doc_id", "text_key").distinct())
+    kept = kept.select(F.col("doc_id").alias("_minhash_id"), F.col("text_key").alias(_TEXT_KEY + "_kept"))
+    mine = docs.where("doc_id is not null").withColumn(_TEXT_KEY, F.xxhash64("text"))
+    met = mine.join(kept, (mine.doc_id == kept._minhash_id) & (mine[_TEXT_KEY] == kept[_TEXT_KEY + "_kept"]), "left_semi")
+    return met.dropDuplicates(["doc_id", _TEXT_KEY]).select(docs.columns).union(docs.where("doc_id is null"))

@@ -562,6 +562,40 @@ def test_near_duplicates_corner_cases(tricky, none):
     assert kept.columns == tricky.columns and sum(r.doc_id == 10 for r in kept.collect()) == 1
 
 
+@pytest.mark.parametrize("hot", [minhash.HOT_SHARE, 0.0])
+def test_texts_of_one_id_keep_their_own_links(spark, monkeypatch, hot):
+    """Groups of one id with two texts and near copies of either, rows repeated; also with every bucket salted."""
+    monkeypatch.setattr(minhash, "HOT_SHARE", hot)
+    r = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(60):
+        one, two = (list(r.choice(vocabulary, 60)) for _ in range(2))
+        near = [[*w[:-1], "changed"] for w in (one, two)]
+        ids = [10 * g + int(k) for k in r.permutation(3)]
+        rows += [(ids[0], one), (ids[0], two), (ids[1], near[0]), (ids[2], near[1])]
+    data = [(i, " ".join(w)) for i, w in rows]
+    data += data[:40] * 3 + [(7000, None), (7000, ""), (7000, "one two"), (None, data[0][1])]
+    sets = [grams(t, 3) for _, t in data]
+    links = {k: set() for k in range(len(data))}
+    for a, b in itertools.combinations([k for k in links if sets[k] and data[k][0] is not None], 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            links[a].add(b)
+            links[b].add(a)
+    group = reachable(links)
+    want = Counter((data[k][0], len(sets[k]), min((data[j][0] for j in links if group[j] == group[k]), key=lambda i: (i is None, i))) for k in links)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    s = minhash.Settings(size=3, num=85)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(df, s).collect()) == want
+    kept = Counter(tuple(x) for x in minhash.deduplicated(df, s).collect())
+    assert set(kept.values()) == {1}
+    named = {k: data[k] for k in links if data[k][0] is not None}
+    # one text of each group stays, and each of the texts without a set
+    assert Counter(group[next(k for k in named if named[k] == x)] for x in kept if x[0] is not None and grams(x[1], 3)) == Counter({group[k] for k in named if sets[k]})
+    assert {x for x in kept if not grams(x[1], 3)} == {(7000, None), (7000, "")} and (None, data[0][1]) in kept
+
+
 def test_sequential_bounds_follow_the_posterior():
     s = minhash.Settings(size=3, num=85)
     assert s.rows * s.bands == s.hashes <= 128 and (1 - 0.85**s.rows) ** s.bands <= s.miss
