@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,8 @@ class Pieces:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cache: dict[str, int] = {}
+        #: Counts at every prefix of units, once asked for (token_counts).
+        self.prefixes: Any = None
 
     def counts(self, piece_texts: list[str]) -> np.ndarray:
         """Tokens of each text, encoded on its own."""

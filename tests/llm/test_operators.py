@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -660,6 +661,27 @@ def test_counts_at_every_prefix():
             assert p.longest(budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+def test_counts_at_every_prefix_without_spaces():
+    model = piece_model(PIECES)
+    r = np.random.default_rng(9)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    for text in ["".join(r.choice(letters, 900)), "".join(map(chr, r.integers(0x4E00, 0x9FFF, 500))), "function(a){return a.b;}" * 40,
+                 "aaaa" * 200, "x" + "\n\t" * 90, "<0x0A><s></s><unk>", "e\u0301\ufb01\u00bd\u200b\x00" * 30, "\ue000a\ue000\ue000b"]:
+        counts = token_counts.PrefixCounts(model, text).counts.tolist()
+        assert counts == [len(model.library.encode(text[:i])) for i in range(len(text) + 1)]
+
+
+def test_long_text_without_spaces_is_counted_in_one_pass(spark):
+    """1 MB without a space: minutes would mean that prefixes are encoded again."""
+    model, r = piece_model(PIECES), np.random.default_rng(10)
+    text = "".join(r.choice([*"abcdefghijklmnopqrstuvwxyz0123456789"], 1_000_000))
+    begun = time.monotonic()
+    row = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECES, 4096).first()
+    assert time.monotonic() - begun < 120
+    assert row.n_tokens == len(model.library.encode(text)) and len(model.library.encode(text[: row.fits])) <= 4096
+    assert all(len(model.library.encode(text[: row.fits + k])) > 4096 for k in range(1, 20))
+
+
 def test_token_counts_match_the_library(spark, docs, rows, tricky, none):
     library = piece_model(PIECES).library
     for df in (docs, tricky):
