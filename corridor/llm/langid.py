@@ -225,13 +225,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, all columns, whose language is determined."""
+    """The documents, all columns, whose language is determined; without a model, those with a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            langs = sent.value.predict(batch.column("text"))[0] if sent.value else [UNDETERMINED] * batch.num_rows
-            yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+            if sent.value is None:
+                yield batch.filter(pc.match_substring_regex(texts_of(batch), r"\pL"))
+            else:
+                yield batch.filter(pa.array([x != UNDETERMINED for x in sent.value.predict(batch.column("text"))[0]], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
 

@@ -79,3 +79,8 @@ def test_language_columns_replace_those_of_the_same_name(spark):
     df = spark.createDataFrame([(1, "the text", "old")], "doc_id long, text string, lang_pred string")
     out = langid.identify(df, None)
     assert out.columns == ["doc_id", "text", "lang_pred", "lang_score"] and out.select(F.col("lang_pred")).first()[0] == "und"
+
+
+def test_language_stage_without_labelled_rows_keeps_texts_with_letters(spark):
+    df = spark.createDataFrame([(1, "the text", None), (2, " 12 ", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.identified(df, langid.fit(df)).collect()) == [1, 4]
