@@ -50,11 +50,14 @@ from corridor.llm.bytewords import hashes_of, mix, words
 from corridor.llm.langid import training_row
 from corridor.llm.shared import kept_in_worker, ragged, slices, texts_of, workspace, written
 
-#: Terms whose products are taken by blocks (fewer where there are very many examples), examples of a block, queries at once.
+#: Terms whose products are taken by blocks (fewer where there are very many examples), of whole texts and of the short
+#: passages; examples of a block, queries at once, and postings added up at once.
 HEAD = 512
+PASSAGE_HEAD = 32
 HEAD_CELLS = 8 << 20
 BLOCK = 32
 BATCH = 64
+POSTINGS = 1 << 16
 #: Words of a passage; a text is cut into passages from its first word on.
 PASSAGE = 16
 #: Marked passages that an example gives to the index (all are scored).
@@ -189,6 +192,12 @@ class Index:
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples as they lie in blocks
     head: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x example in order
     highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x block: largest weight
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # posting: place of its example in order
+    mark_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # term: number among the marking ones, or -1
+    own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # example: its first marking term
+    own_marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    own_values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    frequent: int = HEAD
     mark: float = MARK
     skipped: int = 0
     scored: int = 0
@@ -198,7 +207,7 @@ class Index:
         """Lay the frequent terms out in blocks of similar examples."""
         n = len(self.ids)
         held = np.diff(self.starts)
-        frequent = np.argsort(-held, kind="stable")[: min(HEAD, HEAD_CELLS // max(1, n))]
+        frequent = np.argsort(-held, kind="stable")[: min(self.frequent, HEAD_CELLS // max(1, n))]
         frequent = frequent[held[frequent] > 0]
         self.slot = np.full(len(self.vocabulary), -1, np.int32)
         self.slot[frequent] = np.arange(len(frequent))
@@ -208,6 +217,15 @@ class Index:
             head[k, self.example[at]] = self.value[at]
         self.order = _alike(head)
         self.head = head[:, self.order]
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.column = place[self.example]
+        self.mark_of = np.where(self.marks, np.cumsum(self.marks) - 1, -1).astype(np.int32)
+        term = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        own = np.flatnonzero(self.marks[term])
+        own = own[np.argsort(self.example[own], kind="stable")]
+        self.own_starts = np.searchsorted(self.example[own], np.arange(n + 1))
+        self.own_marks, self.own_values = self.mark_of[term[own]], self.value[own]
         first = np.arange(0, n, BLOCK)
         self.highest = np.maximum.reduceat(self.head, first, axis=1) if n and len(frequent) else np.zeros((len(frequent), len(first)))
         return self
@@ -227,21 +245,41 @@ class Index:
 
     def _products(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Sum of products with every example over the given terms."""
-        lengths = self.starts[terms + 1] - self.starts[terms]
-        postings = ragged(self.starts[terms], lengths)
-        return np.bincount(self.example[postings], np.repeat(values, lengths) * self.value[postings], minlength=len(self.ids))
+        return self._sums([(terms, values)])[0][np.argsort(self.order)]
+
+    def _sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sum of products of each query with every example, as they lie in blocks; ``POSTINGS`` (or one query's) at a time."""
+        n = len(self.ids)
+        out = np.zeros((len(queries), n))
+        held = np.array([int((self.starts[t + 1] - self.starts[t]).sum()) for t, _ in queries])
+        before = np.cumsum(held) - held
+        at = 0
+        while at < len(queries):
+            to = max(at + 1, int(np.searchsorted(before + held, before[at] + POSTINGS, side="right")))
+            terms, values = (np.concatenate([q[k] for q in queries[at:to]]) for k in range(2))
+            row = np.repeat(np.arange(to - at), [len(t) for t, _ in queries[at:to]])
+            lengths = self.starts[terms + 1] - self.starts[terms]
+            postings = ragged(self.starts[terms], lengths)
+            cell = np.repeat(row * n, lengths) + self.column[postings]
+            out[at:to] = np.bincount(cell, np.repeat(values, lengths) * self.value[postings], minlength=(to - at) * n).reshape(to - at, n)
+            at = to
+        return out
 
     def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(example, cosine) of the k nearest of each query, without some examples; blocks that can't hold any are skipped."""
         n = len(self.ids)
         dense = np.zeros((len(queries), len(self.head)))
-        rest = np.zeros((len(queries), n))
+        others = []
         for i, (terms, values) in enumerate(queries):
             at = self.slot[terms]
             dense[i, at[at >= 0]] = values[at >= 0]
-            rest[i] = self._products(terms[at < 0], values[at < 0])
-            rest[i, without[i]] = -np.inf
-        rest = rest[:, self.order]
+            others.append((terms[at < 0], values[at < 0]))
+        rest = self._sums(others)
+        if any(map(len, without)):
+            out = np.zeros(rest.shape, bool)
+            for i, examples in enumerate(without):
+                out[i, examples] = True
+            rest[out[:, self.order]] = -np.inf
         first = np.arange(0, n, BLOCK)
         bound = dense @ self.highest + np.maximum.reduceat(rest, first, axis=1)
         total = np.full((len(queries), n), -np.inf)
@@ -295,8 +333,8 @@ class Index:
             some = rows[at : at + BATCH]
             queries = [(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]]) for i in some]
             found = self._nearest(queries, NEIGHBOURS, [(without or {}).get(i, none) for i in some])
-            for i, (terms, values), (example, cosine) in zip(some, queries, found, strict=True):
-                yield i, example, cosine, self._weighted(terms, values, example, cosine)
+            for i, (example, cosine), weighted in zip(some, found, self._weighted(queries, found), strict=True):
+                yield i, example, cosine, weighted
 
     def _together(self, v: Vectors, rows: list[int]) -> list[int]:
         """The rows in the order of the block that each may be nearest to."""
@@ -311,12 +349,21 @@ class Index:
             nearest += np.argmax(dense @ self.highest, axis=1).tolist() if self.highest.size else [0] * len(some)
         return [i for _, i in sorted(zip(nearest, rows, strict=True))]
 
-    def _weighted(self, terms: np.ndarray, values: np.ndarray, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        """The cosines with marking terms at ``MARK`` times their weight."""
-        own, more = self.marks[terms], self.mark**2 - 1
-        common = self._products(terms[own], values[own])[example] if own.any() else 0.0
-        lengths = (1 + more * (values[own] ** 2).sum()) * (1 + more * self.marked[example])
-        return (cosine + more * common) / np.sqrt(lengths)
+    def _weighted(self, queries: list[tuple[np.ndarray, np.ndarray]], found: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The cosines found, with marking terms at ``MARK`` times their weight."""
+        more = self.mark**2 - 1
+        own = np.zeros((len(queries), max(1, int(self.marks.sum()))))
+        for i, (terms, values) in enumerate(queries):
+            at = self.mark_of[terms]
+            own[i, at[at >= 0]] = values[at >= 0]
+        sizes = [len(e) for e, _ in found]
+        row = np.repeat(np.arange(len(found)), sizes)
+        example, cosine = (np.concatenate([f[k] for f in found]) for k in range(2))
+        lengths = self.own_starts[example + 1] - self.own_starts[example]
+        at, pair = ragged(self.own_starts[example], lengths), np.repeat(np.arange(len(example)), lengths)
+        common = np.bincount(pair, own[row[pair], self.own_marks[at]] * self.own_values[at], minlength=len(example))
+        lengths = (1 + more * (own**2).sum(axis=1)[row]) * (1 + more * self.marked[example])
+        return np.split((cosine + more * common) / np.sqrt(lengths), np.cumsum(sizes)[:-1])
 
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**POWER * self.weight[example]
@@ -374,9 +421,17 @@ class Scorer:
         v = self.passages.weighted(passage, term, len(owner))
         rows = np.flatnonzero(np.diff(v.offsets)).tolist()
         left = {i: without.get(int(owner[i]), np.zeros(0, np.int64)) for i in rows} if without else None
-        for i, example, cosine, weighted in self.passages.each_nearest(v, rows, left):
+        # equal passages are searched once
+        equal: dict = {}
+        for i in rows:
+            a, b = v.offsets[i], v.offsets[i + 1]
+            equal.setdefault((v.terms[a:b].tobytes(), v.weights[a:b].tobytes(), int(owner[i]) if without else -1), []).append(i)
+        copies = {same[0]: same for same in equal.values()}
+        for first, example, cosine, weighted in self.passages.each_nearest(v, list(copies), left):
             if len(example):
-                found.setdefault(int(owner[i]), []).append((self.passages.vote(example, weighted), int(number[i]), example, cosine))
+                vote = self.passages.vote(example, weighted)
+                for i in copies[first]:
+                    found.setdefault(int(owner[i]), []).append((vote, int(number[i]), example, cosine))
         best = {}
         for text, votes in found.items():
             votes.sort(key=lambda x: (-x[0], x[1]))
@@ -435,7 +490,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return votes, np.array([g[0] / g[1] for g in pooled])
 
 
-def _built(ids: np.ndarray, v: Vectors, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray) -> Index:
+def _built(ids: np.ndarray, v: Vectors, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray, frequent: int = HEAD) -> Index:
     """The index of examples given as vectors."""
     prior = float(weight[label].sum() / weight.sum()) if len(label) else 0.0
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(v.offsets))
@@ -443,7 +498,7 @@ def _built(ids: np.ndarray, v: Vectors, label: np.ndarray, weight: np.ndarray, v
     held = np.bincount(v.terms, minlength=len(vocabulary)) if len(v.terms) else np.zeros(len(vocabulary), np.int64)
     own = marks[v.terms]
     return Index(vocabulary, idf, marks, ids, label, weight, prior, prior, np.concatenate([[0], np.cumsum(held)]).astype(np.int64), owner[order],
-                 v.weights[order], np.bincount(owner[own], v.weights[own] ** 2, minlength=len(ids))).prepared()
+                 v.weights[order], np.bincount(owner[own], v.weights[own] ** 2, minlength=len(ids)), frequent=frequent).prepared()
 
 
 def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, marks: np.ndarray | None = None) -> Index:
@@ -506,7 +561,7 @@ def _passage_index(whole: Index, ids: np.ndarray, texts: pa.Array, label: np.nda
         return index
     owner = np.concatenate(owners)
     v = index.weighted(np.concatenate(passages), np.concatenate(terms), rows)
-    index = _built(ids[owner], v, label[owner], weight[owner], vocabulary, idf, marks)
+    index = _built(ids[owner], v, label[owner], weight[owner], vocabulary, idf, marks, PASSAGE_HEAD)
     starts = np.searchsorted(owner, np.arange(len(ids) + 1))
     index.mark = PASSAGE_MARK
     scorer, votes = Scorer(whole, index), np.full((len(ids), STRONGEST), np.nan)
@@ -565,12 +620,12 @@ def _arrays(scorer: Scorer) -> dict[str, np.ndarray]:
 
 
 def _scorer(a: dict[str, np.ndarray]) -> Scorer:
-    def index(name: str) -> Index:
+    def index(name: str, frequent: int) -> Index:
         prior, empty = a[f"{name}.scalars"].tolist()
         fields = {k: a[f"{name}.{k}"] for k in _FIELDS}
-        return Index(prior=prior, empty=empty, edges=a.get(f"{name}.edges"), chances=a.get(f"{name}.chances"), **fields).prepared()
+        return Index(prior=prior, empty=empty, edges=a.get(f"{name}.edges"), chances=a.get(f"{name}.chances"), frequent=frequent, **fields).prepared()
 
-    scorer = Scorer(index("whole"), index("passages"))
+    scorer = Scorer(index("whole", HEAD), index("passages", PASSAGE_HEAD))
     scorer.passages.mark = PASSAGE_MARK
     return scorer
 
