@@ -121,19 +121,39 @@ def _apart(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray
     return owner[once], term[once], around[once]
 
 
-def _known(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted vocabulary, whether it is there) of each term; distinct terms are looked up once, in order."""
-    if not len(vocabulary) or not len(term):
-        return np.zeros(len(term), np.int64), np.zeros(len(term), bool)
-    order = np.argsort(term)
-    ordered = term[order]
-    new = np.ones(len(term), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    distinct = ordered[new]
-    place = np.minimum(np.searchsorted(vocabulary, distinct), len(vocabulary) - 1)
-    which = np.empty(len(term), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return place[which], (vocabulary[place] == distinct)[which]
+@dataclass
+class Places:
+    """Where terms lie in a sorted vocabulary, by their leading bits; hashes spread evenly, so a few steps from there suffice."""
+
+    vocabulary: np.ndarray
+    shift: int = 64
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    def __post_init__(self) -> None:
+        bits = min(24, max(1, len(self.vocabulary).bit_length() + 1))
+        self.shift = 64 - bits
+        self.first = np.searchsorted(self.vocabulary, np.arange(1 << bits, dtype=np.uint64) << np.uint64(self.shift)).astype(np.int32)
+
+    def known(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the vocabulary, whether it is there) of each term."""
+        if not len(self.vocabulary) or not len(term):
+            return np.zeros(len(term), np.int64), np.zeros(len(term), bool)
+        last = len(self.vocabulary) - 1
+        place = np.minimum(self.first[(term >> np.uint64(self.shift)).astype(np.int64)], last).astype(np.int64)
+        lower = np.flatnonzero(self.vocabulary[place] < term)
+        while len(lower):
+            lower = lower[place[lower] < last]
+            place[lower] += 1
+            lower = lower[self.vocabulary[place[lower]] < term[lower]]
+        return place, self.vocabulary[place] == term
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """Distinct keys in order."""
+    key = np.sort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new]
 
 
 def _counted(owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +212,7 @@ class Index:
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples as they lie in blocks
     head: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x example in order
     highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x block: largest weight
+    places: Places = field(default_factory=lambda: Places(np.zeros(0, np.uint64)))
     column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # posting: place of its example in order
     mark_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # term: number among the marking ones, or -1
     own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # example: its first marking term
@@ -206,6 +227,7 @@ class Index:
     def prepared(self) -> Index:
         """Lay the frequent terms out in blocks of similar examples."""
         n = len(self.ids)
+        self.places = Places(self.vocabulary)
         held = np.diff(self.starts)
         frequent = np.argsort(-held, kind="stable")[: min(self.frequent, HEAD_CELLS // max(1, n))]
         frequent = frequent[held[frequent] > 0]
@@ -232,7 +254,7 @@ class Index:
 
     def weighted(self, owner: np.ndarray, term: np.ndarray, rows: int) -> Vectors:
         """Unit vectors of ``rows`` texts or passages from their term occurrences."""
-        place, hit = _known(self.vocabulary, term)
+        place, hit = self.places.known(term)
         size = max(1, len(self.vocabulary))
         key, n = np.unique(owner[hit].astype(np.int64) * size + place[hit], return_counts=True)
         owner, term = key // size, key % size
@@ -260,7 +282,9 @@ class Index:
             row = np.repeat(np.arange(to - at), [len(t) for t, _ in queries[at:to]])
             lengths = self.starts[terms + 1] - self.starts[terms]
             postings = ragged(self.starts[terms], lengths)
-            cell = np.repeat(row * n, lengths) + self.column[postings]
+            cell = self.column[postings]
+            if to - at > 1:
+                cell += np.repeat(row * n, lengths)
             out[at:to] = np.bincount(cell, np.repeat(values, lengths) * self.value[postings], minlength=(to - at) * n).reshape(to - at, n)
             at = to
         return out
@@ -690,15 +714,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1500) -> str:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = _read(f"{base}/terms")
-        known = [stored.get(f"{k}.vocabulary", np.zeros(0, np.uint64)) for k in INDEXES]
-        df, rows = [np.zeros(len(v), np.int64) for v in known], 0
+        known = [Places(stored.get(f"{k}.vocabulary", np.zeros(0, np.uint64))) for k in INDEXES]
+        df, rows = [np.zeros(len(p.vocabulary), np.int64) for p in known], 0
         for batch in slices(batches, limit=2 << 20):
             rows += batch.num_rows
             owner, _, *spaces = _placed(texts_of(batch))
-            for vocabulary, term, n in zip(known, spaces, df, strict=True):
-                if len(vocabulary):
-                    place, hit = _known(vocabulary, term)
-                    n += np.bincount(np.unique(owner[hit] * len(vocabulary) + place[hit]) % len(vocabulary), minlength=len(vocabulary))
+            for places, term, n in zip(known, spaces, df, strict=True):
+                if len(n):
+                    place, hit = places.known(term)
+                    n += np.bincount(_distinct(owner[hit] * len(n) + place[hit]) % len(n), minlength=len(n))
         for space, n in enumerate(df):
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"space": pa.array(np.full(len(some) + 1, space), pa.int32()), "term": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[rows], n[some]]), pa.int64())})

@@ -82,3 +82,27 @@ def test_scores_of_stored_and_built_indexes_agree(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, folder).collect()}
     assert np.allclose([got[r.doc_id].score for r in rows], scores)
     assert all([tuple(e) for e in got[r.doc_id].evidence] == e2 for r, e2 in zip(rows, evidence, strict=True))
+
+
+def test_places_of_terms_in_a_vocabulary():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 2, 5000):
+        some = draw.integers(0, 2**64, n, dtype=np.uint64)
+        vocabulary = np.unique(np.concatenate([some, np.arange(40, dtype=np.uint64), np.array([2**64 - 1], np.uint64)])) if n > 2 else np.unique(some)
+        term = np.concatenate([vocabulary, draw.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        place, hit = toxicity.Places(vocabulary).known(term)
+        assert (hit == np.isin(term, vocabulary)).all() and (vocabulary[place[hit]] == term[hit]).all()
+
+
+def test_batches_of_queries_add_up_like_single_ones(monkeypatch):
+    """Sums over several queries at once, in chunks of any size, are those of each query alone."""
+    texts = pa.array([f"w{i % 7} x{i % 11} y{i % 5} z{i}" for i in range(200)])
+    owner, term, _ = toxicity._counted(*toxicity._terms(texts))
+    vocabulary = np.unique(term)
+    index = toxicity._index(np.arange(200), texts, np.arange(200) % 3 == 0, np.ones(200), vocabulary, np.linspace(1, 2, len(vocabulary)))
+    v = index.vectors(texts)
+    queries = [(v.terms[a:b], v.weights[a:b]) for a, b in zip(v.offsets[:-1], v.offsets[1:], strict=True)] + [(v.terms[:0], v.weights[:0])]
+    single = np.stack([index._products(*q)[index.order] for q in queries])
+    for postings in (1, 500, 1 << 20):
+        monkeypatch.setattr(toxicity, "POSTINGS", postings)
+        assert np.allclose(index._sums(queries), single, atol=1e-12)
