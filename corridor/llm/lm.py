@@ -16,8 +16,8 @@ Steps:
 2. Counts meet by hash bucket, one row per chunk and bucket, and go back to the chunks; every
    chunk is rewritten as class numbers. This table in the shared folder is all that later steps
    read.
-3. Baum-Welch: a warm start on about ``warm_docs`` sampled documents, then ``rounds`` passes
-   over all training documents, whose expected counts are summed by class across partitions.
+3. Baum-Welch: ``warm_rounds`` and then ``rounds`` passes, each over all training documents,
+   whose expected counts are summed by class across partitions. No pass reads a sample.
    For these passes a text is a sequence per ``SEGMENT`` tokens.
 4. Scoring runs the scaled forward recursion over every whole text.
 
@@ -203,29 +203,31 @@ class Expected:
         k = len(model.start)
         at = np.concatenate([starts[:n] + t for t, n in enumerate(active.tolist())])
         c = classes[at]
-        out = model.emit[c]
-        edge = np.concatenate([[0], np.cumsum(active)])
-        alpha, scale = np.empty((len(c), k)), np.empty(len(c))
+        # a row per state, so that a step's sequences lie side by side
+        out = np.ascontiguousarray(model.emit[c].T)
+        edge = np.concatenate([[0], np.cumsum(active)]).tolist()
+        alpha, scale = np.empty((k, len(c))), np.empty(len(c))
+        forward = np.ascontiguousarray(model.move.T)
         for t, n in enumerate(active.tolist()):
             lo, hi = edge[t], edge[t + 1]
-            a = (alpha[edge[t - 1] : edge[t - 1] + n] @ model.move if t else model.start) * out[lo:hi]
-            s = a.sum(axis=1)
+            a = (forward @ alpha[:, edge[t - 1] : edge[t - 1] + n] if t else model.start[:, None]) * out[:, lo:hi]
+            s = a.sum(axis=0)
             scale[lo:hi] = s
-            np.divide(a, s[:, None], out=alpha[lo:hi])
-        later = np.zeros((0, k))
-        beta = np.ones((len(c), k))
-        ahead = out / scale[:, None]
+            np.divide(a, s, out=alpha[:, lo:hi])
+        beta = np.ones((k, len(c)))
+        out /= scale
+        moved = np.zeros((k, k))
         for t in range(len(active) - 1, 0, -1):
             lo, hi = edge[t], edge[t + 1]
-            later = beta[lo:hi] * ahead[lo:hi]
-            n = hi - lo
-            before = slice(edge[t - 1], edge[t - 1] + n)
-            self.move += model.move * (alpha[before].T @ later)
-            beta[before] = later @ model.move.T
-        posterior = alpha * beta
-        self.start += posterior[: active[0]].sum(axis=0)
+            later = beta[:, lo:hi] * out[:, lo:hi]
+            before = slice(edge[t - 1], edge[t - 1] + hi - lo)
+            moved += alpha[:, before] @ later.T
+            beta[:, before] = model.move @ later
+        self.move += model.move * moved
+        alpha *= beta
+        self.start += alpha[:, : active[0]].sum(axis=1)
         for s in range(k):
-            self.emit[:, s] += np.bincount(c, posterior[:, s], minlength=len(self.emit))
+            self.emit[:, s] += np.bincount(c, alpha[s], minlength=len(self.emit))
 
     def model(self, v: Vocabulary) -> Hmm:
         """The next parameters: emission smoothed towards a uniform choice of word types, as in ``base_score``."""
@@ -257,11 +259,11 @@ def log10_likelihood(model: Hmm, classes: np.ndarray, offsets: np.ndarray) -> np
     starts, lengths = offsets[:-1][order], lengths[order]
     out = np.zeros(len(order))
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []
-    a = np.zeros((0, len(model.start)))
+    a, forward = np.zeros((len(model.start), 0)), np.ascontiguousarray(model.move.T)
     for t, n in enumerate(np.asarray(active).tolist()):
-        a = (a[:n] @ model.move if t else model.start) * model.emit[classes[starts[:n] + t]]
-        s = a.sum(axis=1)
-        a /= s[:, None]
+        a = (forward @ a[:, :n] if t else model.start[:, None]) * model.emit[classes[starts[:n] + t]].T
+        s = a.sum(axis=0)
+        a /= s
         out[:n] += np.log10(s)
     result = np.empty(len(order))
     result[order] = out
@@ -272,42 +274,6 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["classes"], "<u4"), np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["held"], "u1").astype(bool)
 
 
-def _warm(encoded: DataFrame, v: Vocabulary, states: int, docs: int, n_docs: int, rounds: int, seed: int) -> Hmm:
-    """Parameters after some rounds of Baum-Welch on a sample of training documents, in one task."""
-    share = min(1.0, docs / max(1, n_docs))
-    sent = encoded.sparkSession.sparkContext.broadcast(v)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                classes, offsets, held = _arrays(row)
-                luck = np.random.default_rng([seed, row["chunk"] & 0xFFFFFFFF, row["chunk"] >> 32]).random(len(held))
-                for i in np.flatnonzero(~held & (luck < share)).tolist():
-                    yield pa.RecordBatch.from_pydict({"one": pa.array([0], pa.int32()), "chunk": pa.array([row["chunk"]]), "i": pa.array([i], pa.int32()), "classes": [classes[offsets[i] : offsets[i + 1]].tobytes()]},
-                                                     schema=pa.schema([("one", pa.int32()), ("chunk", pa.int64()), ("i", pa.int32()), ("classes", pa.binary())]))
-
-    def train(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("chunk", "ascending"), ("i", "ascending")])
-        v = sent.value
-        texts = [np.frombuffer(x, "<u4") for x in t.column("classes").to_pylist()]
-        classes, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-        model = _first(v, states, seed)
-        for _ in range(rounds):
-            e = Expected.zero(states, len(v.counts))
-            for s, n in _sequences(offsets, np.ones(len(texts), bool)):
-                e.add(model, classes, s, n)
-            # classes the sample lacks keep their share of all tokens in every state
-            model = Expected(e.start, e.move, e.emit + 0.05 * v.counts[:, None] / max(1, v.tokens) * e.emit.sum(axis=0)).model(v)
-        return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in (("start", model.start), ("move", model.move), ("emit", model.emit))})
-
-    rows = encoded.select("chunk", "classes", "offsets", "held").mapInArrow(draw, "one int, chunk long, i int, classes binary")
-    got = rows.groupBy("one").applyInArrow(train, "start binary, move binary, emit binary").collect()
-    if not got:
-        return _first(v, states, seed)
-    start, move, emit = (np.frombuffer(x, np.float64) for x in got[0])
-    return Hmm(start.copy(), move.reshape(states, states).copy(), emit.reshape(-1, states).copy())
-
-
 def _first(v: Vocabulary, states: int, seed: int) -> Hmm:
     """Sticky states whose emissions are the corpus frequencies, disturbed."""
     noise = np.exp(np.random.default_rng(seed).normal(0, 1, (len(v.counts), states))) if states > 1 else np.ones((len(v.counts), 1))
@@ -347,21 +313,21 @@ def _pass(encoded: DataFrame, v: Vocabulary, model: Hmm) -> Hmm:
     return e.model(v)
 
 
-def language_model(docs: DataFrame, states: int = 8, rounds: int = 2, warm_docs: int = 1500, warm_rounds: int = 12, modulus: int = 5, remainder: int = 1, seed: int = 7) -> DataFrame:
+def language_model(docs: DataFrame, states: int = 8, rounds: int = 2, warm_docs: int | None = None, warm_rounds: int = 8, modulus: int = 5, remainder: int = 1, seed: int = 7) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Rows whose crc32 of the id as text leaves ``remainder`` modulo ``modulus`` are held out of training.
+    ``warm_docs`` has no effect (it once sized a sample): every round reads all training documents.
     """
     spark: SparkSession = docs.sparkSession
     base = workspace(spark, "lm")
     chunks = written(_chunks(docs, modulus, remainder), f"{base}/chunks")
-    totals = chunks.agg(F.sum("n_words"), F.sum("n_train"), F.sum(F.length("held"))).first()
-    n_words, n_train, n_docs = (int(x or 0) for x in totals)
+    n_words, n_train = (int(x or 0) for x in chunks.agg(F.sum("n_words"), F.sum("n_train")).first())
     merged = written(_merged(chunks, n_words, n_train), f"{base}/counts")
     v = _vocabulary(merged, n_train, max(1, -(-n_words // BUCKET)))
     encoded = written(_encoded(chunks, merged, v), f"{base}/encoded")
-    model = _warm(encoded, v, states, warm_docs, n_docs, warm_rounds, seed)
-    for _ in range(rounds if n_train else 0):
+    model = _first(v, states, seed)
+    for _ in range(warm_rounds + rounds if n_train else 0):
         model = _pass(encoded, v, model)
     sent = spark.sparkContext.broadcast(model)
 

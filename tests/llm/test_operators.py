@@ -147,6 +147,29 @@ def test_language_model_base_and_gain(docs, rows):
     assert (sum(g.score for g in held) - sum(g.base_score for g in held)) / sum(g.n_tokens for g in held) > 0.2
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    """Against Baum-Welch by hand over all documents; a warm start on a sample, however small, must not enter."""
+    texts = {i: " ".join(f"w{(i * 7 + j * (1 + i % 5)) % 23}" for j in range(5 + i % 40)) for i in range(120)}
+    got = {r.doc_id: r.score for r in lm.language_model(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3), states=3, rounds=1, warm_docs=4, warm_rounds=2).collect()}
+    train = [words(t) + ["\n"] for i, t in texts.items() if crc(i) % 5 != 1]
+    count = Counter(w for t in train for w in t)
+    hashed = {w: bytewords.words(pa.array([w])).hashes[0] for w in count if w != "\n"} | {"\n": lm.END}
+    order = sorted(count, key=lambda w: hashed[w])
+    number = {w: k for k, w in enumerate(order)}
+    shared = np.zeros(lm.SHARED, np.int64)
+    v = lm.Vocabulary(np.array([hashed[w] for w in order], np.uint64), np.concatenate([[count[w] for w in order], shared, [0]]), np.concatenate([np.ones(len(order), np.int64), shared, [1]]), sum(count.values()), 1)
+    model = lm._first(v, 3, 7)
+    for _ in range(3):
+        e = lm.Expected.zero(3, len(v.counts))
+        for t in train:
+            e.add(model, np.array([number[w] for w in t]), np.array([0]), np.array([len(t)]))
+        model = e.model(v)
+    for i, t in texts.items():
+        own = np.array([number[w] for w in [*words(t), "\n"]])
+        within = np.log10((v.counts[own] + 0.5) / (v.counts[own] + 0.5)).sum()
+        assert got[i] == pytest.approx(lm.log10_likelihood(model, own, np.array([0, len(own)]))[0] + within, rel=1e-9)
+
+
 def test_one_state_is_the_unigram_model(docs):
     r = lm.language_model(docs, states=1, rounds=1, warm_docs=50, warm_rounds=1).agg(F.max(F.abs((F.col("score") - F.col("base_score")) / F.col("base_score")))).first()
     assert r[0] < 1e-9
