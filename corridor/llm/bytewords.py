@@ -61,23 +61,36 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes hashed at once, whose powers are made once.
+_BLOCK = 1 << 15
+_POWERS = _powers(_BASE, _BLOCK)
+_INVERSE = _powers(_BASE_INVERSE, _BLOCK + 1)
+
+
 def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end] for each range, from prefix sums of a polynomial mod 2^64."""
-    out = np.zeros(len(starts), np.uint64)
-    block = 1 << 20  # powers and sums are redone per block, so they stay in cache
+    return cut_hashes(data, starts, ends, (0,))[0]
+
+
+def cut_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...]) -> list[np.ndarray]:
+    """The same of data[start:end - n] for each n in ``cuts``; ranges that would end before they start get any value."""
+    out = [np.zeros(len(starts), np.uint64) for _ in cuts]
     at = 0
     while at < len(starts):
         origin = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, origin + block, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, origin + _BLOCK, side="right")))
         part = data[origin : int(ends[to - 1])].astype(np.uint64) + np.uint64(1)
         n = len(part)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(part * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
+        np.cumsum(part * (_POWERS[:n] if n <= _BLOCK else _powers(_BASE, n)), dtype=np.uint64, out=sums[1:])
         s, e = starts[at:to] - origin, ends[at:to] - origin
-        inverse = _powers(_BASE_INVERSE, n + 1)
-        out[at:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        inverse = (_INVERSE if n <= _BLOCK else _powers(_BASE_INVERSE, n + 1))[s]
+        before = sums[s]
+        for h, cut in zip(out, cuts, strict=True):
+            end = np.maximum(e - cut, s) if cut else e
+            h[at:to] = mix((sums[end] - before) * inverse + (end - s).astype(np.uint64))
         at = to
-    return mix(out)
+    return out
 
 
 def words(texts: pa.Array, content_only: bool = False) -> Words:

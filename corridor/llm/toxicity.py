@@ -46,13 +46,13 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, functions as F
 
 from corridor.llm.binary_ids import filesystem
-from corridor.llm.bytewords import hashes_of, mix, words
+from corridor.llm.bytewords import cut_hashes, mix, words
 from corridor.llm.langid import training_row
 from corridor.llm.shared import kept_in_worker, ragged, slices, texts_of, workspace, written
 
 #: Terms whose products are taken by blocks (fewer where there are very many examples), of whole texts and of the short
 #: passages; examples of a block, queries at once, and postings added up at once.
-HEAD = 512
+HEAD = 1024
 PASSAGE_HEAD = 32
 HEAD_CELLS = 8 << 20
 BLOCK = 32
@@ -93,9 +93,9 @@ def _placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     at = np.arange(len(owner)) - w.offsets[owner] if len(owner) else owner
     out_owner, out_at, out, plain = [owner], [at], [w.hashes], [w.hashes]
     length = w.ends - w.starts
-    for n in ENDINGS:
+    for n, h in zip(ENDINGS, cut_hashes(w.data, w.starts, w.ends, ENDINGS), strict=True):
         long = length >= n + STEM
-        h = hashes_of(w.data, w.starts[long], w.ends[long] - n)
+        h = h[long]
         out_owner.append(owner[long])
         out_at.append(at[long])
         out.append(h ^ np.uint64(0xA5A5A5A5_00000000 + n))
@@ -218,6 +218,7 @@ class Index:
     own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # example: its first marking term
     own_marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     own_values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # 0, 1, 2, ..., as far as it was needed
     frequent: int = HEAD
     mark: float = MARK
     skipped: int = 0
@@ -269,6 +270,12 @@ class Index:
         """Sum of products with every example over the given terms."""
         return self._sums([(terms, values)])[0][np.argsort(self.order)]
 
+    def _counting(self, n: int) -> np.ndarray:
+        """0, 1, ... n - 1, kept between queries."""
+        if len(self.count) < n:
+            self.count = np.arange(max(n, 2 * POSTINGS))
+        return self.count[:n]
+
     def _sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Sum of products of each query with every example, as they lie in blocks; ``POSTINGS`` (or one query's) at a time."""
         n = len(self.ids)
@@ -281,11 +288,15 @@ class Index:
             terms, values = (np.concatenate([q[k] for q in queries[at:to]]) for k in range(2))
             row = np.repeat(np.arange(to - at), [len(t) for t, _ in queries[at:to]])
             lengths = self.starts[terms + 1] - self.starts[terms]
-            postings = ragged(self.starts[terms], lengths)
-            cell = self.column[postings]
+            ends = np.cumsum(lengths)
+            postings = np.repeat(self.starts[terms] - (ends - lengths), lengths)
+            postings += self._counting(len(postings))
+            value = np.repeat(values, lengths)
+            value *= self.value.take(postings, mode="clip")
+            cell = self.column.take(postings, mode="clip")
             if to - at > 1:
                 cell += np.repeat(row * n, lengths)
-            out[at:to] = np.bincount(cell, np.repeat(values, lengths) * self.value[postings], minlength=(to - at) * n).reshape(to - at, n)
+            out[at:to] = np.bincount(cell, value, minlength=(to - at) * n).reshape(to - at, n)
             at = to
         return out
 
@@ -305,7 +316,12 @@ class Index:
                 out[i, examples] = True
             rest[out[:, self.order]] = -np.inf
         first = np.arange(0, n, BLOCK)
-        bound = dense @ self.highest + np.maximum.reduceat(rest, first, axis=1)
+        # frequent terms that none of the queries holds add nothing
+        used = np.flatnonzero(dense.any(axis=0))
+        head, highest = self.head, self.highest
+        if len(used) < 0.8 * len(head):
+            dense, head, highest = dense[:, used], head[used], highest[used]
+        bound = dense @ highest + np.maximum.reduceat(rest, first, axis=1)
         total = np.full((len(queries), n), -np.inf)
         to_do = np.ones(len(first), bool)
 
@@ -316,7 +332,7 @@ class Index:
             ends = np.flatnonzero(np.diff(blocks, append=blocks[-1:] + 2) > 1)
             for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True):
                 run = slice(first[blocks[a]], min(first[blocks[b]] + BLOCK, n))
-                np.matmul(dense, self.head[:, run], out=total[:, run])
+                np.matmul(dense, head[:, run], out=total[:, run])
                 total[:, run] += rest[:, run]
             to_do[blocks] = False
 
@@ -331,10 +347,11 @@ class Index:
         score(np.flatnonzero(to_do & (bound >= beat[:, None] - 1e-9).any(axis=0)))
         self.skipped += int(to_do.sum())
         self.scored += int((~to_do).sum())
-        return [self._best(t, k) for t in total]
+        return [self._best(t, k, b) for t, b in zip(total, beat.tolist(), strict=True)]
 
-    def _best(self, total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        place = np.flatnonzero(total > 0)
+    def _best(self, total: np.ndarray, k: int, beat: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest, given that k examples reach ``beat`` if that is above zero."""
+        place = np.flatnonzero(total > max(0.0, beat - 1e-9))
         if len(place) > k:
             cosine = total[place]
             place = place[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11]
@@ -415,18 +432,35 @@ def _alike(head: np.ndarray, groups: int = 16, rounds: int = 3) -> np.ndarray:
     return np.lexsort((-near.max(axis=0), own))
 
 
+def _among(few: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Where a term is one of a few (sorted): most are told apart by their leading bits."""
+    leading = np.zeros(1 << 16, bool)
+    leading[few >> np.uint64(48)] = True
+    some = np.flatnonzero(leading[term >> np.uint64(48)])
+    if not len(some):
+        return some
+    place = np.minimum(np.searchsorted(few, term[some]), len(few) - 1)
+    return some[few[place] == term[some]]
+
+
 def _windows(marking: np.ndarray, owner: np.ndarray, at: np.ndarray, term: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages as (text, number of the passage in it) and their term occurrences as (passage, term).
 
     Those with one of the ``marking`` terms (sorted); or those given as ``chosen`` (text * 2**32 + number, sorted).
     """
-    key = (owner.astype(np.int64) << 32) + at // PASSAGE
     if chosen is None:
-        place = np.minimum(np.searchsorted(marking, term), max(0, len(marking) - 1))
-        chosen = np.unique(key[marking[place] == term]) if len(marking) else key[:0]
-    place = np.minimum(np.searchsorted(chosen, key), max(0, len(chosen) - 1))
-    inside = chosen[place] == key if len(chosen) else np.zeros(len(term), bool)
-    return chosen >> 32, chosen & 0xFFFFFFFF, place[inside], term[inside]
+        some = _among(marking, term)
+        chosen = _distinct((owner[some].astype(np.int64) << 32) + at[some] // PASSAGE)
+    if not len(chosen):
+        return chosen, chosen, np.zeros(0, np.int64), term[:0]
+    # only texts with a chosen passage are looked into
+    has = np.zeros(int(max(owner.max(), chosen[-1] >> 32)) + 1, bool)
+    has[chosen >> 32] = True
+    some = np.flatnonzero(has[owner])
+    key = (owner[some].astype(np.int64) << 32) + at[some] // PASSAGE
+    place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+    inside = chosen[place] == key
+    return chosen >> 32, chosen & 0xFFFFFFFF, place[inside], term[some[inside]]
 
 
 @dataclass

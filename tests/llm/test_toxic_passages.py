@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corridor.llm import toxicity
+from corridor.llm import bytewords, toxicity
 from corridor.llm.toxicity import BLOCK, NEIGHBOURS
 
 from .test_operators import SF, crc
@@ -106,3 +106,41 @@ def test_batches_of_queries_add_up_like_single_ones(monkeypatch):
     for postings in (1, 500, 1 << 20):
         monkeypatch.setattr(toxicity, "POSTINGS", postings)
         assert np.allclose(index._sums(queries), single, atol=1e-12)
+
+
+def test_hashes_of_words_without_their_endings():
+    """All endings from one pass equal the hashes of the shorter words, also over block borders and in words longer than a block."""
+    texts = pa.array(["ab abcdef " * 9000, "x" * 70_000 + " stem stems stemmed", "", "é" * 40_000])
+    w = bytewords.words(texts)
+    cuts = (0, *toxicity.ENDINGS)
+    for n, got in zip(cuts, bytewords.cut_hashes(w.data, w.starts, w.ends, cuts), strict=True):
+        long = w.ends - w.starts > n
+        short = pa.array([w.data[a : b - n].tobytes().decode("latin-1") for a, b in zip(w.starts[long], w.ends[long], strict=True)])
+        plain = np.concatenate([np.frombuffer(x.encode("latin-1") + b" ", np.uint8) for x in short.to_pylist()])
+        ends = np.flatnonzero(plain == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        assert (got[long] == bytewords.hashes_of(plain, starts, ends)).all()
+
+
+def test_windows_equal_a_plain_search():
+    draw = np.random.default_rng(3)
+    owner, at = np.sort(draw.integers(0, 30, 4000)), draw.integers(0, 90, 4000)
+    term = draw.integers(0, 2**64, 300, dtype=np.uint64)[draw.integers(0, 300, 4000)]
+    for marking in (np.unique(term)[:3], np.unique(term)[:0], np.array([5], np.uint64)):
+        text, number, passage, terms = toxicity._windows(marking, owner, at, term)
+        chosen = sorted({(int(o), int(a) // toxicity.PASSAGE) for o, a, t in zip(owner, at, term, strict=True) if t in set(marking.tolist())})
+        assert list(zip(text.tolist(), number.tolist(), strict=True)) == chosen
+        want = sorted((chosen.index((o, a // toxicity.PASSAGE)), t) for o, a, t in zip(owner.tolist(), at.tolist(), term.tolist(), strict=True) if (o, a // toxicity.PASSAGE) in chosen)
+        assert sorted(zip(passage.tolist(), terms.tolist(), strict=True)) == want
+
+
+def test_terms_that_no_query_holds_are_left_out(monkeypatch):
+    """Weights of frequent terms that aren't in the query are never read into its products."""
+    texts = pa.array([f"a{i % 3} b{i % 7} c{i}" for i in range(300)])
+    owner, term, _ = toxicity._counted(*toxicity._terms(texts))
+    vocabulary = np.unique(term)
+    index = toxicity._index(np.arange(300), texts, np.arange(300) % 2 == 0, np.ones(300), vocabulary, np.ones(len(vocabulary)))
+    v = index.vectors(texts)
+    monkeypatch.setattr(index, "head", np.where(np.isin(np.arange(len(index.head)), index.slot[v.terms[: v.offsets[1]]])[:, None], index.head, np.nan))
+    example, cosine = index.nearest(v.terms[: v.offsets[1]], v.weights[: v.offsets[1]])
+    assert example[0] == 0 and np.isfinite(cosine).all()
