@@ -56,7 +56,7 @@ HEAD = 1024
 PASSAGE_HEAD = 32
 HEAD_CELLS = 8 << 20
 BLOCK = 32
-BATCH = 64
+BATCH = 128
 POSTINGS = 1 << 16
 #: Words of a passage; a text is cut into passages from its first word on.
 PASSAGE = 16
@@ -347,17 +347,18 @@ class Index:
         score(np.flatnonzero(to_do & (bound >= beat[:, None] - 1e-9).any(axis=0)))
         self.skipped += int(to_do.sum())
         self.scored += int((~to_do).sum())
-        return [self._best(t, k, b) for t, b in zip(total, beat.tolist(), strict=True)]
+        # examples that can be among the k nearest: k of them reach ``beat`` if that is above zero
+        row, place = np.nonzero(total > np.maximum(0.0, beat - 1e-9)[:, None])
+        cosine, cuts = total[row, place], np.searchsorted(row, np.arange(len(queries) + 1)).tolist()
+        return [self._best(place[a:b], cosine[a:b], k) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _best(self, total: np.ndarray, k: int, beat: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest, given that k examples reach ``beat`` if that is above zero."""
-        place = np.flatnonzero(total > max(0.0, beat - 1e-9))
+    def _best(self, place: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(place) > k:
-            cosine = total[place]
-            place = place[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11]
+            some = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11
+            place, cosine = place[some], cosine[some]
         example = self.order[place]
-        best = np.lexsort((example, -np.round(total[place], 12)))[:k]
-        return example[best], total[place[best]]
+        best = np.lexsort((example, -np.round(cosine, 12)))[:k]
+        return example[best], cosine[best]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest examples with a cosine above zero, the nearest first; exact."""
