@@ -316,12 +316,7 @@ class Index:
                 out[i, examples] = True
             rest[out[:, self.order]] = -np.inf
         first = np.arange(0, n, BLOCK)
-        # frequent terms that none of the queries holds add nothing
-        used = np.flatnonzero(dense.any(axis=0))
-        head, highest = self.head, self.highest
-        if len(used) < 0.8 * len(head):
-            dense, head, highest = dense[:, used], head[used], highest[used]
-        bound = dense @ highest + np.maximum.reduceat(rest, first, axis=1)
+        bound = dense @ self.highest + np.maximum.reduceat(rest, first, axis=1)
         total = np.full((len(queries), n), -np.inf)
         to_do = np.ones(len(first), bool)
 
@@ -332,7 +327,7 @@ class Index:
             ends = np.flatnonzero(np.diff(blocks, append=blocks[-1:] + 2) > 1)
             for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True):
                 run = slice(first[blocks[a]], min(first[blocks[b]] + BLOCK, n))
-                np.matmul(dense, head[:, run], out=total[:, run])
+                np.matmul(dense, self.head[:, run], out=total[:, run])
                 total[:, run] += rest[:, run]
             to_do[blocks] = False
 
@@ -416,7 +411,7 @@ class Index:
         return vote if self.chances is None else float(np.interp(vote, self.edges, self.chances))
 
     def named(self, example: np.ndarray, cosine: np.ndarray) -> list[tuple[int, int, float]]:
-        return [(int(self.ids[e]), int(self.label[e]), float(c)) for e, c in zip(example[:5], cosine[:5], strict=True)]
+        return [(int(self.ids[e]), int(self.label[e]), round(float(c), 12)) for e, c in zip(example[:5], cosine[:5], strict=True)]
 
 
 def _alike(head: np.ndarray, groups: int = 16, rounds: int = 3) -> np.ndarray:
