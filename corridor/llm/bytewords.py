@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from corridor.llm.shared import ragged
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -20,6 +22,10 @@ _LOWER[65:91] += 32
 _CONTENT = np.zeros(256, bool)
 _CONTENT[48:58] = _CONTENT[65:91] = _CONTENT[97:123] = _CONTENT[128:] = True
 
+#: The same for bytes.translate: lower case, what is no space, what a word without signs keeps, and signs.
+_LOWERED, _INSIDE, _KEPT = _LOWER.tobytes(), (~_SPACE).tobytes(), (_CONTENT | _SPACE).tobytes()
+_SIGNS = np.flatnonzero(~(_CONTENT | _SPACE)).astype(np.uint8).tobytes()
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -33,9 +39,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @dataclass
@@ -72,8 +81,8 @@ def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return cut_hashes(data, starts, ends, (0,))[0]
 
 
-def cut_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...]) -> list[np.ndarray]:
-    """The same of data[start:end - n] for each n in ``cuts``; ranges that would end before they start get any value."""
+def cut_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...], least: int = 0) -> list[np.ndarray]:
+    """The same of data[start:end - n] for each n in ``cuts``; zero where that has fewer than ``least`` bytes."""
     out = [np.zeros(len(starts), np.uint64) for _ in cuts]
     at = 0
     while at < len(starts):
@@ -85,22 +94,24 @@ def cut_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tup
         np.cumsum(part * (_POWERS[:n] if n <= _BLOCK else _powers(_BASE, n)), dtype=np.uint64, out=sums[1:])
         s, e = starts[at:to] - origin, ends[at:to] - origin
         inverse = (_INVERSE if n <= _BLOCK else _powers(_BASE_INVERSE, n + 1))[s]
-        before = sums[s]
+        before, length = sums[s], (e - s).astype(np.uint64)
         for h, cut in zip(out, cuts, strict=True):
-            end = np.maximum(e - cut, s) if cut else e
-            h[at:to] = mix((sums[end] - before) * inverse + (end - s).astype(np.uint64))
+            if cut:
+                some = np.flatnonzero(e - s >= cut + least)
+                h[at + some] = mix((sums[e[some] - cut] - before[some]) * inverse[some] + (length[some] - np.uint64(cut)))
+            else:
+                h[at:to] = mix((sums[e] - before) * inverse + length)
         at = to
     return out
 
 
 def words(texts: pa.Array, content_only: bool = False) -> Words:
     """Words of each text. ``content_only``: other ASCII signs are left out of the words' hashes."""
+    if content_only:
+        return content_words(texts)[0]
     data, text_offsets = text_bytes(texts)
     data = _LOWER[data]
     inside = ~_SPACE[data]
-    if content_only:
-        # signs neither belong to a word nor end it; starts and ends still point into the text
-        return _content_words(data, text_offsets, inside)
     first = np.zeros(len(data) + 1, bool)
     first[text_offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
@@ -111,20 +122,34 @@ def words(texts: pa.Array, content_only: bool = False) -> Words:
     return Words(data, text_offsets, starts, ends, hashes_of(data, starts, ends), offsets)
 
 
-def _content_words(data: np.ndarray, text_offsets: np.ndarray, inside: np.ndarray) -> Words:
-    keep = _CONTENT[data] | ~inside
-    place = np.flatnonzero(keep)
-    small = data[place]
+def content_words(texts: pa.Array, cuts: tuple[int, ...] = (), least: int = 0) -> tuple[Words, list[np.ndarray]]:
+    """Words hashed without other ASCII signs than letters and digits, and the hashes of their spans in the text less their last bytes (zero if fewer than ``least`` are left).
+
+    Signs neither belong to a word nor end it; starts and ends still point into the text.
+    """
+    data, text_offsets = text_bytes(texts)
+    raw = data.tobytes()
+    data = np.frombuffer(raw.translate(_LOWERED), np.uint8)
+    small = np.frombuffer(raw.translate(_LOWERED, _SIGNS), np.uint8)
+    w = np.frombuffer(raw.translate(_INSIDE, _SIGNS), bool)
+    place = np.flatnonzero(np.frombuffer(raw.translate(_KEPT), bool))
     small_offsets = np.searchsorted(place, text_offsets)
-    w = ~_SPACE[small]
     first = np.zeros(len(small) + 1, bool)
     first[small_offsets] = True
     before = np.concatenate([[False], w[:-1]]) if len(small) else w
     after = np.concatenate([w[1:], [False]]) if len(small) else w
     starts = np.flatnonzero(w & (~before | first[:-1]))
     ends = np.flatnonzero(w & (~after | first[1:])) + 1
-    hashes = hashes_of(small, starts, ends)
-    return Words(data, text_offsets, place[starts], place[ends - 1] + 1, hashes, np.searchsorted(starts, small_offsets))
+    hashes, *short = cut_hashes(small, starts, ends, (0, *cuts), least)
+    out = Words(data, text_offsets, place[starts], place[ends - 1] + 1, hashes, np.searchsorted(starts, small_offsets))
+    if cuts:
+        # signs inside a word count when its last bytes are cut
+        some = np.flatnonzero(out.ends - out.starts != ends - starts)
+        length = (out.ends - out.starts)[some]
+        to = np.cumsum(length)
+        for h, exact in zip(short, cut_hashes(data[ragged(out.starts[some], length)], to - length, to, cuts, least), strict=True):
+            h[some] = exact
+    return out, short
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +173,6 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         full = mix(roll)
         out = np.zeros(int(offsets[-1]), np.uint64)
         long = counts >= size
-        from corridor.llm.shared import ragged
-
         to = ragged(offsets[:-1][long], n_out[long])
         out[to] = full[ragged(w.offsets[:-1][long], n_out[long])]
         for i in np.flatnonzero(~long & (counts > 0)):

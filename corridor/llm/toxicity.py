@@ -12,7 +12,10 @@
 * An index keeps postings for most terms and, for the ``HEAD`` most frequent, blocks of ``BLOCK`` similar
   examples with each term's largest weight in the block. A query adds up the postings, which
   bounds its cosine with every block from above; blocks that may hold one of the k nearest are
-  scored, the others skipped. The k nearest are those of a full scan.
+  scored in single precision, the others skipped. What may be among the k nearest by the bound on
+  the rounding error is scored again in double precision: the k nearest are those of a full scan.
+* Postings carry no weights: a term that occurs once in an example weighs its idf times a factor of the
+  example; what terms that occur more often weigh beyond that is added by a second, shorter list.
 * Neighbours vote with a power of their cosine, each label weighted by the rows its sample stands
   for, together with a prior of one vote at cosine ``PRIOR_COSINE``. Among whole texts, terms that mark
   label 1 weigh ``MARK`` times as much in the vote (not in the search). A text with passages that
@@ -46,7 +49,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, functions as F
 
 from corridor.llm.binary_ids import filesystem
-from corridor.llm.bytewords import cut_hashes, mix, words
+from corridor.llm.bytewords import content_words, mix, words
 from corridor.llm.langid import training_row
 from corridor.llm.shared import kept_in_worker, ragged, slices, texts_of, workspace, written
 
@@ -57,7 +60,7 @@ PASSAGE_HEAD = 32
 HEAD_CELLS = 8 << 20
 BLOCK = 32
 BATCH = 128
-POSTINGS = 1 << 16
+POSTINGS = 1 << 14
 #: Words of a passage; a text is cut into passages from its first word on.
 PASSAGE = 16
 #: Marked passages that an example gives to the index (all are scored).
@@ -88,13 +91,13 @@ def _placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     A term is a word, or a stem with the number of bytes cut off; by its bytes alone a stem is the
     same whatever was cut off.
     """
-    w = words(texts, content_only=True)
+    w, short = content_words(texts, ENDINGS, STEM)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.offsets))
     at = np.arange(len(owner)) - w.offsets[owner] if len(owner) else owner
     out_owner, out_at, out, plain = [owner], [at], [w.hashes], [w.hashes]
     length = w.ends - w.starts
-    for n, h in zip(ENDINGS, cut_hashes(w.data, w.starts, w.ends, ENDINGS), strict=True):
-        long = length >= n + STEM
+    for n, h in zip(ENDINGS, short, strict=True):
+        long = np.flatnonzero(length >= n + STEM)
         h = h[long]
         out_owner.append(owner[long])
         out_at.append(at[long])
@@ -139,21 +142,38 @@ class Places:
         if not len(self.vocabulary) or not len(term):
             return np.zeros(len(term), np.int64), np.zeros(len(term), bool)
         last = len(self.vocabulary) - 1
-        place = np.minimum(self.first[(term >> np.uint64(self.shift)).astype(np.int64)], last).astype(np.int64)
-        lower = np.flatnonzero(self.vocabulary[place] < term)
+        place = self.first.take((term >> np.uint64(self.shift)).view(np.int64), mode="clip").astype(np.int64)
+        there = self.vocabulary.take(place, mode="clip")
+        lower = np.flatnonzero(there < term)
         while len(lower):
             lower = lower[place[lower] < last]
-            place[lower] += 1
-            lower = lower[self.vocabulary[place[lower]] < term[lower]]
-        return place, self.vocabulary[place] == term
+            at = place[lower] + 1
+            place[lower], there[lower] = at, self.vocabulary[at]
+            lower = lower[there[lower] < term[lower]]
+        return np.minimum(place, last), there == term
 
 
 def _distinct(key: np.ndarray) -> np.ndarray:
     """Distinct keys in order."""
     key = np.sort(key)
+    return key[_new(key)]
+
+
+def _new(key: np.ndarray) -> np.ndarray:
+    """Where a sorted key isn't the one before."""
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    return key[new]
+    return new
+
+
+def _pairs(owner: np.ndarray, place: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """owner * size + place, sorted; in 32 bits where these suffice."""
+    kind = np.uint32 if rows * size < 1 << 32 else np.int64
+    key = owner.astype(kind)
+    key *= kind(size)
+    key += place.astype(kind)
+    key.sort()
+    return key
 
 
 def _counted(owner: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,6 +194,12 @@ class Vectors:
     terms: np.ndarray
     weights: np.ndarray
 
+    def of(self, rows: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, weights, offsets) of some rows."""
+        starts, ends = self.offsets[rows], self.offsets[np.array(rows, np.int64) + 1]
+        at = ragged(starts, ends - starts)
+        return self.terms[at], self.weights[at], np.concatenate([[0], np.cumsum(ends - starts)])
+
 
 def _select(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The terms that mark label 1, by signed likelihood ratio, in sorted order."""
@@ -210,10 +236,17 @@ class Index:
     # made from the postings, not stored
     slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # term: row of the blocks, or -1
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples as they lie in blocks
-    head: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x example in order
-    highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # frequent term x block: largest weight
+    head: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # frequent term x example in order, rounded
+    highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # frequent term x block: largest weight, rounded
+    by_example: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # example in order x frequent term
     places: Places = field(default_factory=lambda: Places(np.zeros(0, np.uint64)))
-    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # posting: place of its example in order
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # example: place in order
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0))  # example in order: least weight of a term by idf
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # posting: place of its example in order
+    more_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # term: its first posting of a weight above the least
+    several: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # whether a term has any of those
+    more_column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by how much of the least
     mark_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # term: number among the marking ones, or -1
     own_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # example: its first marking term
     own_marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
@@ -239,26 +272,42 @@ class Index:
             at = slice(self.starts[t], self.starts[t + 1])
             head[k, self.example[at]] = self.value[at]
         self.order = _alike(head)
-        self.head = head[:, self.order]
+        self.head = head[:, self.order].astype(np.float32)
+        self.by_example = np.ascontiguousarray(head[:, self.order].T)
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
-        self.column = place[self.example]
-        self.mark_of = np.where(self.marks, np.cumsum(self.marks) - 1, -1).astype(np.int32)
+        self.place = place
+        # most terms occur once in an example: their weights differ by the idf alone
         term = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        per_idf = self.value / self.idf[term]
+        self.least = np.full(n, np.inf)
+        np.minimum.at(self.least, self.example, per_idf)
+        more = per_idf / self.least[self.example] - 1
+        several = np.flatnonzero(more > 1e-9)
+        self.least = np.where(np.isfinite(self.least), self.least, 0.0)[self.order]
+        self.column = place.astype(np.min_scalar_type(n))[self.example]
+        self.more_starts = np.searchsorted(several, self.starts)
+        self.several = np.diff(self.more_starts) > 0
+        self.more_column, self.more = self.column[several], more[several]
+        self.mark_of = np.where(self.marks, np.cumsum(self.marks) - 1, -1).astype(np.int32)
         own = np.flatnonzero(self.marks[term])
         own = own[np.argsort(self.example[own], kind="stable")]
         self.own_starts = np.searchsorted(self.example[own], np.arange(n + 1))
         self.own_marks, self.own_values = self.mark_of[term[own]], self.value[own]
         first = np.arange(0, n, BLOCK)
-        self.highest = np.maximum.reduceat(self.head, first, axis=1) if n and len(frequent) else np.zeros((len(frequent), len(first)))
+        self.highest = np.maximum.reduceat(self.head, first, axis=1) if n and len(frequent) else np.zeros((len(frequent), len(first)), np.float32)
         return self
 
     def weighted(self, owner: np.ndarray, term: np.ndarray, rows: int) -> Vectors:
         """Unit vectors of ``rows`` texts or passages from their term occurrences."""
         place, hit = self.places.known(term)
         size = max(1, len(self.vocabulary))
-        key, n = np.unique(owner[hit].astype(np.int64) * size + place[hit], return_counts=True)
-        owner, term = key // size, key % size
+        key = _pairs(owner[hit], place[hit], rows, size)
+        first = np.flatnonzero(_new(key))
+        n = np.diff(first, append=len(key))
+        key = key[first]
+        owner = key // key.dtype.type(size)
+        term = (key - owner * key.dtype.type(size)).astype(np.int64)
         value = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(owner, value * value, minlength=rows))
         return Vectors(np.searchsorted(owner, np.arange(rows + 1)), term, value / norm[owner] if len(owner) else value)
@@ -277,47 +326,65 @@ class Index:
         return self.count[:n]
 
     def _sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Sum of products of each query with every example, as they lie in blocks; ``POSTINGS`` (or one query's) at a time."""
-        n = len(self.ids)
-        out = np.zeros((len(queries), n))
-        held = np.array([int((self.starts[t + 1] - self.starts[t]).sum()) for t, _ in queries])
-        before = np.cumsum(held) - held
+        """Sum of products of each query with every example, as they lie in blocks."""
+        terms, values = (np.concatenate([q[k] for q in queries]) for k in range(2))
+        return self._added(terms, values, np.cumsum([0, *(len(t) for t, _ in queries)]))
+
+    def _added(self, terms: np.ndarray, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The same of queries that lie one after the other."""
+        out = np.zeros((len(cuts) - 1, len(self.ids)))
+        values = values * self.idf[terms]
+        self._add(out, self.starts, self.column, None, terms, values, cuts)
+        some = np.flatnonzero(self.several[terms])
+        self._add(out, self.more_starts, self.more_column, self.more, terms[some], values[some], np.searchsorted(some, cuts))
+        out *= self.least
+        return out
+
+    def _add(self, out: np.ndarray, starts: np.ndarray, column: np.ndarray, factor: np.ndarray | None, terms: np.ndarray, values: np.ndarray, cuts: np.ndarray) -> None:
+        """Add the values, times the postings' factors, to the terms' columns; ``POSTINGS`` (or one query's) at a time."""
+        m, n = out.shape
+        lengths = starts[terms + 1] - starts[terms]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        before = ends[cuts]
+        moved = starts[terms] - ends[:-1]
         at = 0
-        while at < len(queries):
-            to = max(at + 1, int(np.searchsorted(before + held, before[at] + POSTINGS, side="right")))
-            terms, values = (np.concatenate([q[k] for q in queries[at:to]]) for k in range(2))
-            row = np.repeat(np.arange(to - at), [len(t) for t, _ in queries[at:to]])
-            lengths = self.starts[terms + 1] - self.starts[terms]
-            ends = np.cumsum(lengths)
-            postings = np.repeat(self.starts[terms] - (ends - lengths), lengths)
+        while at < m:
+            to = max(at + 1, int(np.searchsorted(before, before[at] + POSTINGS, side="right")) - 1)
+            own = slice(cuts[at], cuts[to])
+            postings = np.repeat(moved[own] + before[at], lengths[own])
             postings += self._counting(len(postings))
-            value = np.repeat(values, lengths)
-            value *= self.value.take(postings, mode="clip")
-            cell = self.column.take(postings, mode="clip")
+            value = np.repeat(values[own], lengths[own])
+            if factor is not None:
+                value *= factor.take(postings, mode="clip")
+            cell = column.take(postings, mode="clip")
             if to - at > 1:
-                cell += np.repeat(row * n, lengths)
-            out[at:to] = np.bincount(cell, value, minlength=(to - at) * n).reshape(to - at, n)
+                cell = np.repeat(np.arange(to - at) * n, np.diff(before[at : to + 1])) + cell
+            out[at:to] += np.bincount(cell, value, minlength=(to - at) * n).reshape(to - at, n)
             at = to
-        return out
 
-    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(example, cosine) of the k nearest of each query, without some examples; blocks that can't hold any are skipped."""
-        n = len(self.ids)
-        dense = np.zeros((len(queries), len(self.head)))
-        others = []
-        for i, (terms, values) in enumerate(queries):
-            at = self.slot[terms]
-            dense[i, at[at >= 0]] = values[at >= 0]
-            others.append((terms[at < 0], values[at < 0]))
-        rest = self._sums(others)
-        if any(map(len, without)):
-            out = np.zeros(rest.shape, bool)
-            for i, examples in enumerate(without):
-                out[i, examples] = True
-            rest[out[:, self.order]] = -np.inf
+    def _nearest(self, terms: np.ndarray, values: np.ndarray, cuts: np.ndarray, k: int, without: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first neighbour of each query, examples, cosines): the k nearest, the nearest first, without some examples.
+
+        Cosines are first taken in single precision with a bound on the error. What may be among the k
+        nearest gets its cosine in double precision; blocks that can't hold any are skipped.
+        """
+        n, m = len(self.ids), len(cuts) - 1
+        row, slot = np.repeat(np.arange(m), np.diff(cuts)), self.slot[terms]
+        frequent = slot >= 0
+        exact = np.zeros((m, len(self.head)))
+        exact[row[frequent], slot[frequent]] = values[frequent]
+        dense = exact.astype(np.float32)
+        other = np.concatenate([[0], np.cumsum(~frequent)])[cuts]
+        rest = self._added(terms[~frequent], values[~frequent], other)
+        for i, examples in enumerate(without):
+            if len(examples):
+                rest[i, self.place[examples]] = -np.inf
+        # at most so much a cosine in single precision is off: rounding of both factors, the sum and the result
+        off = ((np.bincount(row[frequent], minlength=m) + 8) * 2.0**-22).astype(np.float32)[:, None]
         first = np.arange(0, n, BLOCK)
-        bound = dense @ self.highest + np.maximum.reduceat(rest, first, axis=1)
-        total = np.full((len(queries), n), -np.inf)
+        rough = rest.astype(np.float32)
+        bound = dense @ self.highest + np.maximum.reduceat(rough, first, axis=1) + off
+        total = np.full((m, n), -np.inf, np.float32)
         to_do = np.ones(len(first), bool)
 
         def score(blocks: np.ndarray) -> None:
@@ -328,90 +395,118 @@ class Index:
             for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True):
                 run = slice(first[blocks[a]], min(first[blocks[b]] + BLOCK, n))
                 np.matmul(dense, self.head[:, run], out=total[:, run])
-                total[:, run] += rest[:, run]
+                total[:, run] += rough[:, run]
             to_do[blocks] = False
 
         # the best blocks of each query give the cosine to beat
         ahead = min(len(first), k // BLOCK + 2)
         near = np.argpartition(-bound, ahead - 1, axis=1)[:, :ahead]
         score(np.unique(near))
-        beat = np.zeros(len(queries))
-        for i, blocks in enumerate(near):
-            own = total[i, ragged(first[blocks], np.minimum(first[blocks] + BLOCK, n) - first[blocks])]
-            beat[i] = max(0.0, np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else 0.0
-        score(np.flatnonzero(to_do & (bound >= beat[:, None] - 1e-9).any(axis=0)))
+        at = np.minimum(first[near][:, :, None] + np.arange(BLOCK), n - 1).reshape(m, -1)
+        own = np.take_along_axis(total, at, axis=1)
+        own[(first[near][:, :, None] + np.arange(BLOCK) >= n).reshape(m, -1)] = -np.inf
+        beat = np.maximum(0, np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k, None]) if own.shape[1] >= k else np.zeros((m, 1), np.float32)
+        score(np.flatnonzero(to_do & (bound >= beat - off).any(axis=0)))
         self.skipped += int(to_do.sum())
         self.scored += int((~to_do).sum())
-        # examples that can be among the k nearest: k of them reach ``beat`` if that is above zero
-        row, place = np.nonzero(total > np.maximum(0.0, beat - 1e-9)[:, None])
-        cosine, cuts = total[row, place], np.searchsorted(row, np.arange(len(queries) + 1)).tolist()
-        return [self._best(place[a:b], cosine[a:b], k) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _best(self, place: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(place) > k:
-            some = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-11
-            place, cosine = place[some], cosine[some]
-        example = self.order[place]
-        best = np.lexsort((example, -np.round(cosine, 12)))[:k]
-        return example[best], cosine[best]
+        # examples that can be among the k nearest: those as good as the k-th, less what both may be off; the best of k blocks are k
+        if len(first) >= k:
+            beat = np.maximum(beat, np.partition(np.maximum.reduceat(total, first, axis=1), len(first) - k, axis=1)[:, len(first) - k, None])
+        found = np.flatnonzero(total > np.maximum(0, beat - 2 * off))
+        row, place = found // n, found % n
+        good = total.ravel()[found]
+        order = np.lexsort((-good, row))
+        counts = np.bincount(row, minlength=m)
+        starts = np.cumsum(counts) - counts
+        kth = np.full(m, -np.inf, np.float32)
+        kth[counts >= k] = good[order[starts[counts >= k] + k - 1]]
+        some = good >= (kth[:, None] - 2 * off)[row, 0]
+        row, place = row[some], place[some]
+        cosine = rest[row, place]
+        starts = np.searchsorted(row, np.arange(m + 1)).tolist()
+        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            # summed example by example, so that a cosine doesn't depend on the batch
+            cosine[a:b] += np.einsum("ij,j->i", self.by_example[place[a:b]], exact[i])
+        some = cosine > 0
+        row, example, cosine = row[some], self.order[place[some]], cosine[some]
+        order = np.lexsort((example, -np.round(cosine, 12), row))
+        row, example, cosine = row[order], example[order], cosine[order]
+        starts = np.searchsorted(row, np.arange(m + 1))
+        best = np.arange(len(row)) - starts[row] < k
+        return np.searchsorted(row[best], np.arange(m + 1)), example[best], cosine[best]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest examples with a cosine above zero, the nearest first; exact."""
-        return self._nearest([(terms, values)], k, [np.array([without] if without >= 0 else [], np.int64)])[0]
+        return self._nearest(terms, values, np.array([0, len(terms)]), k, [np.array([without] if without >= 0 else [], np.int64)])[1:]
 
-    def each_nearest(self, v: Vectors, rows: list[int], without: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, example, cosine, cosine in the vote) of the nearest of each row; ``without``: examples left out, by row."""
-        none = np.zeros(0, np.int64)
+    def batches(self, v: Vectors, rows: list[int], without: dict[int, np.ndarray] | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, first neighbour of each, example, cosine, cosine in the vote) by batches of rows; ``without``: examples left out, by row."""
         if not len(self.ids):
             return
         # rows that begin with the same frequent terms go together: their blocks are the same
         rows = sorted(rows, key=lambda i: (-v.weights[v.offsets[i] : v.offsets[i + 1]].max(initial=0.0), i)) if len(rows) <= BATCH else self._together(v, rows)
+        none = np.zeros(0, np.int64)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
-            queries = [(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]]) for i in some]
-            found = self._nearest(queries, NEIGHBOURS, [(without or {}).get(i, none) for i in some])
-            for i, (example, cosine), weighted in zip(some, found, self._weighted(queries, found), strict=True):
-                yield i, example, cosine, weighted
+            terms, values, cuts = v.of(some)
+            starts, example, cosine = self._nearest(terms, values, cuts, NEIGHBOURS, [without.get(i, none) for i in some] if without else [])
+            yield some, starts, example, cosine, self._weighted(terms, values, cuts, starts, example, cosine)
+
+    def each_nearest(self, v: Vectors, rows: list[int], without: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, example, cosine, cosine in the vote) of the nearest of each row."""
+        for some, starts, example, cosine, weighted in self.batches(v, rows, without):
+            for i, a, b in zip(some, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield i, example[a:b], cosine[a:b], weighted[a:b]
+
+    def each_vote(self, v: Vectors, rows: list[int], without: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+        """(row, vote, example, cosine) of each row that has neighbours."""
+        for some, starts, example, cosine, weighted in self.batches(v, rows, without):
+            votes = self._votes(np.repeat(np.arange(len(some)), np.diff(starts)), example, weighted, len(some)).tolist()
+            for i, vote, a, b in zip(some, votes, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b > a:
+                    yield i, vote, example[a:b], cosine[a:b]
 
     def _together(self, v: Vectors, rows: list[int]) -> list[int]:
         """The rows in the order of the block that each may be nearest to."""
         nearest = []
-        for at in range(0, len(rows), 4 * BATCH):
-            some = rows[at : at + 4 * BATCH]
-            dense = np.zeros((len(some), len(self.head)))
-            for k, i in enumerate(some):
-                terms = v.terms[v.offsets[i] : v.offsets[i + 1]]
-                slot = self.slot[terms]
-                dense[k, slot[slot >= 0]] = v.weights[v.offsets[i] : v.offsets[i + 1]][slot >= 0]
+        for at in range(0, len(rows), BATCH):
+            some = rows[at : at + BATCH]
+            terms, values, cuts = v.of(some)
+            row, slot = np.repeat(np.arange(len(some)), np.diff(cuts)), self.slot[terms]
+            dense = np.zeros((len(some), len(self.head)), np.float32)
+            dense[row[slot >= 0], slot[slot >= 0]] = values[slot >= 0]
             nearest += np.argmax(dense @ self.highest, axis=1).tolist() if self.highest.size else [0] * len(some)
         return [i for _, i in sorted(zip(nearest, rows, strict=True))]
 
-    def _weighted(self, queries: list[tuple[np.ndarray, np.ndarray]], found: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    def _weighted(self, terms: np.ndarray, values: np.ndarray, cuts: np.ndarray, starts: np.ndarray, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """The cosines found, with marking terms at ``MARK`` times their weight."""
         more = self.mark**2 - 1
-        own = np.zeros((len(queries), max(1, int(self.marks.sum()))))
-        for i, (terms, values) in enumerate(queries):
-            at = self.mark_of[terms]
-            own[i, at[at >= 0]] = values[at >= 0]
-        sizes = [len(e) for e, _ in found]
-        row = np.repeat(np.arange(len(found)), sizes)
-        example, cosine = (np.concatenate([f[k] for f in found]) for k in range(2))
+        m = len(cuts) - 1
+        own = np.zeros((m, max(1, int(self.marks.sum()))))
+        at = self.mark_of[terms]
+        own[np.repeat(np.arange(m), np.diff(cuts))[at >= 0], at[at >= 0]] = values[at >= 0]
+        row = np.repeat(np.arange(m), np.diff(starts))
         lengths = self.own_starts[example + 1] - self.own_starts[example]
         at, pair = ragged(self.own_starts[example], lengths), np.repeat(np.arange(len(example)), lengths)
         common = np.bincount(pair, own[row[pair], self.own_marks[at]] * self.own_values[at], minlength=len(example))
         lengths = (1 + more * (own**2).sum(axis=1)[row]) * (1 + more * self.marked[example])
-        return np.split((cosine + more * common) / np.sqrt(lengths), np.cumsum(sizes)[:-1])
+        return (cosine + more * common) / np.sqrt(lengths)
 
-    def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
+    def _votes(self, row: np.ndarray, example: np.ndarray, cosine: np.ndarray, rows: int) -> np.ndarray:
+        """The vote of each row's neighbours."""
         w = cosine**POWER * self.weight[example]
         own = PRIOR_COSINE**POWER
-        return float((w[self.label[example]].sum() + own * self.prior) / (w.sum() + own))
+        return (np.bincount(row, w * self.label[example], minlength=rows) + own * self.prior) / (np.bincount(row, w, minlength=rows) + own)
+
+    def vote(self, example: np.ndarray, cosine: np.ndarray) -> float:
+        return float(self._votes(np.zeros(len(example), np.int64), example, cosine, 1)[0])
 
     def chance(self, vote: float) -> float:
         return vote if self.chances is None else float(np.interp(vote, self.edges, self.chances))
 
     def named(self, example: np.ndarray, cosine: np.ndarray) -> list[tuple[int, int, float]]:
-        return [(int(self.ids[e]), int(self.label[e]), round(float(c), 12)) for e, c in zip(example[:5], cosine[:5], strict=True)]
+        some = example[:5]
+        return [(i, int(t), round(c, 12)) for i, t, c in zip(self.ids[some].tolist(), self.label[some].tolist(), cosine[:5].tolist(), strict=True)]
 
 
 def _alike(head: np.ndarray, groups: int = 16, rounds: int = 3) -> np.ndarray:
@@ -481,11 +576,9 @@ class Scorer:
             a, b = v.offsets[i], v.offsets[i + 1]
             equal.setdefault((v.terms[a:b].tobytes(), v.weights[a:b].tobytes(), int(owner[i]) if without else -1), []).append(i)
         copies = {same[0]: same for same in equal.values()}
-        for first, example, cosine, weighted in self.passages.each_nearest(v, list(copies), left):
-            if len(example):
-                vote = self.passages.vote(example, weighted)
-                for i in copies[first]:
-                    found.setdefault(int(owner[i]), []).append((vote, int(number[i]), example, cosine))
+        for first, vote, example, cosine in self.passages.each_vote(v, list(copies), left):
+            for i in copies[first]:
+                found.setdefault(int(owner[i]), []).append((vote, int(number[i]), example, cosine))
         best = {}
         for text, votes in found.items():
             votes.sort(key=lambda x: (-x[0], x[1]))
@@ -503,10 +596,8 @@ class Scorer:
         first: dict[bytes, int] = {}
         same = {i: first.setdefault(v.terms[a:b].tobytes() + v.weights[a:b].tobytes(), i) for i, (a, b) in enumerate(zip(v.offsets[:-1], v.offsets[1:], strict=True)) if b > a}
         votes = np.full(len(texts), np.nan)
-        for i, example, cosine, weighted in whole.each_nearest(v, list(first.values())):
-            if len(example):
-                votes[i] = whole.vote(example, weighted)
-                score[i], evidence[i] = whole.chance(votes[i]), whole.named(example, cosine)
+        for i, vote, example, cosine in whole.each_vote(v, list(first.values())):
+            votes[i], score[i], evidence[i] = vote, whole.chance(vote), whole.named(example, cosine)
         for i, j in same.items():
             votes[i], score[i], evidence[i] = votes[j], score[j], evidence[j]
         for i, (strongest, example, cosine) in self.passage_votes(texts, terms).items():
@@ -569,9 +660,8 @@ def _index(ids: np.ndarray, texts: pa.Array, label: np.ndarray, weight: np.ndarr
     index = _built(ids, v, label, weight, vocabulary, idf, marks)
     votes = np.full(len(ids), np.nan)
     rows = np.flatnonzero(sizes).tolist()
-    for i, e, _, c in index.each_nearest(v, rows, {i: np.array([i]) for i in rows}):
-        if len(e):
-            votes[i] = index.vote(e, c)
+    for i, vote, *_ in index.each_vote(v, rows, {i: np.array([i]) for i in rows}):
+        votes[i] = vote
     known, index.votes = ~np.isnan(votes), votes
     if known.any():
         index.edges, index.chances = _isotonic(votes[known], label[known].astype(float), weight[known])
@@ -752,7 +842,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1500) -> str:
             for places, term, n in zip(known, spaces, df, strict=True):
                 if len(n):
                     place, hit = places.known(term)
-                    n += np.bincount(_distinct(owner[hit] * len(n) + place[hit]) % len(n), minlength=len(n))
+                    key = _pairs(owner[hit], place[hit], batch.num_rows, len(n))
+                    n += np.bincount(key[_new(key)] % key.dtype.type(len(n)), minlength=len(n))
         for space, n in enumerate(df):
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"space": pa.array(np.full(len(some) + 1, space), pa.int32()), "term": pa.array(np.concatenate([[-1], some]), pa.int32()), "n": pa.array(np.concatenate([[rows], n[some]]), pa.int64())})

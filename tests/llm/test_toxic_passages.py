@@ -132,3 +132,61 @@ def test_windows_equal_a_plain_search():
         assert list(zip(text.tolist(), number.tolist(), strict=True)) == chosen
         want = sorted((chosen.index((o, a // toxicity.PASSAGE)), t) for o, a, t in zip(owner.tolist(), at.tolist(), term.tolist(), strict=True) if (o, a // toxicity.PASSAGE) in chosen)
         assert sorted(zip(passage.tolist(), terms.tolist(), strict=True)) == want
+
+
+def _plain(texts: list[str]) -> tuple[toxicity.Index, toxicity.Vectors]:
+    """An index of the texts over all their terms, and their vectors."""
+    array = pa.array(texts)
+    owner, term, _ = toxicity._counted(*toxicity._terms(array))
+    vocabulary = np.unique(term)
+    n = len(texts)
+    index = toxicity._index(np.arange(n), array, np.arange(n) % 3 == 0, np.ones(n), vocabulary, np.linspace(1, 2, len(vocabulary)))
+    return index, index.vectors(array)
+
+
+def test_neighbours_and_cosines_do_not_depend_on_the_batch(monkeypatch):
+    """Bit by bit those of a query alone, also where examples are nearly as near as each other."""
+    r = np.random.default_rng(7)
+    pool = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in ("nter", "shing", "ldest", "r")]
+    texts = [" ".join(r.choice(pool, int(r.integers(20, 120)))) for _ in range(700)]
+    texts += [texts[k] + f" rare{k}x{j}" for k in range(20) for j in range(12)]
+    index, v = _plain(texts)
+    rows = list(range(len(texts)))
+    found = {i: (e, c) for i, e, c, _ in index.each_nearest(v, rows)}
+    dense = np.zeros((len(texts), len(index.vocabulary)))
+    for i in rows:
+        dense[i, v.terms[v.offsets[i] : v.offsets[i + 1]]] = v.weights[v.offsets[i] : v.offsets[i + 1]]
+    every = dense @ dense.T
+    for i in rows[::7] + rows[700:]:
+        example, cosine = index.nearest(v.terms[v.offsets[i] : v.offsets[i + 1]], v.weights[v.offsets[i] : v.offsets[i + 1]])
+        assert (found[i][0] == example).all() and (found[i][1] == cosine).all()
+        best = np.lexsort((rows, -np.round(every[i], 12)))[:NEIGHBOURS]
+        assert np.allclose(cosine, every[i][best], rtol=0, atol=1e-12) and np.allclose(every[i][example], cosine, rtol=0, atol=1e-12)
+
+
+def test_postings_of_terms_that_occur_once_need_no_weights():
+    """Only those that occur more often in an example carry a weight of their own; the sums are those of the full vectors."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice([f"w{k}ord" for k in range(400)], int(r.integers(5, 60)))) for _ in range(150)] + ["twice twice"]
+    index, v = _plain(texts)
+    assert 0 < len(index.more) < 0.5 * len(index.value)
+    dense = np.zeros((len(texts), len(index.vocabulary)))
+    for i in range(len(texts)):
+        dense[i, v.terms[v.offsets[i] : v.offsets[i + 1]]] = v.weights[v.offsets[i] : v.offsets[i + 1]]
+    queries = [(v.terms[a:b], v.weights[a:b]) for a, b in zip(v.offsets[:-1], v.offsets[1:], strict=True)]
+    assert np.allclose(index._sums(queries), (dense @ dense.T)[:, index.order], rtol=0, atol=1e-12)
+
+
+def test_words_with_signs_and_their_stems():
+    """Signs are left out of a word's hash, but count among the bytes that a stem loses."""
+    texts = pa.array(["Don't 'quoted', (well-known) walked", "", "--", "état l'état", "x" * 40_000 + "'s walking"])
+    w, short = bytewords.content_words(texts, toxicity.ENDINGS, toxicity.STEM)
+    spans = [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
+    assert spans[:4] == [b"don't", b"quoted", b"well-known", b"walked"] and np.diff(w.offsets).tolist() == [4, 0, 0, 2, 2]
+
+    def hashed(x: bytes) -> np.uint64:
+        return bytewords.hashes_of(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]
+
+    assert w.hashes.tolist() == [hashed(x.replace(b"'", b"").replace(b"-", b"")) for x in spans]
+    for n, got in zip(toxicity.ENDINGS, short, strict=True):
+        assert got.tolist() == [hashed(x[:-n]) if len(x) - n >= toxicity.STEM else 0 for x in spans]
